@@ -115,44 +115,46 @@ def profile_tables(inputs: Iterable[TableInput]) -> DataFrame:
 
     A key that repeats, or holds NULL, is not a primary key: it is reported as no key. Changes are counted in the
     version log, which is stronger evidence than a store's resettable counters. Per table this reads the key columns
-    once (distinct count, reduced before the shuffle) and the log's two marker columns once.
+    once (distinct count, reduced before the shuffle), the log's two marker columns once, and file metadata.
     """
-    return reduce(lambda a, b: a.unionByName(b), [_profile(i) for i in inputs])
-
-
-def _profile(i: TableInput) -> DataFrame:
-    cols = F.array(*[
-        F.struct(
-            F.lit(f.name).alias("name"),
-            F.lit(type_name(f.dataType, f.name in i.json_columns)).alias("typ"),
-            F.lit("x" if is_large(f.dataType) else "m" if isinstance(f.dataType, T.DecimalType) else "p").alias("storage"),
-        )
-        for f in i.table.schema.fields
-    ])
-    distinct = F.count_distinct(*[F.col(k) for k in i.key]) if i.key else F.lit(-1)
-    counted = i.table.agg(F.count(F.lit(1)).alias("rows"), distinct.alias("keys")).withColumn("name", F.lit(i.name))
+    inputs = list(inputs)
+    measured = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [part for i in inputs for part in _measures(i)]
+    )
+    zero = F.lit(0).cast("bigint")
+    figures = measured.groupBy("name").agg(
+        *[F.coalesce(F.max(c), zero).alias(c) for c in ("rows", "keys", "ins", "upd", "del", "size")]
+    )
+    known = figures.sparkSession.createDataFrame(
+        [(i.schema, i.name, i.identity, list(i.key), _columns(i)) for i in inputs],
+        "`schema` string, name string, repl_ident string, key array<string>, "
+        "cols array<struct<name: string, typ: string, storage: string>>",
+    )
+    usable = F.when(F.col("rows") == F.col("keys"), F.col("key")).otherwise(F.array().cast("array<string>"))
+    return known.join(figures, "name").withColumn("pk", usable).select(*CATALOG.names)
+
+
+def _columns(i: TableInput) -> list[tuple[str, str, str]]:
+    def storage(t: T.DataType) -> str:
+        return "x" if is_large(t) else "m" if isinstance(t, T.DecimalType) else "p"
+
+    return [(f.name, type_name(f.dataType, f.name in i.json_columns), storage(f.dataType)) for f in i.table.schema.fields]
+
+
+def _measures(i: TableInput) -> list[DataFrame]:
+    """One-row results of a table, each with the figures it contributes."""
+    name = F.lit(i.name).alias("name")
+    keys = F.count_distinct(*[F.col(k) for k in i.key]) if i.key else F.lit(-1).cast("bigint")
+    parts = [i.table.agg(F.count(F.lit(1)).alias("rows"), keys.alias("keys")), _stored_bytes(i.table)]
     if i.log is not None:
-        changes = i.log.agg(
+        parts.append(i.log.agg(
             F.count_if(F.col(VERSION) == 0).alias("ins"),
             F.count_if((F.col(VERSION) > 0) & ~F.col(DELETED)).alias("upd"),
             F.count_if(F.col(DELETED)).alias("del"),
-        ).withColumn("name", F.lit(i.name))
-        counted = counted.join(changes, "name")
+        ))
     else:
-        zero = F.lit(0).cast("bigint")
-        counted = counted.withColumns({"ins": zero, "upd": zero, "del": zero})
-    counted = counted.join(_stored_bytes(i.table).withColumn("name", F.lit(i.name)), "name")
-    key = F.array(*[F.lit(k) for k in i.key]).cast("array<string>")
-    return counted.select(
-        F.lit(i.schema).alias("schema"),
-        "name",
-        "rows",
-        "size",
-        "ins", "upd", "del",
-        F.lit(i.identity).alias("repl_ident"),
-        F.when(F.col("rows") == F.col("keys"), key).otherwise(F.array().cast("array<string>")).alias("pk"),
-        cols.alias("cols"),
-    )
+        parts.append(i.table.sparkSession.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in ("ins", "upd", "del")]))
+    return [p.select(name, "*") for p in parts]
 
 
 def _stored_bytes(table: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinproof.functions.names import ENTITY_SHARE, MIN_ROWS, REWRITTEN_NAME, TENANT_NAMES, TIME_NAMES
+from twinproof.session import pinned
 
 MIRROR = "events_copy"
 DATABASE = "events"
@@ -113,8 +114,12 @@ def plan_tables(
     catalog: DataFrame, tables: Sequence[str] = (), min_rows: int = MIN_ROWS, mirror: str = MIRROR, database: str = DATABASE
 ) -> Plan:
     """The proposal. An empty ``tables`` detects event tables; named tables are copied even if they do not look like
-    event tables, as long as they have a key."""
-    all_ = judged(catalog, tables, min_rows)
+    event tables, as long as they have a key.
+
+    The catalog (a row per table) is written once, so a computed profile is not scanned again for every part of the
+    plan.
+    """
+    all_ = judged(pinned(catalog), tables, min_rows)
     publication = f"{mirror}_pub"
     notes = _notes(
         F.when(F.col("leading_tenant").isNotNull(), F.concat(

@@ -9,7 +9,7 @@ from twinproof.functions.names import DELETED, VERSION
 from twinproof.functions.terms import comparable_terms, term_sum
 from twinproof.operators import fold as folding, reconcile, status
 from twinproof.plans import catalog, propose
-from twinproof.session import scratch
+from twinproof.session import pinned, scratch
 from twinproof.sources import feed, tables
 from twinproof.streaming import ingest, windows
 from twinproof.verdicts.cycles import fingerprints
@@ -441,7 +441,7 @@ SELECT mode, source, reason, order_by, partition_by, changes > 0 AS mutated,
 
 @query("plan_tables", _PLAN_SQL)
 def plan_tables(spark, d):
-    found = _catalog(spark, d)
+    found = pinned(_catalog(spark, d))
     names = [f"public.{n}" for n in ("events", "events_changed", "orders", "customer", "documents", "lineitem")]
     parts = []
     for mode, chosen in (("auto", ()), ("named", names)):
@@ -482,7 +482,7 @@ def plan_roundtrip(spark, d):
 @query("fixes_missing", """SELECT 0 AS step, 'ALTER TABLE "public"."orders" REPLICA IDENTITY FULL' AS fix, count(*) > 0 AS any_rows FROM orders
 UNION ALL SELECT 1, 'CREATE PUBLICATION events_copy_pub FOR TABLE ' || CASE WHEN (SELECT count(*) FROM orders) >= 0 THEN '2 tables' END, true""")
 def fixes_missing(spark, d):
-    found = _catalog(spark, d)
+    found = pinned(_catalog(spark, d))
     plan = propose.plan_tables(found, min_rows=1000)
     # The events table already ships full rows; nothing is published yet.
     identities = found.select("schema", "name", F.when(F.col("name") == "events", "f").otherwise("d").alias("repl_ident"))

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .benchtable import medians, speedups
 
-# A claims list is written and reviewed by people. Up to this many patterns become literals of one pass.
-LITERAL_PATTERNS = 1000
-_PER_PASS = 100
+# Up to this many patterns become literals of a single pass (more would outgrow generated code).
+LITERAL_PATTERNS = 64
 _NUMBER = r"\d{1,3}(?:,\d{3})+|\d{4,}"
 
 
@@ -23,9 +22,9 @@ def numbers_in(c: Column) -> Column:
 def matched_patterns(lines: DataFrame, patterns: DataFrame, literal_limit: int = LITERAL_PATTERNS) -> DataFrame:
     """The distinct ``(log, pattern)`` pairs for which some line of that log matches.
 
-    ``lines(log, value)`` may be of any size; ``patterns(log, pattern)`` is a reviewed list. Within the limit, all
-    patterns are tested in one scan as compiled literals and reduced to one flag each before any shuffle. A longer
-    list is joined per log instead, as arrays of patterns per line: matches only are emitted, never all pairs.
+    ``lines(log, value)`` may be of any size; ``patterns(log, pattern)`` is a list people write and review. A short
+    one is tested in one scan as compiled literals and reduced to one flag each before any shuffle. A longer list is
+    joined per log instead, as arrays of patterns per line: matches only are emitted, never all pairs.
     """
     wanted = patterns.select("log", "pattern").distinct()
     listed = wanted.orderBy("log", "pattern").limit(literal_limit + 1).collect()  # bounded by the limit
@@ -33,21 +32,15 @@ def matched_patterns(lines: DataFrame, patterns: DataFrame, literal_limit: int =
         return _matched_by_join(lines, wanted)
     if not listed:
         return wanted
-    parts = []
-    for at in range(0, len(listed), _PER_PASS):
-        some = listed[at : at + _PER_PASS]
-        logs = sorted({r["log"] for r in some})
-        flags = lines.where(F.col("log").isin(logs)).groupBy("log").agg(
-            *[F.some((F.col("log") == r["log"]) & F.col("value").rlike(r["pattern"])).alias(f"p{i}") for i, r in enumerate(some)]
-        )
-        named = F.array(*[
-            F.struct(F.lit(r["log"]).alias("l"), F.lit(r["pattern"]).alias("pattern"), F.col(f"p{i}").alias("hit"))
-            for i, r in enumerate(some)
-        ])
-        parts.append(
-            flags.select("log", F.explode(named).alias("x")).where("x.hit and x.l = log").select("log", "x.pattern")
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    logs = sorted({r["log"] for r in listed})
+    flags = lines.where(F.col("log").isin(logs)).groupBy("log").agg(
+        *[F.some((F.col("log") == r["log"]) & F.col("value").rlike(r["pattern"])).alias(f"p{i}") for i, r in enumerate(listed)]
+    )
+    named = F.array(*[
+        F.struct(F.lit(r["log"]).alias("l"), F.lit(r["pattern"]).alias("pattern"), F.col(f"p{i}").alias("hit"))
+        for i, r in enumerate(listed)
+    ])
+    return flags.select("log", F.explode(named).alias("x")).where("x.hit and x.l = log").select("log", "x.pattern")
 
 
 def _matched_by_join(lines: DataFrame, wanted: DataFrame, per_row: int = 50) -> DataFrame:
