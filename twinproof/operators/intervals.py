@@ -22,9 +22,10 @@ def _cells(begin: Column, end: Column, width: int) -> Column:
 def merge_windows(windows: DataFrame, label: str, w_begin: str, w_end: str, **kw) -> DataFrame:
     """Per label, windows that overlap become one; what overlaps any of them overlaps the merged one and vice versa."""
     w = windows.select(label, w_begin, w_end).distinct()
-    w = ordered.running(w, [label], [w_begin, w_end], "_reach", ticks(w_end), "max", inclusive=False, **kw)
+    splits = kw.get("splits") or ordered.split_points(w, w_begin, kw.get("chunks"))
+    w = ordered.running(w, [label], [w_begin, w_end], "_reach", ticks(w_end), "max", inclusive=False, splits=splits)
     fresh = (F.col("_reach").isNull() | (ticks(w_begin) >= F.col("_reach"))).cast("int")
-    w = ordered.running(w, [label], [w_begin, w_end], "_island", fresh, **kw)
+    w = ordered.running(w, [label], [w_begin, w_end], "_island", fresh, splits=splits)
     return w.groupBy(label, "_island").agg(F.min(w_begin).alias(w_begin), F.max(w_end).alias(w_end)).drop("_island")
 
 
@@ -110,14 +111,16 @@ def exists_within(
 
 
 def cycle_intervals(checks: DataFrame, cycle: str = "cycle", ts: str = "ts", **kw) -> DataFrame:
-    """One row per cycle: (previous cycle's last check, this cycle's last check]; the first begins 15 minutes early.
-
-    Cycles follow each other in the order of their first check.
-    """
+    """One row per cycle: (previous cycle's last check, this cycle's last check]; the first begins 15 minutes early."""
     cycles = checks.groupBy(cycle).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("end"))
+    return link_cycles(cycles, cycle, **kw).select(cycle, "beg", "end")
+
+
+def link_cycles(cycles: DataFrame, cycle: str = "cycle", **kw) -> DataFrame:
+    """``cycles`` with the begin of each: the end of the cycle before, in the order of their first check."""
     linked = ordered.previous(cycles, [], ["first_seen", cycle], {"_before": "end"}, **kw)
     start = F.coalesce(F.col("_before"), F.col("end") - F.expr(f"INTERVAL {FIRST_CYCLE_SECONDS} SECONDS"))
-    return linked.select(cycle, start.alias("beg"), "end")
+    return linked.select(*cycles.columns, start.alias("beg"))
 
 
 def schedule_gaps(

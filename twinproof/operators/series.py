@@ -22,10 +22,11 @@ def running_since(
     Any other state resets the clock. ``order`` starts with the poll time.
     """
     at = order[0]
+    splits = kw["splits"] if "splits" in kw else ordered.split_points(polls, at, kw.get("chunks"))
     rows = polls.withColumn("_running", F.coalesce(running, F.lit(False)))
-    rows = ordered.previous(rows, keys, order, {"_was": "_running"}, **kw)
+    rows = ordered.previous(rows, keys, order, {"_was": "_running"}, splits=splits)
     begins = F.when(F.col("_running") & ~F.coalesce(F.col("_was"), F.lit(False)), F.col(at))
-    rows = ordered.carry(rows, keys, order, {"_began": begins}, **kw)
+    rows = ordered.carry(rows, keys, order, {"_began": begins}, splits=splits)
     since = F.when(F.col("_running"), F.col("_began"))
     held = ticks(at) - ticks(since) >= F.lit(hold_seconds * MICROS)
     return rows.select(*polls.columns, since.alias("running_since"), F.coalesce(held, F.lit(False)).alias("ready"))
@@ -69,7 +70,7 @@ def counter_rate(
 
 def streak(rows: DataFrame, keys: Sequence[str], order: Sequence[str], good: Column, name: str = "streak", **kw) -> DataFrame:
     """Per row: how many rows in a row, ending here, were good. Act once it reaches k (hysteresis)."""
-    splits = ordered.split_points(rows, order[0], kw.pop("chunks", None)) if "splits" not in kw else kw.pop("splits")
+    splits = kw["splits"] if "splits" in kw else ordered.split_points(rows, order[0], kw.get("chunks"))
     marked = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
     marked = ordered.running(marked, keys, order, "_place", F.lit(1), splits=splits)
     marked = ordered.carry(marked, keys, order, {"_bad_at": F.when(~F.col("_good"), F.col("_place"))}, splits=splits)

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from twinproof.functions.names import DELETED, VERSION
 
-CATALOG = T.StructType.fromDDL(
-    "`schema` string, name string, rows bigint, size bigint, ins bigint, upd bigint, del bigint, repl_ident string, "
-    "pk array<string>, cols array<struct<name: string, typ: string, storage: string>>"
+_TEXT, _COUNT = T.StringType(), T.LongType()
+COLUMNS = T.ArrayType(T.StructType([T.StructField(n, _TEXT) for n in ("name", "typ", "storage")]))
+CATALOG = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("schema", "name")]
+    + [T.StructField(n, _COUNT) for n in ("rows", "size", "ins", "upd", "del")]
+    + [T.StructField("repl_ident", _TEXT), T.StructField("pk", T.ArrayType(_TEXT)), T.StructField("cols", COLUMNS)]
 )
 
 # Relation kinds that hold rows, and schemas that belong to the system or to replication tools.
@@ -62,7 +65,7 @@ def discover(
         *[F.coalesce(F.col(c), zero).cast("bigint").alias(c) for c in ("ins", "upd", "del")],
         "repl_ident",
         F.coalesce("pk", F.array().cast("array<string>")).alias("pk"),
-        F.coalesce("cols", F.array().cast(CATALOG["cols"].dataType)).alias("cols"),
+        F.coalesce("cols", F.array().cast(COLUMNS)).alias("cols"),
     ).orderBy(F.desc("size"), "schema", "name")
 
 

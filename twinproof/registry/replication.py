@@ -62,6 +62,11 @@ def fold_over_snapshot(spark, d):
     return folding.fold_over_snapshot(events(spark, d), changes, ["event_id"])
 
 
+@query("fold_touched", f"WITH {feed_sql()}, {live_sql()} SELECT * FROM live")
+def fold_touched(spark, d):
+    return folding.fold_touched(log(spark, d), ["event_id"])
+
+
 @query("compacted_log", f"""WITH {feed_sql()}, kept AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY _version DESC) AS rn FROM feed WHERE _version <= 1),
 done AS (SELECT event_id, value, _version, _is_deleted FROM kept WHERE rn = 1

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.names import FAULT_EVERY_SECONDS
 from twinproof.operators import intervals
-from twinproof.session import scratch
+from twinproof.session import pinned, scratch
 from twinproof.sources import derived, logs
-from twinproof.verdicts import audit, claims as claiming, cycles, soak
+from twinproof.verdicts import audit, benchtable, claims as claiming, cycles, soak
 
 from .analytics import _row_counts, _samples
 from .base import (
@@ -293,8 +293,7 @@ def valid_hours(spark, d):
     return hours.select(F.round("valid_hours", 6).alias("valid_hours"), F.round("contention_hours", 6).alias("contention_hours"))
 
 
-@query("fault_counts", f"""WITH {FAULTS} SELECT action || ' ' || service AS act, count(*) AS n FROM faults WHERE {_WINDOW} <> 'excluded' GROUP BY 1
-UNION ALL SELECT 'heartbeat ' || event_id, 1 FROM (SELECT event_id, {RUN_TIME} AS ts FROM events WHERE value < 150) WHERE {_WINDOW} <> 'excluded'""")
+@query("fault_counts", f"""WITH {FAULTS} SELECT action || ' ' || service AS act, count(*) AS n FROM faults WHERE {_WINDOW} <> 'excluded' GROUP BY 1""")
 def fault_counts(spark, d):
     acts = logs.parse_fault_counts(derived.fault_lines(events(spark, d)))
     return soak.fault_counts(acts, RUN)
@@ -367,13 +366,13 @@ def confirm_tally(spark, d):
 @query("verify_claims")
 def verify_claims(spark, d):
     """A document written from the evidence, with one figure left out and one claim nobody logged."""
-    samples, counts = _samples(spark, d), _row_counts(spark, d)
-    stores = ["a", "b", "c"]
-    rows = claiming.bench_rows(samples, stores).where(F.col("query") != "view").select("value")
+    samples, counts = pinned(_samples(spark, d)), _row_counts(spark, d)
+    stores, middle = ["a", "b", "c"], benchtable.medians(samples)
+    rows = claiming.bench_rows(middle, stores).where(F.col("query") != "view").select("value")
     said = events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(
         F.concat(F.lit("The log "), "event_type", F.lit(" holds "), F.format_number("n", 0), F.lit(" lines")).alias("value"), "event_type"
     )
-    document = rows.unionByName(claiming.range_texts(samples, "a").select("value")).unionByName(said.select("value"))
+    document = rows.unionByName(claiming.range_texts(middle, "a").select("value")).unionByName(said.select("value"))
     claims = said.select(
         F.col("value").alias("claim"), F.concat("event_type", F.lit(".log")).alias("log"),
         F.array(F.when(F.col("event_type") == "click", "^no such line").otherwise("^event ")).alias("patterns"),

@@ -15,7 +15,8 @@ def session(name: str = "twinproof", master: str | None = None, cpus: int | None
         builder = builder.master(master or f"local[{cpus}]")
     if cpus:
         builder = builder.config("spark.sql.shuffle.partitions", str(cpus)).config("spark.ui.enabled", "false")
-        builder = builder.config("spark.ui.showConsoleProgress", "false")
+        # Only a JVM that is still to be started takes the memory setting.
+        builder = builder.config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
     return prepare(builder.getOrCreate())
 
 

@@ -66,7 +66,7 @@ def fault_lines(events: DataFrame) -> DataFrame:
     stop = F.array(F.concat(t0, F.lit(" stop "), tail), F.concat(back, F.lit(" start "), tail))
     restart = F.array(F.concat(t0, F.lit(" restart "), tail))
     skipped = F.array(F.concat(t0, F.lit(" skip fault "), F.col("event_id").cast("string"), F.lit(": paused by guard")))
-    chatter = F.array(F.concat(t0, F.lit(" heartbeat "), F.col("event_id").cast("string")))
+    chatter = F.array(F.concat(t0, F.lit(" chaos heartbeat "), F.col("event_id").cast("string")))
     line = (
         F.when(big & F.col("event_type").isin("error", "purchase"), stop)
         .when(big & F.col("event_type").isin("signup", "click"), restart)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-CHECKS = T.StructType.fromDDL(
-    "ts timestamp, cycle int, variant string, replica string, `table` string, pg string, ch string, match boolean, "
-    "waited_s int, err string"
-)
+_FIELDS = [
+    ("ts", T.TimestampType()), ("cycle", T.IntegerType()), ("variant", T.StringType()), ("replica", T.StringType()),
+    ("table", T.StringType()), ("pg", T.StringType()), ("ch", T.StringType()), ("match", T.BooleanType()),
+    ("waited_s", T.IntegerType()), ("err", T.StringType()),
+]
+CHECKS = T.StructType([T.StructField(name, kind) for name, kind in _FIELDS])
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

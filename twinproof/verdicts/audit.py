@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from twinproof.functions.names import FAULT_EVERY_SECONDS
 from twinproof.operators.intervals import exists_within, missing_ticks, schedule_gaps
+from twinproof.session import pinned
 
 from .soak import ONE, outage_ends
 
@@ -53,6 +54,7 @@ def fault_audit(
     seconds = lambda c: F.col(c).cast("timestamp").cast("bigint")
     start = bounds.agg(F.min("start").alias("t")).select(seconds("t").alias("t")).first()["t"]
     last = checks.agg(F.max("ts").alias("t")).select(seconds("t").alias("t")).first()["t"]
+    faults = pinned(faults)
     linked = outage_ends(faults, **kw)
     done = F.when(F.col("action") == "stop", F.coalesce("next_start", "ts")).otherwise(F.col("ts"))
     struck = linked.where(F.col("action").isin("restart", "stop")).select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from twinproof.operators.ordered import interpolated_percentile
+from twinproof.session import pinned
 
 
 def medians(samples: DataFrame, **kw) -> DataFrame:
@@ -13,16 +14,19 @@ def medians(samples: DataFrame, **kw) -> DataFrame:
     return out.select("query", "store", F.col("n").alias("runs"), "median_ms")
 
 
-def speedups(samples: DataFrame, base: str, **kw) -> DataFrame:
-    """Per store the smallest and largest ratio ``median(base) / median(store)`` over the queries."""
-    m = medians(samples, **kw)
-    ref = m.where(F.col("store") == base).select("query", F.col("median_ms").alias("base_ms"))
-    ratio = m.where(F.col("store") != base).join(ref, "query").select(
+def ratios(middle: DataFrame, base: str) -> DataFrame:
+    """Per store the smallest and largest ratio of medians, base over store, over the queries."""
+    ref = middle.where(F.col("store") == base).select("query", F.col("median_ms").alias("base_ms"))
+    ratio = middle.where(F.col("store") != base).join(ref, "query").select(
         "store", F.try_divide("base_ms", "median_ms").alias("ratio")
     )
     return ratio.groupBy("store").agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"))
 
 
+def speedups(samples: DataFrame, base: str, **kw) -> DataFrame:
+    return ratios(pinned(medians(samples, **kw)), base)
+
+
 def row_count_agreement(counts: DataFrame) -> DataFrame:
     """``counts(query, store, n)``: did every store return the same number of rows?"""
     return counts.groupBy("query").agg(

@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .benchtable import medians, speedups
+from twinproof.session import pinned
+
+from .benchtable import medians, ratios
 
 # Up to this many patterns become literals of a single pass (more would outgrow generated code).
 LITERAL_PATTERNS = 64
@@ -84,18 +86,18 @@ def _grouped(c: Column) -> Column:
     return F.format_number(F.bround(c, 0), 0)
 
 
-def bench_rows(samples: DataFrame, stores: Sequence[str]) -> DataFrame:
-    """The table rows the samples recompute to: ``| query | 5,388 | 266 | 107 |``."""
-    m = medians(samples).groupBy("query").pivot("store", list(stores)).agg(F.first("median_ms"))
+def bench_rows(middle: DataFrame, stores: Sequence[str]) -> DataFrame:
+    """The table rows the medians ``(query, store, median_ms)`` give: ``| query | 5,388 | 266 | 107 |``."""
+    m = middle.groupBy("query").pivot("store", list(stores)).agg(F.first("median_ms"))
     cells = [_grouped(F.col(s)) for s in stores]
     name = F.concat(F.upper(F.substring("query", 1, 1)), F.expr("substring(query, 2)"))
     return m.select("query", F.concat(F.lit("| "), name, F.lit(" | "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
-def range_texts(samples: DataFrame, base: str, digits: int = 1) -> DataFrame:
+def range_texts(middle: DataFrame, base: str, digits: int = 1) -> DataFrame:
     """Speed-up ranges as the document writes them: ``10.6× to 62.0×``."""
     number = lambda c: F.format_string(f"%.{digits}f", F.col(c))
-    return speedups(samples, base).select(
+    return ratios(middle, base).select(
         "store", F.concat(number("low"), F.lit("× to "), number("high"), F.lit("×")).alias("value")
     )
 
@@ -116,8 +118,9 @@ def verify_claims(
     ``document(value)`` holds its lines, ``claims`` the reviewed list, ``lines(log, value)`` the logs, ``samples(query,
     store, run, ms)`` the bench runs, ``row_counts(query, store, n)`` the result sizes per store.
     """
-    rows = bench_rows(samples, stores)
-    ranges = range_texts(samples, base, digits)
+    middle = pinned(medians(samples))  # a row per query and store
+    rows = bench_rows(middle, stores)
+    ranges = range_texts(middle, base, digits)
     required = rows.select("value").unionByName(ranges.select("value"))
     missing = absent_claims(required.select(F.col("value").alias("claim")), document)
     disagree = row_counts.groupBy("query").agg(F.count_distinct("n").alias("k")).where("k <> 1")

@@ -120,14 +120,33 @@ def write_summary(checks: DataFrame, path: str) -> None:
     summarise(checks).coalesce(1).write.mode("overwrite").json(path)
 
 
-def miss_recovery(checks: DataFrame) -> DataFrame:
+def per_cycle(checks: DataFrame) -> DataFrame:
+    """One row per cycle: first and last check, number of checks, exact ones, misses by kind. Everything a verdict
+    needs besides waits follows from these rows, so the check log is aggregated once."""
+    kind = miss_class()
+    return checks.groupBy("cycle").agg(
+        F.min("ts").cast("timestamp_ntz").alias("first_seen"),
+        F.max("ts").cast("timestamp_ntz").alias("end"),
+        F.count(F.lit(1)).alias("checks"),
+        F.count_if("match").alias("exact"),
+        F.count_if(kind == "lag").alias("lag_misses"),
+        F.count_if(kind.isin("error", "memory")).alias("query_errors"),
+        F.count_if(kind == "memory").alias("memory_errors"),
+        F.some(~F.col("match")).alias("missed"),
+    )
+
+
+def recovery_of(cycles: DataFrame) -> DataFrame:
     """Every cycle with a miss and whether the next cycle was exact; NULL while that cycle has not been checked.
 
     The next cycle is the next number: a missing number stays pending.
     """
-    per_cycle = checks.groupBy("cycle").agg(F.every(F.col("match")).alias("exact"))
-    following = per_cycle.select((F.col("cycle") - 1).alias("cycle"), F.col("exact").alias("recovered"))
-    return per_cycle.where(~F.col("exact")).join(following, "cycle", "left").select("cycle", "recovered")
+    following = cycles.select((F.col("cycle") - 1).alias("cycle"), (~F.col("missed")).alias("recovered"))
+    return cycles.where("missed").join(following, "cycle", "left").select("cycle", "recovered")
+
+
+def miss_recovery(checks: DataFrame) -> DataFrame:
+    return recovery_of(per_cycle(checks))
 
 
 def insert_rate(checks: DataFrame, *by: str) -> DataFrame:

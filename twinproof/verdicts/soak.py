@@ -11,10 +11,11 @@ from twinproof.functions.clock import ntz
 from twinproof.functions.names import (
     FIRST_CYCLE_SECONDS, MAX_P99_SECONDS, MIN_HOURS, OUTAGE_DEFAULT_SECONDS, RESTART_GRACE_SECONDS,
 )
-from twinproof.operators.intervals import cycle_intervals, next_after, overlap_labels
+from twinproof.operators.intervals import link_cycles, next_after, overlap_labels
 from twinproof.operators.ordered import order_statistics, rank_below, rank_floor, rank_last, rank_upper_median
+from twinproof.session import pinned
 
-from .cycles import insert_rate, miss_class, miss_recovery
+from .cycles import insert_rate, miss_class, miss_recovery, per_cycle, recovery_of
 
 ONE = "run"  # key under which one-row results meet
 
@@ -42,16 +43,14 @@ def fault_windows(faults: DataFrame, **kw) -> DataFrame:
     )
 
 
-def _utc(checks: DataFrame) -> DataFrame:
-    return checks.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+def grade(cycles: DataFrame, faults: DataFrame, **kw) -> DataFrame:
+    """Rows of ``per_cycle`` with their interval, the labels of overlapping faults, and ``clean``."""
+    spans = overlap_labels(link_cycles(cycles, **kw), fault_windows(faults, **kw), ["cycle"], **kw)
+    return spans.withColumn("clean", F.size("labels") == 0)
 
 
 def graded_cycles(checks: DataFrame, faults: DataFrame, **kw) -> DataFrame:
-    """One row per cycle: interval, labels of overlapping faults, ``clean``, whether it holds a miss."""
-    checks = _utc(checks)
-    spans = overlap_labels(cycle_intervals(checks, **kw), fault_windows(faults, **kw), ["cycle"], **kw)
-    missed = checks.groupBy("cycle").agg(F.some(~F.col("match")).alias("missed"), F.count(F.lit(1)).alias("checks"))
-    return spans.join(missed, "cycle").withColumn("clean", F.size("labels") == 0)
+    return grade(per_cycle(checks), faults, **kw)
 
 
 def clean_waits(checks: DataFrame, cycles: DataFrame, **kw) -> DataFrame:
@@ -59,7 +58,7 @@ def clean_waits(checks: DataFrame, cycles: DataFrame, **kw) -> DataFrame:
 
     Waits are counted per cycle and value before they meet the cycles, so a cycle with very many checks stays small.
     """
-    counted = checks.where("match").groupBy("cycle", "waited_s").agg(F.count(F.lit(1)).alias("n"))
+    counted = pinned(checks.where("match").groupBy("cycle", "waited_s").agg(F.count(F.lit(1)).alias("n")))
     clean = counted.join(cycles.where("clean").select("cycle"), "cycle", "left_semi").drop("cycle")
     return wait_statistics(clean, [], weight="n", **kw)
 
@@ -91,19 +90,16 @@ class SoakVerdict:
     criteria: DataFrame
 
 
+def _hours(first: Column, last: Column) -> Column:
+    return (last.cast("timestamp").cast("bigint") - first.cast("timestamp").cast("bigint")) / F.lit(3600.0)
+
+
 def _stats(checks: DataFrame, cycles: DataFrame, recovery: DataFrame, **kw) -> DataFrame:
-    kind = miss_class()
-    totals = checks.agg(
-        F.count(F.lit(1)).alias("checks"),
-        F.count_if("match").alias("exact"),
-        F.count_if(kind == "lag").alias("lag_misses"),
-        F.count_if(kind.isin("error", "memory")).alias("query_errors"),
-        F.count_if(kind == "memory").alias("memory_errors"),
-        ((F.max("ts").cast("timestamp").cast("bigint") - F.min("ts").cast("timestamp").cast("bigint")) / F.lit(3600.0)).alias("hours"),
-        F.min("ts").cast("timestamp_ntz").alias("first"),
-        F.max("ts").cast("timestamp_ntz").alias("last"),
-    )
-    graded = cycles.agg(
+    totals = cycles.agg(
+        *[F.sum(c).alias(c) for c in ("checks", "exact", "lag_misses", "query_errors", "memory_errors")],
+        _hours(F.min("first_seen"), F.max("end")).alias("hours"),
+        F.min("first_seen").alias("first"),
+        F.max("end").alias("last"),
         F.count(F.lit(1)).alias("cycles"),
         F.count_if("clean").alias("clean"),
         F.count_if(~F.col("clean")).alias("affected"),
@@ -115,8 +111,8 @@ def _stats(checks: DataFrame, cycles: DataFrame, recovery: DataFrame, **kw) -> D
         F.count_if(F.col("recovered") == F.lit(False)).alias("unrecovered"),
     )
     one = lambda df: df.withColumn(ONE, F.lit(1))
-    # All four are single rows.
-    out = one(totals).join(one(graded), ONE).join(one(recovered), ONE)
+    # All three are single rows.
+    out = one(totals).join(one(recovered), ONE)
     return out.join(one(clean_waits(checks, cycles, **kw).drop("n")), ONE, "left").drop(ONE)
 
 
@@ -148,8 +144,9 @@ def soak_verdict(
     ``audit_ok`` is a flag or the one-row summary of ``audit.fault_audit``. ``pending_fails``: a miss in the last
     cycle, whose next cycle was never checked, fails here; the tally calls it pending instead.
     """
-    cycles = graded_cycles(checks, faults, **kw)
-    recovery = miss_recovery(checks)
+    # Cycles and faults are small next to the checks; each is written once and then read by every part.
+    cycles = pinned(grade(pinned(per_cycle(checks)), pinned(faults), **kw))
+    recovery = recovery_of(cycles)
     stats = _stats(checks, cycles, recovery, **kw)
     if isinstance(audit_ok, DataFrame):
         audited = audit_ok.select(F.col("ok").alias("audit_ok")).withColumn(ONE, F.lit(1))
@@ -321,16 +318,13 @@ class ConfirmTally:
 
 def confirm_tally(checks: DataFrame, acts: DataFrame, rate_table: str = "events", **kw) -> ConfirmTally:
     """The tally of a one-layout run with its five criteria."""
-    kind = miss_class()
     one = lambda df: df.withColumn(ONE, F.lit(1))
-    recovery = miss_recovery(checks)
-    totals = checks.agg(
-        F.count_distinct("cycle").alias("cycles"),
-        F.count(F.lit(1)).alias("checks"),
-        F.count_if("match").alias("exact"),
-        F.count_if(kind == "lag").alias("lag_misses"),
-        F.count_if(kind.isin("error", "memory")).alias("query_errors"),
-        ((F.max("ts").cast("timestamp").cast("bigint") - F.min("ts").cast("timestamp").cast("bigint")) / F.lit(3600.0)).alias("hours"),
+    cycles = pinned(per_cycle(checks))
+    recovery = recovery_of(cycles)
+    totals = cycles.agg(
+        F.count(F.lit(1)).alias("cycles"),
+        *[F.sum(c).alias(c) for c in ("checks", "exact", "lag_misses", "query_errors")],
+        _hours(F.min("first_seen"), F.max("end")).alias("hours"),
     )
     waits = wait_statistics(checks.where("match"), [], **kw).drop("n")
     rate = insert_rate(checks.where(F.col("table") == rate_table)).select("rate")
