@@ -50,7 +50,7 @@ def normalised(c: Column, t: T.DataType, digits: int | None = SIGNIFICANT_DIGITS
         out = F.lit(None).cast("string")
     else:
         out = F.to_json(F.struct(c.alias("v")))
-    return F.coalesce(out, F.lit(NULL_MARK))
+    return F.when(c.isNull(), F.lit(NULL_MARK)).otherwise(out)
 
 
 def row_text(df: DataFrame, digits: int | None = SIGNIFICANT_DIGITS) -> Column:

@@ -194,15 +194,16 @@ class ShadowReader:
             answer.write.format("noop").mode("overwrite").save()
             t1 = time.perf_counter()
             # A right side that is too slow has its Spark jobs cancelled, which surfaces here as an error.
-            self.spark.addTag(tag)
-            watchdog = threading.Timer(self.timeout, self.spark.interruptTag, [tag])
+            context = self.spark.sparkContext
+            context.addJobTag(tag)
+            watchdog = threading.Timer(self.timeout, context.cancelJobsWithTag, [tag])
             watchdog.start()
             try:
                 right = pair.right(self.spark)
                 right.write.format("noop").mode("overwrite").save()
             finally:
                 watchdog.cancel()
-                self.spark.removeTag(tag)
+                context.removeJobTag(tag)
             t2 = time.perf_counter()
             found = Mismatch(**compare(pair.name, answer, right, pair.order).first().asDict())
             row |= {"match": found.match, "left_ms": (t1 - t0) * 1000, "right_ms": (t2 - t1) * 1000}

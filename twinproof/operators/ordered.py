@@ -17,6 +17,7 @@ from twinproof.functions.clock import ticks
 from twinproof.session import pinned
 
 SPLIT_SAMPLE = 0.1
+SMALL = 50_000
 _CHUNK = "_chunk"
 _TICK = "_tick"
 
@@ -40,13 +41,19 @@ def split_points(df: DataFrame, column: str, chunks: int | None = None) -> list:
     """Fewer than ``chunks`` increasing values that cut the rows into parts of about equal size.
 
     The driver receives just these values. They shape the distribution of work only: any split points give the same
-    result, so a sketch over a sample is enough, and points taken from an unfolded log serve its folded view.
+    result, so a sketch over a sample is enough, and points taken from an unfolded log serve its folded view. Few
+    rows (about ``SMALL``) stay in one chunk unless ``chunks`` asks for more.
     """
-    chunks = chunks or chunk_count(df)
-    shares = [i / chunks for i in range(1, chunks)]
-    sample = df.select(order_value(df, column).alias("v")).sample(SPLIT_SAMPLE, seed=7)
-    row = sample.select(F.percentile_approx("v", shares, 10 * chunks).alias("s")).first()
-    return sorted(set(row["s"] or []))
+    parts = chunks or chunk_count(df)
+    shares = [i / parts for i in range(1, parts)]
+    values = df.select(order_value(df, column).alias("v"))
+    if not chunks:
+        values = values.sample(SPLIT_SAMPLE, seed=7)
+    row = values.select(
+        F.percentile_approx("v", shares, 10 * parts).alias("s"), F.count(F.lit(1)).alias("n")
+    ).first()
+    few = not chunks and row["n"] < SMALL * SPLIT_SAMPLE
+    return [] if few else sorted(set(row["s"] or []))
 
 
 def _literal(value) -> str:
