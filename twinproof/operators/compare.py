@@ -84,25 +84,28 @@ def _compare_ordered(name, left, right, order, right_order, digits) -> DataFrame
 
 def _compare_bag(name, left, right, digits) -> DataFrame:
     bag = bag_counts(left, right, digits)
-    at = bag.agg(F.min(F.when(F.col("l") != F.col("r"), F.col("row"))).alias("row")).first()["row"]
+    found = bag.agg(
+        F.min(F.when(F.col("l") != F.col("r"), F.col("row"))).alias("row"),
+        F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
+    ).first()
+    at, sizes = found["row"], {n: F.lit(found[n]).cast("bigint") for n in ("left_rows", "right_rows")}
     # Sorted side by side, the answers first part company where the smallest differing row runs out on one side;
     # opposite it stands the next greater row of that side, if there is one.
     if at is None:
-        out = bag.agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"))
+        out = left.sparkSession.range(1).select(F.lit(name).alias("query"), *[v.alias(n) for n, v in sizes.items()])
         none = F.lit(None).cast("string")
-        return _mismatch(out.withColumn("query", F.lit(name)), F.lit(True), F.lit(-1), none, none)
+        return _mismatch(out, F.lit(True), F.lit(-1), none, none)
     here = F.lit(at)
     next_l = F.min(F.when((F.col("row") > here) & (F.col("l") > 0), F.col("row")))
     next_r = F.min(F.when((F.col("row") > here) & (F.col("r") > 0), F.col("row")))
     out = bag.agg(
-        F.sum("l").alias("left_rows"),
-        F.sum("r").alias("right_rows"),
         F.coalesce(F.sum(F.when(F.col("row") < here, F.col("l"))), F.lit(0)).alias("before"),
         F.max(F.when(F.col("row") == here, F.col("l"))).alias("cl"),
         F.max(F.when(F.col("row") == here, F.col("r"))).alias("cr"),
         next_l.alias("next_l"),
         next_r.alias("next_r"),
-    ).withColumn("query", F.lit(name))
+    ).withColumns({"query": F.lit(name), **sizes})
     left_row = F.when(F.col("cl") > F.col("cr"), here).otherwise(F.col("next_l"))
     right_row = F.when(F.col("cr") > F.col("cl"), here).otherwise(F.col("next_r"))
     both = left_row.isNotNull() & right_row.isNotNull()

@@ -22,7 +22,7 @@ def _cells(begin: Column, end: Column, width: int) -> Column:
 def merge_windows(windows: DataFrame, label: str, w_begin: str, w_end: str, **kw) -> DataFrame:
     """Per label, windows that overlap become one; what overlaps any of them overlaps the merged one and vice versa."""
     w = windows.select(label, w_begin, w_end).distinct()
-    splits = kw.get("splits") or ordered.split_points(w, w_begin, kw.get("chunks"))
+    splits = ordered.split_points(w, w_begin, kw.get("chunks"))
     w = ordered.running(w, [label], [w_begin, w_end], "_reach", ticks(w_end), "max", inclusive=False, splits=splits)
     fresh = (F.col("_reach").isNull() | (ticks(w_begin) >= F.col("_reach"))).cast("int")
     w = ordered.running(w, [label], [w_begin, w_end], "_island", fresh, splits=splits)

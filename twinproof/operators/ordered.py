@@ -18,6 +18,7 @@ from twinproof.session import pinned
 
 SPLIT_SAMPLE = 0.1
 SMALL = 50_000
+FEW_VALUES = 500_000
 _CHUNK = "_chunk"
 _TICK = "_tick"
 
@@ -56,6 +57,16 @@ def split_points(df: DataFrame, column: str, chunks: int | None = None) -> list:
     return [] if few else sorted(set(row["s"] or []))
 
 
+def value_splits(df: DataFrame, column: str, chunks: int | None = None) -> list:
+    """Split points for :func:`order_statistics`, which handles each distinct value once: a column with few distinct
+    values (estimated from the sample, below ``FEW_VALUES``) needs no chunks however many rows it has."""
+    if not chunks:
+        values = df.select(order_value(df, column).alias("v")).sample(SPLIT_SAMPLE, seed=7)
+        if values.select(F.approx_count_distinct("v").alias("d")).first()["d"] < FEW_VALUES * SPLIT_SAMPLE:
+            return []
+    return split_points(df, column, chunks or chunk_count(df))
+
+
 def _literal(value) -> str:
     if isinstance(value, float):
         return f"{value!r}D"
@@ -88,8 +99,7 @@ def chunk_of(name: str, splits: Sequence) -> Column:
     return F.expr(f"if({stretch} = 0, 0, ({stretch} - 1) * {width} + {inside})")
 
 
-def _chunked(df: DataFrame, order: str, chunks: int | None, splits: Sequence | None) -> DataFrame:
-    splits = split_points(df, order, chunks) if splits is None else splits
+def _chunked(df: DataFrame, order: str, splits: Sequence) -> DataFrame:
     return df.withColumn(_TICK, order_value(df, order)).withColumn(_CHUNK, chunk_of(_TICK, splits))
 
 
@@ -119,10 +129,14 @@ def carry(
     """
     if not order or any(not isinstance(c, str) for c in order):
         raise TypeError("order is a list of column names")
-    rows = _chunked(df, order[0], chunks, splits)
+    splits = split_points(df, order[0], chunks) if splits is None else splits
+    ordering = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
+    if not splits:  # few rows: one window per key
+        w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(n) for n, v in values.items()])
+    rows = _chunked(df, order[0], splits)
     rows = rows.withColumns({f"_in_{n}": v for n, v in values.items()})
     place = F.struct(*[F.col(c) for c in order])
-    ordering = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
     pick = F.max_by if forward else F.min_by
 
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(
@@ -165,7 +179,11 @@ def running(
 ) -> DataFrame:
     """Add the running ``sum`` or ``max`` of ``value`` within each key, in order; NULL where nothing precedes."""
     fold = {"sum": F.sum, "max": F.max}[kind]
-    rows = _chunked(df, order[0], chunks, splits).withColumn("_add", value)
+    splits = split_points(df, order[0], chunks) if splits is None else splits
+    if not splits:  # few rows: one window per key
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.select("*", fold(value).over(w).alias(name))
+    rows = _chunked(df, order[0], splits).withColumn("_add", value)
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
@@ -239,19 +257,27 @@ def order_statistics(
 ) -> DataFrame:
     """Exact values at chosen ranks per group, one output column per entry of ``ranks``, plus ``n``.
 
-    With ``weight`` a row stands for that many equal values. Equal values are counted together before the shuffle, counts are summed per (group, chunk), and only the chunk
-    that holds a wanted rank is looked at value by value. No group is ever sorted in one place.
+    With ``weight`` a row stands for that many equal values. Equal values are counted together before the shuffle,
+    counts are summed per (group, chunk), and only the chunk that holds a wanted rank is looked at value by value. No
+    group is ever sorted in one place unless its distinct values are few.
     """
     rows = df.where(F.col(column).isNotNull())
-    splits = split_points(rows, column, chunks) if splits is None else splits
+    splits = value_splits(rows, column, chunks) if splits is None else splits
     counted = (
         rows.groupBy(*keys, F.col(column).alias("_v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
+    whole = Window.partitionBy(*keys)
+    wanted = lambda n: F.array(*[
+        F.struct(F.lit(name).alias("name"), rank(n).cast("bigint").alias("k")) for name, rank in ranks.items()
+    ])
+    if not splits:  # few distinct values: one window per group over their counts
+        upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        near = counted.select("*", F.sum("_c").over(upto).alias("_end"), F.sum("_c").over(whole).alias("_n"))
+        return _at_ranks(near.withColumn("_w", wanted(F.col("_n"))), keys, ranks)
     counted = counted.withColumn(_TICK, order_value(counted, "_v")).withColumn(_CHUNK, chunk_of(_TICK, splits))
     per_chunk = counted.groupBy(*keys, _CHUNK).agg(F.sum("_c").alias("_c"))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     placed = per_chunk.select(
         *keys,
         F.col(_CHUNK),
@@ -259,30 +285,40 @@ def order_statistics(
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
         F.sum("_c").over(whole).alias("_n"),
     )
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("k")) for name, rank in ranks.items()
-    ])
     inside = lambda w: (w["k"] >= F.col("_start")) & (w["k"] < F.col("_start") + F.col("_c"))
-    targets = placed.withColumn("_w", F.filter(wanted, inside)).where(F.size("_w") > 0).select(
+    targets = placed.withColumn("_w", F.filter(wanted(F.col("_n")), inside)).where(F.size("_w") > 0).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_CHUNK).alias("_kc"), "_start", "_n", "_w"
     )
     near = counted.join(targets, _same_chunk(keys, "_kc"))
     upto = Window.partitionBy(*keys, _CHUNK).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
-    hits = near.withColumn(
-        "_hit", F.filter("_w", lambda w: (w["k"] >= F.col("_end") - F.col("_c")) & (w["k"] < F.col("_end")))
-    ).where(F.size("_hit") > 0)
-    named = hits.select(*keys, "_n", "_v", F.explode("_hit").alias("_h"))
+    return _at_ranks(near, keys, ranks)
+
+
+def _at_ranks(near: DataFrame, keys: Sequence[str], ranks: dict[str, object]) -> DataFrame:
+    """The values whose run of ranks ``[_end - _c, _end)`` holds a wanted rank, one column per rank."""
+    hit = F.filter("_w", lambda w: (w["k"] >= F.col("_end") - F.col("_c")) & (w["k"] < F.col("_end")))
+    named = near.withColumn("_hit", hit).where(F.size("_hit") > 0).select(*keys, "_n", "_v", F.explode("_hit").alias("_h"))
     return named.groupBy(*keys).agg(
         F.max("_n").alias("n"),
         *[F.max(F.when(F.col("_h.name") == name, F.col("_v"))).alias(name) for name in ranks],
     )
 
 
-def interpolated_percentile(df: DataFrame, keys: Sequence[str], column: str, p: float, name: str, **kw) -> DataFrame:
-    """The continuous percentile: linear between the two elements around p * (n - 1)."""
+def interpolated_percentile(
+    df: DataFrame, keys: Sequence[str], column: str, p: float, name: str, chunks: int | None = None, splits: Sequence | None = None
+) -> DataFrame:
+    """The continuous percentile: linear between the two elements around p * (n - 1).
+
+    Spark's ``percentile`` keeps the counts of a group's distinct values in one task; it is used where those are known
+    to be few, order statistics otherwise.
+    """
+    splits = value_splits(df, column, chunks) if splits is None else splits
+    if not splits:
+        built_in = df.groupBy(*keys).agg(F.count(column).alias("n"), F.percentile(column, F.lit(p)).alias(name))
+        return built_in.where(F.col("n") > 0)
     ranks = {"_lo": rank_below(p), "_hi": lambda n: F.ceil(F.lit(p) * (n - 1))}
-    both = order_statistics(df, keys, column, ranks, **kw)
+    both = order_statistics(df, keys, column, ranks, splits=splits)
     at = F.lit(p) * (F.col("n") - 1)
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
     return both.select(*keys, "n", value.alias(name))

@@ -286,8 +286,9 @@ def contention_cycles(spark, d):
     return soak.contention_cycles(checks(spark, d), RUN)
 
 
-@query("valid_hours", f"""WITH {CHECKS}, e AS (SELECT epoch(max(ts)) AS fin FROM checks)
-SELECT round((fin - epoch(TIMESTAMP '2024-01-01 00:00:00') - 2467) / 3600.0, 6) AS valid_hours, round(4260 / 3600.0, 6) AS contention_hours FROM e""")
+@query("valid_hours", f"""WITH {CHECKS}, e AS (SELECT epoch(max(ts)) AS fin FROM checks), d AS (SELECT epoch(TIMESTAMP '2024-01-01') AS z)
+SELECT round((fin - z - greatest(least(fin, z + 24067) - (z + 21600), 0)) / 3600.0, 6) AS valid_hours,
+  round(greatest(least(fin, z + 40800) - (z + 36540), 0) / 3600.0, 6) AS contention_hours FROM e, d""")
 def valid_hours(spark, d):
     hours = soak.valid_hours(checks(spark, d), derived.START, RUN)
     return hours.select(F.round("valid_hours", 6).alias("valid_hours"), F.round("contention_hours", 6).alias("contention_hours"))
@@ -314,7 +315,7 @@ def busy_p90(spark, d):
 b AS (SELECT TIMESTAMP '2024-01-02 00:00:00' AS a, TIMESTAMP '2024-01-03 00:00:00' AS z),
 i AS (SELECT t.* FROM t, b WHERE ts >= a - INTERVAL 900 SECONDS AND ts <= z)
 SELECT count(*) AS ticks, (max(usec) - min(usec)) / 1000000.0 AS throttled_s, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS span_s,
-  max(load) AS load_max, max(pressure) AS pressure_max, round((max(usec) - min(usec)) / 1000000.0 / (epoch(max(ts)) - epoch(min(ts))), 9) AS share FROM i""")
+  max(load) AS load_max, max(pressure) AS pressure_max, coalesce(round((max(usec) - min(usec)) / 1000000.0 / (epoch(max(ts)) - epoch(min(ts))), 9), 0) AS share FROM i""")
 def host_throttle(spark, d):
     from twinproof.functions.clock import ntz
 
