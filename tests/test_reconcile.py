@@ -173,3 +173,32 @@ def test_ingested_stream_is_restartable_and_equals_the_batch(spark, events, tmp_
     assert run().count() == log.count() + 10
     live = reconcile.fold(run().drop("batch"), ["event_id"])
     assert live.count() == feed.events_after_changes(events).count()
+
+
+def test_questions_run_on_both_stores(spark, events):
+    from twinproof.operators import questions
+    from twinproof.operators.fold import fold
+
+    stores = {"source": feed.events_after_changes(events), "replica": fold(feed.event_log(events), ["event_id"])}
+    asked = questions.event_questions("2024-01-31 00:00:00")
+    samples = questions.run_questions(stores, asked, runs=1)
+    assert samples.count() == len(asked) * 2
+    assert questions.summarise_samples(samples).where("runs = 1 and median_ms > 0").count() == len(asked) * 2
+    for ask in asked.values():
+        left, right = ask(stores["source"]), ask(stores["replica"])
+        assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
+
+
+def test_snapshot_copies_with_and_without_clustering(spark, events, tmp_path):
+    from twinproof.sources import tables
+
+    plain = tables.copy_snapshot(events, "event_id", str(tmp_path / "a"))
+    ranged = tables.copy_snapshot(events, "event_id", str(tmp_path / "b"), partition_rows=300, cluster=True)
+    assert plain.exceptAll(ranged).count() == 0 and plain.count() == ranged.count() == events.count()
+    assert len(ranged.inputFiles()) == 4
+
+
+def test_shadow_metrics(spark):
+    row = spark.createDataFrame([(5, 3, 1, 1)], "shadowed long, matches long, mismatches long, errors long")
+    got = {r["name"]: r["value"] for r in status.shadow_metrics(row).collect()}
+    assert got == {"shadow_reads_total": 5.0, "shadow_mismatch_total": 1.0, "shadow_errors_total": 1.0}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from twinproof.functions.names import SHADOW_RATE, SHADOW_TIMEOUT_SECONDS, SIGNIFICANT_DIGITS
 from twinproof.functions.normalise import readable, row_text
 
+from .onerow import side_by_side
 from .ordered import with_position
 
 Runner = Callable[[SparkSession], DataFrame]
@@ -66,17 +67,16 @@ def ordered_difference(
 
 
 def _compare_ordered(name, left, right, order, right_order, digits) -> DataFrame:
-    counts = left.agg(F.count(F.lit(1)).alias("left_rows")).withColumn("query", F.lit(name)).join(
-        right.agg(F.count(F.lit(1)).alias("right_rows")).withColumn("query", F.lit(name)), "query"
-    )
     diff = ordered_difference(left, right, order, right_order, digits)
     both = F.col("left_row").isNotNull() & F.col("right_row").isNotNull()
     first = diff.agg(
         F.count(F.lit(1)).alias("differing"),
         F.min(F.when(both, F.col("position"))).alias("first"),
         F.min_by(F.struct("left_row", "right_row"), F.when(both, F.col("position"))).alias("rows"),
-    ).withColumn("query", F.lit(name))
-    out = counts.join(first, "query")
+    )
+    count = F.count(F.lit(1))
+    out = side_by_side(left.agg(count.alias("left_rows")), right.agg(count.alias("right_rows")), first)
+    out = out.withColumn("query", F.lit(name))
     return _mismatch(
         out, F.col("differing") == 0, F.coalesce("first", F.lit(-1)), F.col("rows.left_row"), F.col("rows.right_row")
     )

@@ -17,6 +17,7 @@ from twinproof.functions.names import BUCKETS, DELETED, SKIP_NOT_SINGLE_KEY, VER
 from twinproof.functions.terms import Term, comparable_terms, strict_term, term_sum
 
 from .fold import fold, fold_terms
+from .onerow import side_by_side
 
 SIDE = "side"
 SOURCE = "source"
@@ -112,7 +113,7 @@ def summarise_days(days: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.when(open_, F.struct("day", "line"))))).alias("unsettled"),
         (F.count_if(bad) == 0).alias("ok"),
     )
-    return main.join(totals, "table", "left").withColumn("error", F.lit(None).cast("string"))
+    return side_by_side(main, totals, by=("table",)).withColumn("error", F.lit(None).cast("string"))
 
 
 def check_tables(tables: Iterable[tuple[TableSpec, DataFrame, Mapping[str, DataFrame]]], today: str) -> DataFrame:
@@ -274,10 +275,12 @@ def fingerprint(live: DataFrame, terms: Sequence[Term], *by: str) -> DataFrame:
 def show_first(lines: DataFrame, per: str, order: str, k: int) -> DataFrame:
     """The first ``k`` differing lines per table and how many more there are; the full result stays available."""
     bad = lines.where(~F.col("same"))
-    total = bad.groupBy(F.col(per).alias("_per")).agg(F.count(F.lit(1)).alias("_total"))
-    w = Window.partitionBy(per).orderBy(order)
-    first = bad.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return first.join(total, F.col(per) == F.col("_per")).select(
+    # Lines are one per day or bucket, so a table's group is bounded by the calendar or the bucket count.
+    group = Window.partitionBy(per)
+    numbered = bad.withColumns({
+        "rank": F.row_number().over(group.orderBy(order)), "_total": F.count(F.lit(1)).over(group),
+    })
+    return numbered.where(F.col("rank") <= k).select(
         per, order, "line", "rank", F.greatest(F.col("_total") - F.lit(k), F.lit(0)).alias("more")
     )
 
@@ -304,17 +307,11 @@ def cutover_gate(
         F.count_if(~F.col("settled") & ~F.col("same")).alias("unsettled_days"),
     )
     sums = check_buckets(source, replicas, spec, strict=strict).agg(F.count_if(~F.col("same")).alias("bad_buckets"))
-    # Three one-row results side by side, keyed by the table name.
-    table = F.lit(spec.name)
-    joined = (
-        applied.withColumn("table", table)
-        .join(days.withColumn("table", table), "table")
-        .join(sums.withColumn("table", table), "table")
-    )
+    joined = side_by_side(applied, days, sums)
     reached = (F.col("applied") >= F.lit(watermark)) & (F.col("seen") == F.lit(len(replicas)))
     ready = reached & (F.col("bad_days") == 0) & (F.col("unsettled_days") == 0) & (F.col("bad_buckets") == 0)
     return joined.select(
-        "table",
+        F.lit(spec.name).alias("table"),
         F.lit(watermark).cast("bigint").alias("watermark"),
         F.col("applied").cast("bigint").alias("applied"),
         F.coalesce(reached, F.lit(False)).alias("reached"),

@@ -20,26 +20,21 @@ def replication_status(
 
     Everything is counts and maxima over the version column alone.
     """
-    position = source_log.agg(F.max(VERSION).alias("source_position"), F.count(F.lit(1)).alias("source_changes"),
-                              F.count_if(F.col(VERSION) == 0).alias("source_estimate"))
+    source = source_log.agg(
+        F.max(VERSION).alias("position"), F.count(F.lit(1)).alias("changes"), F.count_if(F.col(VERSION) == 0).alias("rows")
+    ).first()
+    at, changes, estimate = (F.lit(source[n]).cast("bigint") for n in ("position", "changes", "rows"))
     logs = union_replicas({n: df.select(*columns) for n, df in replicas.items()})
-    sides = logs.groupBy(SIDE).agg(
-        F.max(VERSION).alias("applied_position"),
-        F.count(F.lit(1)).alias("physical_rows"),
+    applied, held = F.max(VERSION).cast("bigint"), F.count(F.lit(1))
+    return logs.groupBy(F.col(SIDE).alias("replica")).agg(
+        F.lit(table).alias("table"),
+        F.max(at).alias("source_position"),
+        applied.alias("applied_position"),
+        (F.max(at) - applied).alias("lag"),
+        (F.max(changes) - held).alias("unapplied"),
         F.count_if(F.col(VERSION) > 0).alias("rows_synced"),
-    )
-    key = F.lit(table)
-    both = sides.withColumn("table", key).join(position.withColumn("table", key), "table")
-    return both.select(
-        "table",
-        F.col(SIDE).alias("replica"),
-        F.col("source_position").cast("bigint").alias("source_position"),
-        F.col("applied_position").cast("bigint").alias("applied_position"),
-        (F.col("source_position") - F.col("applied_position")).cast("bigint").alias("lag"),
-        (F.col("source_changes") - F.col("physical_rows")).alias("unapplied"),
-        "rows_synced",
-        "physical_rows",
-        "source_estimate",
+        held.alias("physical_rows"),
+        F.max(estimate).alias("source_estimate"),
     )
 
 

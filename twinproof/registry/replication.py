@@ -8,6 +8,7 @@ from twinproof.functions.clock import day_key
 from twinproof.functions.names import DELETED, VERSION
 from twinproof.functions.terms import comparable_terms, term_sum
 from twinproof.operators import fold as folding, reconcile, status
+from twinproof.operators.onerow import side_by_side
 from twinproof.plans import catalog, propose
 from twinproof.session import pinned, scratch
 from twinproof.sources import feed, tables
@@ -354,10 +355,9 @@ def _defect(mode: str, spec):
         replicas = {"r": log(spark, d, mode)}
         days = reconcile.check_days(src, replicas, spec, "2024-01-31")
         sums = reconcile.check_buckets(src, replicas, spec)
-        one = F.lit(1).alias("one")
         left = days.agg(F.sum(F.col("replica_rows")["r"]).alias("live_rows"), F.count_if(~F.col("same")).alias("bad_days"))
         right = sums.agg(F.count_if(~F.col("same")).alias("bad_buckets"))
-        return left.select("*", one).join(right.select("*", one), "one").drop("one")
+        return side_by_side(left, right)
 
     return run
 

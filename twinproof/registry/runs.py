@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.names import FAULT_EVERY_SECONDS
 from twinproof.operators import intervals
+from twinproof.operators.onerow import side_by_side
 from twinproof.session import pinned, scratch
 from twinproof.sources import derived, logs
 from twinproof.verdicts import audit, benchtable, claims as claiming, cycles, soak
@@ -341,8 +342,7 @@ SELECT p50, p99, (SELECT max(waited_s) FROM w) AS max, (SELECT count(*) FROM c)
 FROM p50, p99""")
 def soak_tally(spark, d):
     t = _tally(spark, d)
-    one = lambda df: df.withColumn("one", F.lit(1))
-    return one(t.waits.drop("n")).join(one(t.cycles), "one").join(one(t.integrity.select("integrity")), "one").drop("one")
+    return side_by_side(t.waits.drop("n"), t.cycles, t.integrity.select("integrity"))
 
 
 def _tally(spark, d):

@@ -10,7 +10,7 @@ from twinproof.functions.clock import month_key, ntz
 from twinproof.functions.names import DELETED, SNAPSHOT_PARTITION_ROWS, SYNCED, VERSION
 
 MONTH = "ym"
-CORRUPT = "_corrupt_record"
+MAX_RANGES = 20_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,13 +41,19 @@ def snapshot(table: DataFrame, synced_at: str | None = None) -> DataFrame:
     return out.withColumn(SYNCED, ntz(synced_at)) if synced_at else out
 
 
-def copy_snapshot(table: DataFrame, key: str, path: str, partition_rows: int = SNAPSHOT_PARTITION_ROWS) -> DataFrame:
-    """Copy a table in key ranges into a new version log at ``path`` and return the log.
+def copy_snapshot(
+    table: DataFrame, key: str, path: str, partition_rows: int = SNAPSHOT_PARTITION_ROWS, cluster: bool = False
+) -> DataFrame:
+    """Copy a table into a new version log at ``path`` and return the log.
 
-    The number of files follows the row count (a metadata-only count for Parquet), not the cluster.
+    A table of files is copied split by split, without a shuffle. ``cluster`` range-partitions by key first, in ranges
+    of about ``partition_rows`` rows (fewer, larger ranges for huge tables), so that files cover narrow key ranges.
     """
-    parts = max(1, -(-table.count() // partition_rows))
-    snapshot(table).repartitionByRange(parts, key).sortWithinPartitions(key).write.mode("append").parquet(path)
+    rows = snapshot(table)
+    if cluster:
+        parts = min(MAX_RANGES, max(1, -(-table.count() // partition_rows)))
+        rows = rows.repartitionByRange(parts, key).sortWithinPartitions(key)
+    rows.write.mode("append").parquet(path)
     return table.sparkSession.read.parquet(path)
 
 

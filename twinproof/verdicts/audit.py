@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from twinproof.functions.names import FAULT_EVERY_SECONDS
 from twinproof.operators.intervals import exists_within, missing_ticks, schedule_gaps
+from twinproof.operators.onerow import side_by_side
 from twinproof.session import pinned
 
-from .soak import ONE, outage_ends
+from .soak import outage_ends
 
 
 @dataclass(frozen=True)
@@ -71,8 +72,7 @@ def fault_audit(
         F.count_if("verified").alias("verified"),
     )
     skipped = skips.agg(F.count(F.lit(1)).alias("skipped"))
-    one = lambda df: df.withColumn(ONE, F.lit(1))
-    summary = one(schedule).join(one(seen), ONE).join(one(skipped), ONE).drop(ONE)
+    summary = side_by_side(schedule, seen, skipped)
     ok = (
         (F.col("applied") == F.col("scheduled")) & (F.col("missing") == 0) & (F.col("skipped") == 0)
         & (F.col("verified") == F.col("logged"))

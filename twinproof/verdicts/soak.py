@@ -12,14 +12,12 @@ from twinproof.functions.names import (
     FIRST_CYCLE_SECONDS, MAX_P99_SECONDS, MIN_HOURS, OUTAGE_DEFAULT_SECONDS, RESTART_GRACE_SECONDS,
 )
 from twinproof.operators.intervals import link_cycles, next_after, overlap_labels
+from twinproof.operators.onerow import side_by_side
 from twinproof.operators.ordered import order_statistics, rank_below, rank_floor, rank_last, rank_upper_median
 from twinproof.session import pinned
 
 from .cycles import insert_rate, miss_class, miss_recovery, per_cycle, recovery_of
 
-ONE = "run"  # key under which one-row results meet
-
-
 def _seconds(n: int) -> Column:
     return F.expr(f"INTERVAL {n} SECONDS")
 
@@ -110,10 +108,7 @@ def _stats(checks: DataFrame, cycles: DataFrame, recovery: DataFrame, **kw) -> D
         F.count_if(F.col("recovered").isNull()).alias("pending"),
         F.count_if(F.col("recovered") == F.lit(False)).alias("unrecovered"),
     )
-    one = lambda df: df.withColumn(ONE, F.lit(1))
-    # All three are single rows.
-    out = one(totals).join(one(recovered), ONE)
-    return out.join(one(clean_waits(checks, cycles, **kw).drop("n")), ONE, "left").drop(ONE)
+    return side_by_side(totals, recovered, clean_waits(checks, cycles, **kw).drop("n"))
 
 
 def _criterion(order: int, name: str, ok: Column, got: Column) -> Column:
@@ -149,8 +144,7 @@ def soak_verdict(
     recovery = recovery_of(cycles)
     stats = _stats(checks, cycles, recovery, **kw)
     if isinstance(audit_ok, DataFrame):
-        audited = audit_ok.select(F.col("ok").alias("audit_ok")).withColumn(ONE, F.lit(1))
-        stats = stats.withColumn(ONE, F.lit(1)).join(audited, ONE).drop(ONE)
+        stats = side_by_side(stats, audit_ok.select(F.col("ok").alias("audit_ok")))
     else:
         stats = stats.withColumn("audit_ok", F.lit(audit_ok))
     c = F.col
@@ -256,9 +250,8 @@ def fault_counts(acts: DataFrame, windows: Windows = Windows()) -> DataFrame:
 def busy_cores(use: DataFrame, windows: Windows = Windows(), **kw) -> DataFrame:
     """Mean and p90 of core use in valid time without contention."""
     inside = use.where(windows.label() == "valid")
-    mean = inside.agg(F.avg("busy").alias("mean")).withColumn(ONE, F.lit(1))
-    p90 = order_statistics(inside, [], "busy", {"p90": rank_floor(0.9)}, **kw).withColumn(ONE, F.lit(1))
-    return mean.join(p90, ONE).select("n", "mean", "p90")
+    p90 = order_statistics(inside, [], "busy", {"p90": rank_floor(0.9)}, **kw)
+    return side_by_side(inside.agg(F.avg("busy").alias("mean")), p90).select("n", "mean", "p90")
 
 
 @dataclass(frozen=True)
@@ -318,7 +311,6 @@ class ConfirmTally:
 
 def confirm_tally(checks: DataFrame, acts: DataFrame, rate_table: str = "events", **kw) -> ConfirmTally:
     """The tally of a one-layout run with its five criteria."""
-    one = lambda df: df.withColumn(ONE, F.lit(1))
     cycles = pinned(per_cycle(checks))
     recovery = recovery_of(cycles)
     totals = cycles.agg(
@@ -328,9 +320,7 @@ def confirm_tally(checks: DataFrame, acts: DataFrame, rate_table: str = "events"
     )
     waits = wait_statistics(checks.where("match"), [], **kw).drop("n")
     rate = insert_rate(checks.where(F.col("table") == rate_table)).select("rate")
-    stats = one(totals).join(one(waits), ONE, "left").join(one(rate), ONE, "left").join(
-        one(integrity(recovery)).select(ONE, "integrity"), ONE
-    ).drop(ONE)
+    stats = side_by_side(totals, waits, rate, integrity(recovery).select("integrity"))
     c = F.col
     rows = [
         _criterion(1, "every miss followed by an exact cycle", c("integrity") == "PASS", c("integrity")),
