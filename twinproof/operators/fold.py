@@ -5,8 +5,8 @@ newest version per whole sort key and then drops deleted rows. The order matters
 after the fold.
 
 Every fold has a map-side step, so a key that owns a third of all versions is reduced before the shuffle. ``max_by``
-per column (not over one struct) lets Catalyst drop the columns a caller never reads; with fixed-width columns the
-fold runs as hash aggregation, with text it ranks rows instead.
+per column (not over one struct) lets Catalyst drop the columns a caller never reads; with one or two fixed-width
+columns the fold runs as hash aggregation, otherwise it ranks rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from twinproof.functions.names import DELETED, VERSION
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_FEW = 2  # each max_by carries its own version; beyond this, ranking rows moves less (measured)
 
 
 def newest(log: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, order: str | Column = VERSION) -> DataFrame:
@@ -36,7 +37,7 @@ def fold(
     """The live view: newest version per key, deleted rows dropped. ``columns`` limits what is carried."""
     wanted = list(columns) if columns is not None else [c for c in log.columns if c not in (VERSION, DELETED)]
     carried = [c for c in wanted if c not in key] + [DELETED]
-    if all(isinstance(log.schema[c].dataType, _FIXED) for c in carried):
+    if len(carried) <= _FEW and all(isinstance(log.schema[c].dataType, _FIXED) for c in carried):
         return newest(log, key, carried, order).where(~F.col(DELETED)).select(*wanted)
     return fold_by_rank(log, key, wanted, order)
 
@@ -44,7 +45,7 @@ def fold(
 def fold_by_rank(
     log: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, order: str | Column = VERSION
 ) -> DataFrame:
-    """The same live view through ``row_number() = 1``, for rows that carry text.
+    """The same live view through ``row_number() = 1``, for rows that carry text or many columns.
 
     Spark keeps one row per key before the shuffle as well as after it, so a hot key stays small here too; text moves
     as it is instead of through sorted aggregation buffers.
