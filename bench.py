@@ -12,7 +12,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 
 from twinproof.operators import compare, fold, ordered, questions, reconcile  # noqa: E402
-from twinproof.registry.base import ANCHOR, BY_ID, BY_TENANT  # noqa: E402
+from twinproof.registry.base import ANCHOR, BY_TENANT  # noqa: E402
 from twinproof.session import scratch, session  # noqa: E402
 from twinproof.sources import feed, tables  # noqa: E402
 from twinproof.streaming import ingest  # noqa: E402
@@ -85,7 +85,6 @@ def main() -> None:
         "queries": results,
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
         "cpus": cpus,
-        "spec": BY_ID.name,
     }))
 
 

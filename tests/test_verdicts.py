@@ -39,9 +39,10 @@ def checks(spark):
         ts = datetime.fromisoformat(f"2026-10-05 {clock}")
         error, lag = n == 12, n == 29
         for table in ("events", "sessions"):
-            ch = "" if error else "9|1" if lag else "10|1"
-            rows.append((ts, n, "single", "r1", table, f"{n * 1000}|1", ch if not (not error and not lag) else f"{n * 1000}|1",
-                         not (error or lag), int(waited), "no such host" if error else None))
+            count = f"{n * 1000}|1"
+            ch = "" if error else "9|1" if lag else count
+            err = "no such host" if error else None
+            rows.append((ts, n, "single", "r1", table, count, ch, not (error or lag), int(waited), err))
     return spark.createDataFrame(rows, logs.CHECKS)
 
 
@@ -152,7 +153,7 @@ def test_verify_cycle_waits_for_equality_and_records_errors(spark):
     def targets():
         calls.append(1)
         late = good if len(calls) > 2 else good.limit(0)
-        broken = spark.read.schema(schema).parquet("/nonexistent") if False else good.select("id", VERSION, F.assert_true(F.lit(False)).cast("boolean").alias(DELETED))
+        broken = good.select("id", VERSION, F.assert_true(F.lit(False)).cast("boolean").alias(DELETED))
         return {("v", "r1", "events"): good, ("v", "r2", "events"): late, ("v", "r3", "events"): broken}
 
     def sleep(s):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinproof.functions.clock import ntz
 from twinproof.operators import compare as comparing, ordered, questions, series
 from twinproof.operators.fold import fold
 from twinproof.sources import derived

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinproof.functions.clock import day_key
 from twinproof.functions.names import DELETED, VERSION
 from twinproof.functions.terms import comparable_terms, term_sum
 from twinproof.operators import fold as folding, reconcile, status
