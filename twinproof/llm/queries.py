@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import packing, tokens
+from twinproof.llm import packing, quality, tokens
 from twinproof.llm.base import read
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(read(spark, folder, "documents"))
 
@@ -17,7 +21,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_quality_rules": quality.SQL,
+}
