@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import packing, quality, tokens
+from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens
 from twinproof.llm.base import read
 
 
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
+
+
+def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.cut_passages(read(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -20,10 +32,20 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_mixing_sources": op5_mixing_sources,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,

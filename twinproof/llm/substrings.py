@@ -112,10 +112,10 @@ def _packed(texts) -> list[bytes]:
 
 
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to (row, doc_id, compressed UTF-8)."""
+    """(row, doc_id, text, kept) to (row, doc_id, compressed UTF-8, kept)."""
     for batch in batches:
         z = _packed((t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["row", "doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), batch.column(3)], names=["row", "doc_id", "z", "kept"])
 
 
 def _anchors(length: int):
@@ -307,17 +307,19 @@ def _removed(length: int, whole_characters: bool):
                 last = pa.array([x.decode("utf-8", "replace") for x in rest], pa.string())
             else:
                 last = pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, last], names=["doc_id", "n_bytes", "n_removed", "n_spans", "rest"])
+            yield pa.RecordBatch.from_arrays([*arrays, last, batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "rest", "kept"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Texts (row, doc_id, z: compressed UTF-8) and, for rows with any, the repeated windows (row, runs of starts a to b).
+def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                      keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts (row, doc_id, z: compressed UTF-8, kept: a struct of the columns ``keep``) and, for rows with any, the repeated windows (row, runs of starts a to b).
 
     Rows are told apart by a hash of id and text, so repeated rows count as copies of each other.
     """
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.struct(F.lit(0).alias("_"), *keep or []).alias("kept"))
     anchors = stored(rows.select("row", "text").mapInArrow(_anchors(length), "key long, ctx long, row long, first int, n short"), "anchors")
     twice = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
     places = stored(anchors.join(twice, "key", "left_semi"), "places")
@@ -328,7 +330,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     wanted = kinds.filter("times = 1").join(several, "key", "left_semi").unionByName(
         kinds.filter("times > 1").join(several, "key", "left_semi"))
     by_row = wanted.select("key", "ctx", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "first", "n")).alias("wanted"))
-    pressed = rows.mapInArrow(compressed, "row long, doc_id long, z binary")
+    kind = rows.schema["kept"].dataType.simpleString()
+    pressed = rows.select("row", "doc_id", "text", "kept").mapInArrow(compressed, f"row long, doc_id long, z binary, kept {kind}")
     parts = pressed.select("row", "z").join(by_row, "row").select("z", "wanted").mapInArrow(_cut_out(length), "key long, ctx long, bytes binary")
     parts = parts.dropDuplicates(["key", "ctx"])
     merged = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(
@@ -341,16 +344,17 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     return pressed, marked.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def cut_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def cut_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
+                 keep: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what is left; with ``texts`` what is left itself, as ``text``.
 
-    ``text`` keeps characters whole: one goes if all its bytes go. A NULL text is empty; texts shorter than ``length`` lose nothing; very long
+    ``text`` keeps characters whole: one goes if all its bytes go. ``keep``: further columns of ``docs`` to carry. A NULL text is empty; texts shorter than ``length`` lose nothing; very long
     texts are worked on whole; repeated rows are copies, and lose everything; an empty table gives an empty result.
     """
-    pressed, marked = repeated_passages(docs, length, id_col, text_col)
-    name = "text" if texts else "kept_sha256"
-    return (
-        pressed.join(marked, "row", "left").select("doc_id", "z", "runs")
-        .mapInArrow(_removed(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, rest string")
-        .withColumnRenamed("rest", name)
-    )
+    keep = keep or []
+    pressed, marked = repeated_passages(docs, length, id_col, text_col, keep)
+    kind = pressed.schema["kept"].dataType.simpleString()
+    out = pressed.join(marked, "row", "left").select("doc_id", "z", "runs", "kept").mapInArrow(
+        _removed(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, rest string, kept {kind}")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("rest").alias("text" if texts else "kept_sha256"),
+                      *[F.col("kept")[c].alias(c) for c in keep])
