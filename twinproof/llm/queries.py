@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens
+from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens, vectors
 from twinproof.llm.base import read
 
 
@@ -12,6 +12,10 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, folder, "embeddings"))
+
+
 def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
@@ -40,6 +44,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
