@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens, vectors
+from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
 from twinproof.llm.base import read
 
 
@@ -12,6 +12,10 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
 
 
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(read(spark, folder, "pages"), read(spark, folder, "labels"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(read(spark, folder, "embeddings"))
 
@@ -32,6 +36,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(read(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
@@ -44,14 +52,17 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_url_filters": op2_url_filters,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
+    "op9_warc": warc.SQL,
 }
