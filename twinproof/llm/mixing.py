@@ -75,7 +75,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "left", F.col("total") - F.coalesce(F.sum(F.when(F.col("stops"), F.col("ceiling"))).over(every), F.lit(0))).withColumn(
         "left_w", F.col("all_w") - F.coalesce(F.sum(F.when(F.col("stops"), F.col("w"))).over(every), F.lit(0)))
     return marked.select("source", "source_size", "no", F.when(F.col("stops"), F.col("ceiling").cast("double")).otherwise(
-        F.col("left").cast("double") * F.col("w") / F.col("left_w")).alias("target"))
+        F.try_divide(F.col("left").cast("double") * F.col("w"), F.col("left_w"))).alias("target"))
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:

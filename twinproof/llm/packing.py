@@ -190,7 +190,8 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, parts: int | None = None) -
     within = Window.partitionBy("_len", "_part").orderBy("doc_id", "piece")
     ranked = slim.withColumn("_row", F.row_number().over(within) - 1).join(starts, ["_len", "_part"]).withColumn(
         "_rank", F.col("_start") + F.col("_row"))
-    return ranked.join(single, ["_len", "_rank"]).select(*pieces.columns, "sequence_id", "offset")
+    # The tables of bins are small until their places are listed; Spark would take their size on disk for it and broadcast them.
+    return ranked.join(single.hint("merge"), ["_len", "_rank"]).select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, size: int = SIZE) -> DataFrame:

@@ -67,12 +67,12 @@ def base_failed() -> Column:
 
 
 def _values() -> dict[str, Column]:
-    part = lambda a, b: F.coalesce(F.floor(100 * F.col(a) / F.col(b)), F.lit(0))
+    part = lambda a, b: F.coalesce(F.floor(F.try_divide(100 * F.col(a), F.col(b))), F.lit(0))
     return {
         "symbols": part("n_symbols", "word_chars"),
         "dup_lines": part("n_dup_lines", "n_lines"),
         "repeats": part("n_repeat_words", "n_words"),
-        "word_length": F.coalesce(F.floor(10 * F.col("word_chars") / F.col("n_words")), F.lit(0)),
+        "word_length": F.coalesce(F.floor(F.try_divide(10 * F.col("word_chars"), F.col("n_words"))), F.lit(0)),
     }
 
 

@@ -73,8 +73,9 @@ def templates(urls: DataFrame) -> DataFrame:
         siblings = Window.partitionBy("host", "template")
         wide = counted.withColumns({"og": F.sum("g").over(siblings) - F.col("g"), "ob": F.sum("b").over(siblings) - F.col("b")})
         k, m = F.col("g") + F.col("b"), F.col("og") + F.col("ob")
-        rate = (F.col("g") + F.col("og")) / (k + m)
-        z = F.abs(F.col("g") / k - F.col("og") / m) / F.sqrt(rate * (1 - rate) * (1 / k + 1 / m))
+        rate = F.try_divide(F.col("g") + F.col("og"), k + m)
+        spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), k) + F.try_divide(F.lit(1), m)))
+        z = F.try_divide(F.abs(F.try_divide("g", k) - F.try_divide("og", m)), spread)
         differs = (k > 0) & (m > 0) & (rate > 0) & (rate < 1) & (z > DIFFERS)
         alone = F.count(F.lit(1)).over(siblings) == 1
         literal = (F.col("_c") != "*") & (F.col("n") >= SUPPORT) & (alone | F.coalesce(differs, F.lit(False)))
