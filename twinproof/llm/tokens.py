@@ -1,6 +1,6 @@
 """Token ids of texts, and counts of documents in flat token files without an index (operator 8).
 
-A token file is nothing but little-endian unsigned 32-bit identifiers, one document after the other, each ended by
+A token file is nothing but little-endian unsigned identifiers of 2 or 4 bytes, one document after the other, each ended by
 an end-of-document identifier. ``write_token_files`` makes such files; ``scan_documents`` finds the documents again:
 files are cut into blocks, each block is searched for the end identifier with a vector comparison, and documents that
 lie across blocks are stitched with a running count over the (few) rows of blocks.
@@ -85,7 +85,7 @@ def open_store(folder: str):
     return fs.LocalFileSystem(), folder
 
 
-def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str, vocabulary: str | None = None, end: int = END) -> DataFrame:
+def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str, vocabulary: str | None = None, end: int = END, width: int = 4) -> DataFrame:
     """Encode every text and write the ids to flat files in ``folder``; a row per file: path, n_bytes, ids.
 
     ``ids`` names the documents of a file in their order (the files hold no identifiers). A file gets a name of its
@@ -93,7 +93,8 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str,
     half-written is never read. A NULL or empty text is a document of no tokens. Each file closes at about 16 MB.
     """
     path = vocabulary or vocabulary_path()
-    stop = np.array([end], dtype="<u4").tobytes()
+    kind = f"<u{width}"
+    stop = np.array([end], dtype=kind).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, inner = open_store(folder)
@@ -109,7 +110,8 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str,
                     store.create_dir(inner, recursive=True)
                     name, held, ids = f"{inner}/{uuid.uuid4().hex}.tokens", 0, []
                     out = store.open_output_stream(name)
-                data = encode(text) + stop
+                data = encode(text)
+                data = (data if width == 4 else np.frombuffer(data, "<u4").astype(kind).tobytes()) + stop
                 out.write(data)
                 held += len(data)
                 ids.append(i)
@@ -127,22 +129,22 @@ _FILES = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("ids", pa.l
 _ENDS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("ends", pa.list_(pa.int64()))])
 
 
-def scan_documents(files: DataFrame, folder: str, end: int = END, block_bytes: int = 4 << 20) -> DataFrame:
+def scan_documents(files: DataFrame, folder: str, end: int = END, width: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
     """Documents of flat token files (columns path, n_bytes): path, ordinal, start, n_tokens (the end id not counted).
 
     Blocks are read and searched independently. Within a block all documents but the first and the last lie whole;
     the position where a document starts is the end before it, found across blocks by a running maximum over one row
     per block. Identifiers after the last end of a file are an unfinished document, which is not reported.
     """
-    step = block_bytes // 4 * 4
+    step = block_bytes // width * width
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(folder)
         for batch in batches:
             for path, block, size in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(path) as f:
-                    data = np.frombuffer(f.read_at(min(step, size - block * step), block * step), dtype="<u4")
-                found = np.flatnonzero(data == end) + block * (step // 4)
+                    data = np.frombuffer(f.read_at(min(step, size - block * step), block * step), dtype=f"<u{width}")
+                found = np.flatnonzero(data == end) + block * (step // width)
                 yield pa.RecordBatch.from_pydict(
                     {"path": [path], "block": [block], "n_tokens": [len(data)], "ends": [found]}, schema=_ENDS)
 
@@ -172,12 +174,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = vocabulary or vocabulary_path()
     end = _free_id(path)
+    width = 2 if end < 1 << 16 else 4
     folder = scratch(docs.sparkSession, "tokens")
-    files = write_token_files(docs, id_col, text_col, folder, path, end)
-    found = scan_documents(files, folder, end)
-    named = files.select("path", F.expr("n_bytes div 4").alias("file_tokens"), F.posexplode("ids").alias("ordinal", "doc_id"))
+    files = write_token_files(docs, id_col, text_col, folder, path, end, width)
+    found = scan_documents(files, folder, end, width)
+    named = files.select("path", F.expr(f"n_bytes div {width}").alias("file_tokens"), F.posexplode("ids").alias("ordinal", "doc_id"))
     return (
-        found.join(named.withColumn("ordinal", F.col("ordinal").cast("long")), ["path", "ordinal"])
+        found.join(named.withColumn("ordinal", F.col("ordinal").cast("long")).hint("merge"), ["path", "ordinal"])
         .select("doc_id", "n_tokens", "file_tokens")
     )
 
