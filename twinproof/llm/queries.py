@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
+from twinproof.llm import mainhtml, mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
 from twinproof.llm.base import read
 
 
@@ -16,6 +16,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read(spark, folder, "pages"), read(spark, folder, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return mainhtml.extract(read(spark, folder, "pages"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(read(spark, folder, "embeddings"))
 
@@ -53,6 +57,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_url_filters": op2_url_filters,
+    "op3_html_extraction": op3_html_extraction,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_sources": op5_mixing_sources,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
