@@ -26,7 +26,7 @@ CLOSES_P = set("address article aside blockquote div dl fieldset figure footer f
 ARTICLE = ("article", "main")
 
 #: Pages that the chain is trained on, at most, and passes over them.
-SAMPLE, STEPS = 600, 200
+SAMPLE, STEPS = 300, 120
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=[^a-zA-Z/!?])|[^<]+|<""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
