@@ -182,11 +182,11 @@ class Chain:
 
 def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, rate: float = 0.1, ridge: float = 1e-5) -> Chain:
     """Maximum likelihood by Adam, gradients by forward and backward sums over all pages at once."""
-    pages = [p for p in pages if p[0]]
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[1]))
     names = {f: i for i, f in enumerate(sorted({f for fs, _ in pages for b in fs for f in b}))}
     t, n = max(len(y) for _, y in pages), len(pages)
     owner = np.array([(i, k) for i, (fs, _) in enumerate(pages) for k in range(len(fs))])
-    x = np.zeros((len(owner), len(names)), np.float32)
+    x = np.zeros((len(owner), len(names)))
     for r, b in enumerate(b for fs, _ in pages for b in fs):
         x[r, [names[f] for f in b]] = 1
     y = np.concatenate([np.array(labels) for _, labels in pages])
@@ -194,6 +194,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ra
     here[owner[:, 0], owner[:, 1]] = True
     gold = np.zeros((n, t), int)
     gold[owner[:, 0], owner[:, 1]] = y
+    ends = here.sum(1) - 1
+    going = here.sum(0)  # pages that have a block at this place; they are the first ones
     w, moves = np.zeros(len(names)), np.zeros((2, 2))
     pair = here[:, 1:]
     seen = np.array([[(pair & (gold[:, :-1] == i) & (gold[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
@@ -206,12 +208,12 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ra
         fore, back = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         fore[:, 0] = unary[:, 0]
         for k in range(1, t):
-            new = add(np.swapaxes(fore[:, k - 1, :, None] + moves, 1, 2)) + unary[:, k]
-            fore[:, k] = np.where(here[:, k, None], new, fore[:, k - 1])
+            m = going[k]
+            fore[:m, k] = add(np.swapaxes(fore[:m, k - 1, :, None] + moves, 1, 2)) + unary[:m, k]
         for k in range(t - 2, -1, -1):
-            new = add(moves + (unary[:, k + 1] + back[:, k + 1])[:, None, :])
-            back[:, k] = np.where(here[:, k + 1, None], new, 0)
-        z = add(fore[:, -1])
+            m = going[k + 1]
+            back[:m, k] = add(moves + (unary[:m, k + 1] + back[:m, k + 1])[:, None, :])
+        z = add(fore[np.arange(n), ends])
         p = np.exp((fore + back)[owner[:, 0], owner[:, 1], 1] - z[owner[:, 0]])
         both = np.exp(fore[:, :-1, :, None] + moves + (unary + back)[:, 1:, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
         grad = np.concatenate(((x.T @ (y - p)) / total - ridge * w, ((seen - both.sum((0, 1))) / total - ridge * moves).ravel()))
