@@ -118,23 +118,19 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int,
     return [(b, n) for bins in rooms.values() for b, n in bins.items()]
 
 
-def _packed(frame: pd.DataFrame, size: int) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
-    counts = {int(k): int(c) for k, c in frame.groupby("length")["n"].sum().items()}
-    bins = best_fit(counts, size)
-    return bins, sum(n for _, n in bins) > lower_bound(counts, size)
-
-
 def plan_bins(counts: DataFrame, size: int = SIZE, parts: int = 1) -> DataFrame:
     """Bins for counted lengths (part, length, n): columns bin (array of lengths) and n, the number of such bins.
 
-    Each round packs every part and certifies it against its lower bound. Full bins are done, and so are the bins of a
-    part without a gap except its emptiest one; the pieces of all others meet in a quarter of the parts. A part holds at
-    most ``size`` rows at any input size, for it is counts that travel.
+    Each round packs every part and holds it against its lower bound. A part has a gap if it takes more bins than the bound, or if
+    the bound, though met, leaves room that pieces of other parts may fill (it exceeds the sum of lengths). Full bins are done, and so are
+    the bins of a part without a gap except its emptiest one; the pieces of all others meet in a quarter of the parts. A part holds at most ``size``
+    rows at any input size, for it is counts that travel.
     """
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         counted = {int(k): int(c) for k, c in frame.groupby("length")["n"].sum().items()}
         bins = sorted(best_fit(counted, size), key=lambda x: sum(x[0]))
-        gap = sum(n for _, n in bins) > lower_bound(counted, size)
+        used, area = sum(n for _, n in bins), -(-sum(k * c for k, c in counted.items()) // size)
+        gap = used > min(area, lower_bound(counted, size))
         rows = [(sum(b) == size or not gap, list(b), n) for b, n in bins]
         if rows and not gap and sum(bins[0][0]) < size:
             (_, b, n), *rest = rows
