@@ -129,16 +129,16 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes as bytes."""
+    """(doc_id, text, n, sketch) to (doc_id, set, n, sketch): the sorted shingle hashes as bytes."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             if len(known) > 500_000:
                 known.clear()
             sets = [shingle_hashes(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "set", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, set binary")
+    return docs.select("doc_id", "text", "n", "sketch").mapInArrow(make, "doc_id long, set binary, n long, sketch binary")
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +208,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # Full sets of the classes that are in some cluster; computed anew from the texts, which is less than keeping all.
     members = clusters.select(F.col("rep").alias("doc_id")).distinct()
+    info = classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(
-        shingle_sets(texts.join(members, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"])
-        .join(classes.select(F.col("rep").alias("doc_id"), "n", "sketch"), "doc_id"), "sets")
+    # The members grow with the corpus, so they are never broadcast; all that is needed of a class is joined before the sets are made.
+    sets = stored(shingle_sets(texts.join(info.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), width), "sets")
 
     # Members against their hub: by likelihood first, then on full sets.
     hub_sketch = sets.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
