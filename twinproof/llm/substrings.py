@@ -28,7 +28,7 @@ from twinproof.llm.base import mix, stored
 
 LENGTH, GRAM, SYMBOL = 200, 32, 50
 #: Bytes of contexts merged at once in a task, and the shards they come in.
-BATCH, SHARDS = 3 << 20, 8
+BATCH, SHARDS = 3 << 18, 8
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -124,9 +124,9 @@ def _anchors(length: int):
             rows = batch.column(0).to_numpy()
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             at = 0
-            while at < len(texts):  # about a megabyte at a time
+            while at < len(texts):  # about half a megabyte at a time
                 end, size = at, 0
-                while end < len(texts) and (size < 1 << 20 or end == at):
+                while end < len(texts) and (size < 1 << 19 or end == at):
                     size += len(texts[end])
                     end += 1
                 i, first, n, key, ctx = contexts(texts[at:end], length)
