@@ -11,7 +11,7 @@ from statistics import median
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, HERE)
 
-from twinproof.operators import compare, fold, ordered, questions, reconcile  # noqa: E402
+from twinproof.operators import compare, fold, questions, reconcile  # noqa: E402
 from twinproof.registry.base import ANCHOR, BY_TENANT  # noqa: E402
 from twinproof.session import scratch, session  # noqa: E402
 from twinproof.sources import feed, tables  # noqa: E402
@@ -33,7 +33,6 @@ def main() -> None:
     tables.write_version_log(feed.event_log(events), path, BY_TENANT.order_by, "ts")
     log = tables.read_version_log(spark, path)
     source = feed.events_after_changes(events)
-    splits = ordered.value_splits(events, "value")
 
     def asked(rows, name):
         if name == "dau_30d":
@@ -42,7 +41,7 @@ def main() -> None:
             return questions.kinds_per_week(rows, "ts", "event_type")
         if name == "top10_accounts":
             return questions.top_accounts(questions.since(rows, "ts", ANCHOR, 7), "user_id")
-        return questions.p95_continuous(questions.since(rows, "ts", ANCHOR, 30), "event_type", "value", splits=splits)
+        return questions.p95_continuous(questions.since(rows, "ts", ANCHOR, 30), "event_type", "value")
 
     def live(name):
         carried = {"kind_per_week": ["event_type"], "p95_cont": ["event_type", "value"]}.get(name, [])

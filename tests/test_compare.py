@@ -135,3 +135,10 @@ def test_sample_is_repeatable(spark):
 def test_decimal_text(spark):
     left = spark.createDataFrame([(Decimal("3.140000000"),)], "v decimal(20,9)")
     assert one(spark, left, text(spark, "3.14"))["match"]
+
+
+def test_marks_inside_texts_never_look_like_borders_or_nulls(spark):
+    pair = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    for left, right in (([("a\x1fb", "c")], [("a", "b\x1fc")]), ([(None, "x")], [("\x00", "x")]), ([("\x10s", "x")], [("\x1f", "x")])):
+        assert comparing.compare("q", pair(left), pair(right)).first()["match"] is False
+        assert comparing.compare("q", pair(left), pair(left)).first()["match"] is True

@@ -18,8 +18,6 @@ def test_all_folds_agree(spark, events, mode):
     log = feed.event_log(events, mode)
     want = rows(folding.fold(log, KEY))
     assert rows(folding.fold_by_rank(log, KEY)) == want
-    assert rows(folding.fold_touched(log, KEY)) == want
-    assert rows(folding.fold_touched(log, KEY, bits=64)) == want  # every bit set: everything is folded
     assert rows(folding.fold_over_snapshot(events, log.where(F.col(VERSION) > 0), KEY)) == want
     numbers = ["event_id", "user_id", "value"]
     assert rows(folding.fold(log, KEY, numbers)) == rows(folding.fold_by_rank(log, KEY).select(*numbers))
@@ -92,3 +90,16 @@ def test_feed_reads_its_table_once_and_only_needed_columns(events):
     plan = plan_of(feed.event_log(events).select("event_id", VERSION))
     assert plan.count("FileScan") == 1
     assert "ReadSchema: struct<event_id:bigint>" in plan
+
+
+def test_equal_versions_never_mix_rows(spark):
+    log = spark.createDataFrame([(1, f"x{i}", f"y{i}", 3, False) for i in range(20)], f"id int, x string, y string, {VERSION} long, {DELETED} boolean").repartition(5)
+    for live in (folding.newest(log, ["id"]), folding.fold(log, ["id"]), folding.fold_by_rank(log, ["id"])):
+        row = live.first()
+        assert row["x"][1:] == row["y"][1:]
+
+
+def test_a_copied_snapshot_is_not_copied_again(spark, events, tmp_path):
+    tables.copy_snapshot(events, "event_id", str(tmp_path / "copy"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.copy_snapshot(events, "event_id", str(tmp_path / "copy"))

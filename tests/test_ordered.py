@@ -147,3 +147,20 @@ def test_counter_rate_does_not_depend_on_cells(spark):
     for _, t, i, c in rows:
         first = min(x for x in rows if t - 300 <= x[1] <= t)
         assert got[i] == (None if first[1] == t else pytest.approx(2.0))
+
+
+def test_equal_bits_for_one_chunk_and_many(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i % 3, rng.random() * 100) for i in range(2000)], "g int, v double")
+    one = {r["g"]: r["p"] for r in ordered.interpolated_percentile(df, ["g"], "v", 0.95, "p", splits=[]).collect()}
+    many = {r["g"]: r["p"] for r in ordered.interpolated_percentile(df, ["g"], "v", 0.95, "p", chunks=50).collect()}
+    assert one == many and all(v is not None for v in one.values())
+
+
+def test_strict_carry_ignores_rows_of_the_same_time(spark):
+    rows = [("a", 10, "stop"), ("a", 10, "start"), ("a", 12, "start"), ("a", 12, "start"), ("a", 15, "stop"), ("b", 11, "start")]
+    for chunks in (1, 4):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "s string, t int, action string")
+            got = ordered.carry(df, ["s"], ["t"], {"n": F.when(F.col("action") == "start", F.col("t"))}, forward=False, strict=True, chunks=chunks)
+            assert {(r["s"], r["t"], r["n"]) for r in got.collect()} == {("a", 10, 12), ("a", 12, None), ("a", 15, None), ("b", 11, None)}

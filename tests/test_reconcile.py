@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from twinproof.functions import clock
 from twinproof.functions.names import DELETED, SKIP_NOT_SINGLE_KEY, VERSION
 from twinproof.functions.terms import comparable_terms
@@ -199,6 +200,49 @@ def test_snapshot_copies_with_and_without_clustering(spark, events, tmp_path):
 
 
 def test_shadow_metrics(spark):
-    row = spark.createDataFrame([(5, 3, 1, 1)], "shadowed long, matches long, mismatches long, errors long")
-    got = {r["name"]: r["value"] for r in status.shadow_metrics(row).collect()}
-    assert got == {"shadow_reads_total": 5.0, "shadow_mismatch_total": 1.0, "shadow_errors_total": 1.0}
+    row = spark.createDataFrame([(5, 3, 1, 1, 1500.0, 20.0)], "shadowed long, matches long, mismatches long, errors long, left_ms double, right_ms double")
+    got = {(r["name"], *r["labels"].values()): r["value"] for r in status.shadow_metrics(row, {"left_only": 7}).collect()}
+    assert got == {
+        ("shadow_reads_total", "shadow"): 5.0, ("shadow_mismatch_total", "shadow"): 1.0, ("shadow_errors_total", "shadow"): 1.0,
+        ("shadow_latency_seconds_sum", "left"): 1.5, ("shadow_latency_seconds_count", "left"): 4.0,
+        ("shadow_latency_seconds_sum", "right"): 0.02, ("shadow_latency_seconds_count", "right"): 4.0, ("reads_total", "left_only"): 7.0}
+    lines = [r["line"] for r in status.exposition(status.shadow_metrics(row)).collect()]
+    assert "# TYPE shadow_reads_total counter" in lines and 'shadow_latency_seconds_sum{store="left"} 1.5' in lines
+
+
+def test_label_values_are_escaped(spark):
+    row = spark.createDataFrame([("m", {"a": 'x"y\\z\n'}, 1.0)], "name string, labels map<string,string>, value double")
+    assert status.exposition(row).collect()[2]["line"] == 'm{a="x\\"y\\\\z\\n"} 1'
+
+
+def test_metrics_read_each_log_once(spark, events, tmp_path):
+    feed.event_log(events).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    page = status.exposition(status.status_metrics(status.replication_status(log, {"a": log, "b": log}, "t"), "m", "RUNNING"))
+    assert plan_of(page).count("FileScan") <= 3
+
+
+def test_rows_without_a_time_are_judged(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b")], "event_id long, ts timestamp, x string")
+    spec = TableSpec("t", ["event_id"], ["event_id"], "ts")
+    one = reconcile.summarise_days(reconcile.check_days(rows, {"r": feed_of(rows.limit(1))}, spec, "2024-01-31")).first()
+    assert not one["ok"] and one["bad_days"] == ["<null> source=2 r=1"]
+
+
+def feed_of(rows):
+    return rows.withColumns({"_version": F.lit(0).cast("bigint"), "_is_deleted": F.lit(False)})
+
+
+def test_keys_at_both_ends_of_the_range(spark):
+    rows = spark.createDataFrame([(1, "a"), (2**63 - 1, "b")], "event_id long, x string")
+    got = reconcile.check_buckets(rows, {"r": feed_of(rows)}, TableSpec("t", ["event_id"], ["event_id"])).collect()
+    assert len(got) == 2 and all(r["same"] for r in got)
+
+
+def test_a_table_that_fails_while_running_stops_no_other(spark):
+    good = spark.createDataFrame([(1, "a")], "event_id long, x string")
+    bad = good.withColumn("ts", F.col("x").cast("int").cast("timestamp"))
+    out = reconcile.check_tables([
+        (TableSpec("bad", ["event_id"], ["event_id"], "ts"), bad, {"r": feed_of(bad)}), (TableSpec("good", ["event_id"], ["event_id"]), good, {"r": feed_of(good)})], "2024-01-31")
+    got = {r["table"]: (r["ok"], r["error"] is None) for r in out.collect()}
+    assert got == {"bad": (False, False), "good": (True, True)}

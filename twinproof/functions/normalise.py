@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .names import FIELD_SEPARATOR, SIGNIFICANT_DIGITS
 
 NULL_MARK = "\x00"  # a NULL never equals the text 'NULL'
+# Marks that stand in a text themselves are written differently, so that no text looks like a NULL or a border of fields.
+_ESCAPES = (("\x10", "\x10\x10"), (FIELD_SEPARATOR, "\x10s"), (NULL_MARK, "\x10z"))
 _NUMERIC_TEXT = r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"
 
 
@@ -50,6 +52,9 @@ def normalised(c: Column, t: T.DataType, digits: int | None = SIGNIFICANT_DIGITS
         out = F.lit(None).cast("string")
     else:
         out = F.to_json(F.struct(c.alias("v")))
+    if isinstance(t, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
+        for mark, written in _ESCAPES:
+            out = F.replace(out, F.lit(mark), F.lit(written))
     return F.when(c.isNull(), F.lit(NULL_MARK)).otherwise(out)
 
 
@@ -63,4 +68,7 @@ def row_text(df: DataFrame, digits: int | None = SIGNIFICANT_DIGITS) -> Column:
 
 def readable(c: Column) -> Column:
     """The canonical string as people read it."""
-    return F.replace(F.replace(c, F.lit(FIELD_SEPARATOR), F.lit(", ")), F.lit(NULL_MARK), F.lit("NULL"))
+    out = F.replace(F.replace(c, F.lit(FIELD_SEPARATOR), F.lit(", ")), F.lit(NULL_MARK), F.lit("NULL"))
+    for mark, written in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(written), F.lit(mark))
+    return out

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from twinproof.functions.names import SHADOW_RATE, SHADOW_TIMEOUT_SECONDS, SIGNIFICANT_DIGITS
 from twinproof.functions.normalise import readable, row_text
 
+from twinproof.session import pinned
+
 from .onerow import side_by_side
 from .ordered import with_position
 
@@ -194,21 +196,20 @@ class ShadowReader:
         tag = f"shadow-{uuid.uuid4().hex}"
         try:
             t0 = time.perf_counter()
-            answer.write.format("noop").mode("overwrite").save()
+            left = pinned(answer)
             t1 = time.perf_counter()
-            # A right side that is too slow has its Spark jobs cancelled, which surfaces here as an error.
+            # A right side, or a comparison, that is too slow has its Spark jobs cancelled, which surfaces here as an error.
             context = self.spark.sparkContext
             context.addJobTag(tag)
             watchdog = threading.Timer(self.timeout, context.cancelJobsWithTag, [tag])
             watchdog.start()
             try:
-                right = pair.right(self.spark)
-                right.write.format("noop").mode("overwrite").save()
+                right = pinned(pair.right(self.spark))
+                t2 = time.perf_counter()
+                found = Mismatch(**compare(pair.name, left, right, pair.order).first().asDict())
             finally:
                 watchdog.cancel()
                 context.removeJobTag(tag)
-            t2 = time.perf_counter()
-            found = Mismatch(**compare(pair.name, answer, right, pair.order).first().asDict())
             row |= {"match": found.match, "left_ms": (t1 - t0) * 1000, "right_ms": (t2 - t1) * 1000}
             if not found.match and self.on_mismatch:
                 self.on_mismatch(found)

@@ -4,42 +4,35 @@ A version log holds every row several times: source columns + ``_version`` + ``_
 newest version per whole sort key and then drops deleted rows. The order matters: the delete flag is tested only
 after the fold.
 
-Every fold has a map-side step, so a key that owns a third of all versions is reduced before the shuffle. ``max_by``
-per column (not over one struct) lets Catalyst drop the columns a caller never reads; with one or two fixed-width
-columns the fold runs as hash aggregation, otherwise it ranks rows.
+Every fold has a map-side step, so a key that owns a third of all versions is reduced before the shuffle. All columns of a
+live row come from one version, also where a key repeats a version.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinproof.functions.names import DELETED, VERSION
 
-_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-_FEW = 2  # each max_by carries its own version; beyond this, ranking rows moves less (measured)
-
 
 def newest(log: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, order: str | Column = VERSION) -> DataFrame:
     """The newest version per key, deletes included.
 
-    Within one key versions must differ. Where a source can repeat a version, pass an ``order`` that breaks the tie
-    (for example ``F.struct("_version", "op_order")``).
+    Where a source can repeat a version, pass an ``order`` that breaks the tie (for example ``F.struct("_version",
+    "op_order")``); without one, any of the rows with the newest version is taken, as a whole.
     """
     columns = [c for c in (columns or log.columns) if c not in key]
-    return log.groupBy(*key).agg(*[F.max_by(F.col(c), order).alias(c) for c in columns])
+    one = log.groupBy(*key).agg(F.max_by(F.struct(*columns), order).alias("_row"))
+    return one.select(*key, *[F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def fold(
     log: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, order: str | Column = VERSION
 ) -> DataFrame:
     """The live view: newest version per key, deleted rows dropped. ``columns`` limits what is carried."""
-    wanted = list(columns) if columns is not None else [c for c in log.columns if c not in (VERSION, DELETED)]
-    carried = [c for c in wanted if c not in key] + [DELETED]
-    if len(carried) <= _FEW and all(isinstance(log.schema[c].dataType, _FIXED) for c in carried):
-        return newest(log, key, carried, order).where(~F.col(DELETED)).select(*wanted)
-    return fold_by_rank(log, key, wanted, order)
+    return fold_by_rank(log, key, columns, order)
 
 
 def fold_by_rank(
@@ -71,40 +64,6 @@ def fold_over_snapshot(snapshot: DataFrame, changes: DataFrame, key: Sequence[st
     return untouched.unionByName(fold(changes, key, wanted))
 
 
-TOUCH_BITS = 1 << 24
-
-
-def touched_words(changes: DataFrame, key: Sequence[str], bits: int = TOUCH_BITS) -> DataFrame:
-    """A bitmap of changed keys, one row ``(word, mask)`` per 64 hash values: at most ``bits / 64`` rows, whatever the
-    number of changes."""
-    place = F.pmod(F.xxhash64(*key), F.lit(bits).cast("bigint"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
-    return changes.groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(bit).alias("_mask"))
-
-
-def fold_touched(
-    log: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, bits: int = TOUCH_BITS
-) -> DataFrame:
-    """The live view of a log whose snapshot rows (version 0, one per key) mostly never changed.
-
-    A bitmap of changed keys, of fixed size and therefore safe to broadcast, splits the snapshot: rows whose bit is
-    unset certainly have no later version and are live as they are, without any shuffle. All other rows, changed or
-    merely sharing a bit, are folded exactly. The result never depends on ``bits``; only the amount folded does.
-    """
-    wanted = list(columns) if columns is not None else [c for c in log.columns if c not in (VERSION, DELETED)]
-    slim = log.select(*dict.fromkeys([*key, *wanted, VERSION, DELETED]))
-    changes = slim.where(F.col(VERSION) > 0)
-    base = slim.where(F.col(VERSION) == 0)
-    place = F.pmod(F.xxhash64(*key), F.lit(bits).cast("bigint"))
-    marked = base.withColumn("_place", place).withColumn("_w", F.shiftright("_place", 6)).join(
-        F.broadcast(touched_words(changes, key, bits)), F.col("_w") == F.col("_word"), "left"
-    )
-    bit = F.call_function("getbit", F.coalesce("_mask", F.lit(0).cast("bigint")), F.pmod("_place", F.lit(64)).cast("int"))
-    clean = marked.where((bit == 0) & ~F.col(DELETED)).select(*wanted)
-    suspect = marked.where(bit == 1).select(*slim.columns)
-    return clean.unionByName(fold(suspect.unionByName(changes), key, wanted))
-
-
 def fold_terms(log: DataFrame, key: Sequence[str], terms: dict[str, Column], order: str | Column = VERSION) -> DataFrame:
     """Live rows reduced to the key and fixed-width per-row terms, computed before the shuffle.
 

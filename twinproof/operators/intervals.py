@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinproof.functions.clock import ticks
 from twinproof.functions.names import FIRST_CYCLE_SECONDS, FAULT_EVERY_SECONDS, FAULT_TOLERANCE_SECONDS
+from twinproof.session import pinned
 
 from . import ordered
 
@@ -21,7 +22,8 @@ def _cells(begin: Column, end: Column, width: int) -> Column:
 
 def merge_windows(windows: DataFrame, label: str, w_begin: str, w_end: str, **kw) -> DataFrame:
     """Per label, windows that overlap become one; what overlaps any of them overlaps the merged one and vice versa."""
-    w = windows.select(label, w_begin, w_end).distinct()
+    # Four passes follow, and windows mostly stand at the end of longer work: written once, read four times.
+    w = pinned(windows.select(label, w_begin, w_end).distinct())
     splits = ordered.split_points(w, w_begin, kw.get("chunks"))
     w = ordered.running(w, [label], [w_begin, w_end], "_reach", ticks(w_end), "max", inclusive=False, splits=splits)
     fresh = (F.col("_reach").isNull() | (ticks(w_begin) >= F.col("_reach"))).cast("int")
@@ -65,10 +67,11 @@ def overlap_labels(
 def next_after(
     events: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: Column, name: str, value: str | None = None, **kw
 ) -> DataFrame:
-    """For each row the ``value`` (by default the time) of the next later row of its key that satisfies ``wanted``."""
+    """For each row the ``value`` (by default the time) of the next row of its key that satisfies ``wanted`` and is later:
+    rows of the same time do not count, in whatever order they lie."""
     value = value or order[0]
     return ordered.carry(
-        events, keys, order, {name: F.when(wanted, F.col(value))}, inclusive=False, forward=False, **kw
+        events, keys, order, {name: F.when(wanted, F.col(value))}, inclusive=False, forward=False, strict=True, **kw
     )
 
 

@@ -17,8 +17,6 @@ from twinproof.functions.clock import ticks
 from twinproof.session import pinned
 
 SPLIT_SAMPLE = 0.1
-SMALL = 50_000
-FEW_VALUES = 500_000
 _CHUNK = "_chunk"
 _TICK = "_tick"
 
@@ -34,37 +32,24 @@ def order_value(df: DataFrame, column: str) -> Column:
 
 
 def chunk_count(df: DataFrame) -> int:
-    """As many chunks as the session has shuffle partitions, within sensible bounds."""
-    return min(4096, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many chunks as the session has shuffle partitions, and 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def split_points(df: DataFrame, column: str, chunks: int | None = None) -> list:
     """Fewer than ``chunks`` increasing values that cut the rows into parts of about equal size.
 
     The driver receives just these values. They shape the distribution of work only: any split points give the same
-    result, so a sketch over a sample is enough, and points taken from an unfolded log serve its folded view. Few
-    rows (about ``SMALL``) stay in one chunk unless ``chunks`` asks for more.
+    result, none at all included, so a sketch over a sample is enough, and points taken from an unfolded log serve its
+    folded view.
     """
     parts = chunks or chunk_count(df)
     shares = [i / parts for i in range(1, parts)]
     values = df.select(order_value(df, column).alias("v"))
     if not chunks:
         values = values.sample(SPLIT_SAMPLE, seed=7)
-    row = values.select(
-        F.percentile_approx("v", shares, 10 * parts).alias("s"), F.count(F.lit(1)).alias("n")
-    ).first()
-    few = not chunks and row["n"] < SMALL * SPLIT_SAMPLE
-    return [] if few else sorted(set(row["s"] or []))
-
-
-def value_splits(df: DataFrame, column: str, chunks: int | None = None) -> list:
-    """Split points for :func:`order_statistics`, which handles each distinct value once: a column with few distinct
-    values (estimated from the sample, below ``FEW_VALUES``) needs no chunks however many rows it has."""
-    if not chunks:
-        values = df.select(order_value(df, column).alias("v")).sample(SPLIT_SAMPLE, seed=7)
-        if values.select(F.approx_count_distinct("v").alias("d")).first()["d"] < FEW_VALUES * SPLIT_SAMPLE:
-            return []
-    return split_points(df, column, chunks or chunk_count(df))
+    points = values.select(F.percentile_approx("v", shares, 10 * parts).alias("s")).first()["s"] if shares else None
+    return sorted(set(points or []))
 
 
 def _literal(value) -> str:
@@ -121,27 +106,30 @@ def carry(
     forward: bool = True,
     chunks: int | None = None,
     splits: Sequence | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Add, per row, the nearest non-NULL value at or before it within its key (``forward``), or at or after it.
 
     ``order`` is a list of column names; its first column is numeric or a time and places the chunks, the others
-    break ties. ``inclusive=False`` looks at other rows only.
+    break ties. ``inclusive=False`` looks at other rows only; ``strict`` only at rows whose first order column differs,
+    so that rows of one time never depend on how they happen to lie.
     """
     if not order or any(not isinstance(c, str) for c in order):
         raise TypeError("order is a list of column names")
     splits = split_points(df, order[0], chunks) if splits is None else splits
     ordering = [F.col(c).asc() if forward else F.col(c).desc() for c in order]
-    if not splits:  # few rows: one window per key
-        w = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        return df.select("*", *[F.last(v, ignorenulls=True).over(w).alias(n) for n, v in values.items()])
     rows = _chunked(df, order[0], splits)
     rows = rows.withColumns({f"_in_{n}": v for n, v in values.items()})
     place = F.struct(*[F.col(c) for c in order])
     pick = F.max_by if forward else F.min_by
 
-    local = Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
+    if strict:  # equal values of the first order column always share a chunk
+        towards = F.col(_TICK).asc() if forward else F.col(_TICK).desc()
+        local = Window.partitionBy(*keys, _CHUNK).orderBy(towards).rangeBetween(Window.unboundedPreceding, -1)
+    else:
+        local = Window.partitionBy(*keys, _CHUNK).orderBy(*ordering).rowsBetween(
+            Window.unboundedPreceding, 0 if inclusive else -1
+        )
     across = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).asc() if forward else F.col(_CHUNK).desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -180,9 +168,6 @@ def running(
     """Add the running ``sum`` or ``max`` of ``value`` within each key, in order; NULL where nothing precedes."""
     fold = {"sum": F.sum, "max": F.max}[kind]
     splits = split_points(df, order[0], chunks) if splits is None else splits
-    if not splits:  # few rows: one window per key
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        return df.select("*", fold(value).over(w).alias(name))
     rows = _chunked(df, order[0], splits).withColumn("_add", value)
     local = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
@@ -262,7 +247,7 @@ def order_statistics(
     group is ever sorted in one place unless its distinct values are few.
     """
     rows = df.where(F.col(column).isNotNull())
-    splits = value_splits(rows, column, chunks) if splits is None else splits
+    splits = split_points(rows, column, chunks) if splits is None else splits
     counted = (
         rows.groupBy(*keys, F.col(column).alias("_v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
@@ -271,10 +256,6 @@ def order_statistics(
     wanted = lambda n: F.array(*[
         F.struct(F.lit(name).alias("name"), rank(n).cast("bigint").alias("k")) for name, rank in ranks.items()
     ])
-    if not splits:  # few distinct values: one window per group over their counts
-        upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        near = counted.select("*", F.sum("_c").over(upto).alias("_end"), F.sum("_c").over(whole).alias("_n"))
-        return _at_ranks(near.withColumn("_w", wanted(F.col("_n"))), keys, ranks)
     counted = counted.withColumn(_TICK, order_value(counted, "_v")).withColumn(_CHUNK, chunk_of(_TICK, splits))
     per_chunk = counted.groupBy(*keys, _CHUNK).agg(F.sum("_c").alias("_c"))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -308,17 +289,9 @@ def _at_ranks(near: DataFrame, keys: Sequence[str], ranks: dict[str, object]) ->
 def interpolated_percentile(
     df: DataFrame, keys: Sequence[str], column: str, p: float, name: str, chunks: int | None = None, splits: Sequence | None = None
 ) -> DataFrame:
-    """The continuous percentile: linear between the two elements around p * (n - 1).
-
-    Spark's ``percentile`` keeps the counts of a group's distinct values in one task; it is used where those are known
-    to be few, order statistics otherwise.
-    """
-    splits = value_splits(df, column, chunks) if splits is None else splits
-    if not splits:
-        built_in = df.groupBy(*keys).agg(F.count(column).alias("n"), F.percentile(column, F.lit(p)).alias(name))
-        return built_in.where(F.col("n") > 0)
+    """The continuous percentile: linear between the two elements around p * (n - 1)."""
     ranks = {"_lo": rank_below(p), "_hi": lambda n: F.ceil(F.lit(p) * (n - 1))}
-    both = order_statistics(df, keys, column, ranks, splits=splits)
+    both = order_statistics(df, keys, column, ranks, chunks=chunks, splits=splits)
     at = F.lit(p) * (F.col("n") - 1)
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
     return both.select(*keys, "n", value.alias(name))

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from twinproof.functions.clock import NO_TIME_DAY, day_key
+from twinproof.functions.clock import NO_TIME_DAY, NULL_DAY, day_key
 from twinproof.functions.names import BUCKETS, DELETED, SKIP_NOT_SINGLE_KEY, VERSION
 from twinproof.functions.terms import Term, comparable_terms, strict_term, term_sum
 
@@ -61,7 +61,8 @@ def check_days(
 
     Columns: ``table``, ``day``, ``source_rows``, ``replica_rows`` (map replica to count), ``same``, ``settled``,
     ``line`` (``2026-09-01 source=10 a=9``). Days before ``today`` are settled and judged. A table without a time
-    column has the single day ``all``, which counts as settled: no later day could ever settle it.
+    column has the single day ``all``, and rows without a time the day ``<null>``; both count as settled, for no later day
+    could ever settle them.
     """
     names = list(replicas)
     sides = count_days(source, spec.time_column).withColumn(SIDE, F.lit(SOURCE + ":"))
@@ -86,7 +87,7 @@ def check_days(
         "source_rows",
         F.create_map(*pairs).alias("replica_rows"),
         same.alias("same"),
-        ((F.col("day") == NO_TIME_DAY) | (F.col("day") < F.lit(today))).alias("settled"),
+        (F.col("day").isin(NO_TIME_DAY, NULL_DAY) | (F.col("day") < F.lit(today))).alias("settled"),
         line.alias("line"),
     )
 
@@ -116,21 +117,22 @@ def summarise_days(days: DataFrame) -> DataFrame:
     return side_by_side(main, totals, by=("table",)).withColumn("error", F.lit(None).cast("string"))
 
 
+_FAILED = "table string, ok boolean, error string"
+
+
 def check_tables(tables: Iterable[tuple[TableSpec, DataFrame, Mapping[str, DataFrame]]], today: str) -> DataFrame:
-    """Check several tables; one that cannot be read is reported in ``error`` and does not stop the others."""
-    parts, failed = [], []
-    spark = None
+    """Check several tables; one that cannot be read or evaluated is reported in ``error`` and does not stop the others.
+
+    Each table is an action of its own that yields one row, bounded by the calendar; the rows are put together here.
+    """
+    parts, spark = [], None
     for spec, source, replicas in tables:
         spark = source.sparkSession
         try:
             checked = summarise_days(check_days(source, replicas, spec, today))
-            checked.schema  # analysis errors (a missing column) surface here
-            parts.append(checked)
+            parts.append(spark.createDataFrame(checked.collect(), checked.schema))
         except Exception as e:  # noqa: BLE001 - reported as data
-            failed.append((spec.name, False, str(e).split("\n")[0]))
-    if failed:
-        errors = spark.createDataFrame(failed, "table string, ok boolean, error string")
-        parts.append(errors)
+            parts.append(spark.createDataFrame([(spec.name, False, str(e).split("\n")[0])], _FAILED))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -254,8 +256,9 @@ def check_buckets(
     return wide.select(
         F.lit(spec.name).alias("table"),
         "bucket",
-        low.cast("bigint").alias("low"),
-        high.cast("bigint").alias("high"),
+        # A bucket may reach past the largest bigint; the line shows its bounds in full.
+        low.try_cast("bigint").alias("low"),
+        high.try_cast("bigint").alias("high"),
         "source_sums",
         F.create_map(*[x for n, g in zip(names, got) for x in (F.lit(n), g)]).alias("replica_sums"),
         same.alias("same"),

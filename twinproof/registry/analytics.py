@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinproof.operators import compare as comparing, ordered, questions, series
 from twinproof.operators.fold import fold
-from twinproof.sources import derived
+from twinproof.registry import derived
 from twinproof.verdicts import benchtable, claims as claiming
 
 from .base import (
@@ -77,7 +77,7 @@ def top10_accounts(spark, d):
 def p95_cont(spark, d):
     rows = questions.since(live(spark, d, "event_type", "value"), "ts", ANCHOR, 30)
     # Split points need no fold: the log's own values place the chunks just as well.
-    splits = ordered.value_splits(log(spark, d), "value")
+    splits = ordered.split_points(log(spark, d), "value")
     return questions.p95_continuous(rows, "event_type", "value", splits=splits).withColumn("p95", F.round("p95", 6))
 
 
@@ -86,7 +86,7 @@ def p95_cont(spark, d):
 SELECT event_type, value AS p95 FROM ranked WHERE i = CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT)""")
 def p95_exact(spark, d):
     rows = questions.since(live(spark, d, "event_type", "value"), "ts", ANCHOR, 30)
-    return questions.p95_exact(rows, "event_type", "value", splits=ordered.value_splits(log(spark, d), "value"))
+    return questions.p95_exact(rows, "event_type", "value", splits=ordered.split_points(log(spark, d), "value"))
 
 
 # --- order statistics and bench documents -----------------------------------------------------------------------------

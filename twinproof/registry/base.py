@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinproof.operators.reconcile import TableSpec
 from twinproof.session import prepare
-from twinproof.sources import derived, feed, logs
+from twinproof.registry import derived
+from twinproof.sources import feed, logs
 from twinproof.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinproof.functions.names import DELETED, VERSION
 from twinproof.functions.terms import comparable_terms, term_sum
-from twinproof.operators import fold as folding, reconcile, status
+from twinproof.operators import compare, fold as folding, reconcile, status
 from twinproof.operators.onerow import side_by_side
 from twinproof.plans import catalog, propose
 from twinproof.session import pinned, scratch
@@ -64,7 +64,10 @@ def fold_over_snapshot(spark, d):
 
 @query("fold_touched", f"WITH {feed_sql()}, {live_sql()} SELECT * FROM live")
 def fold_touched(spark, d):
-    return folding.fold_touched(log(spark, d), ["event_id"])
+    """The log's own version 0 as snapshot."""
+    whole = log(spark, d)
+    first = whole.where(F.col(VERSION) == 0).drop(VERSION, "_is_deleted")
+    return folding.fold_over_snapshot(first, whole.where(F.col(VERSION) > 0), ["event_id"])
 
 
 @query("compacted_log", f"""WITH {feed_sql()}, kept AS (
@@ -586,3 +589,48 @@ SELECT name, rank, line FROM (
 def metrics_rows(spark, d):
     full, replicas = _behind(spark, d)
     return status.exposition(status.status_metrics(status.replication_status(full, replicas, "public.events"), "m", "RUNNING"))
+
+
+# --- rows that once went wrong ----------------------------------------------------------------------------------------
+
+@query("null_time_check", f"""WITH {feed_sql()}, s AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS ts FROM feed WHERE _version = 0),
+d AS (SELECT coalesce(strftime(ts, '%Y-%m-%d'), '<null>') AS day, event_id FROM s)
+SELECT day, count(*) AS source_rows, count(*) FILTER (WHERE event_id % 9 <> 0) AS replica_rows,
+  count(*) = count(*) FILTER (WHERE event_id % 9 <> 0) AS same, day = '<null>' OR day < '{TODAY}' AS settled FROM d GROUP BY day""")
+def null_time_check(spark, d):
+    """Days of events of which a third has no time; the replica lacks some of these."""
+    rows = events(spark, d).withColumn("ts", F.when(F.col("event_id") % 3 != 0, F.col("ts")))
+    replica = tables.snapshot(rows.where(F.col("event_id") % 9 != 0))
+    days = reconcile.check_days(rows, {"r": replica}, BY_ID, TODAY)
+    return days.select("day", "source_rows", F.element_at("replica_rows", "r").alias("replica_rows"), "same", "settled")
+
+
+@query("tables_with_failure", """SELECT 'public.bad' AS "table", false AS ok, true AS failed, CAST(NULL AS BIGINT) AS source_rows
+UNION ALL SELECT 'public.events', true, false, count(*) FROM events""")
+def tables_with_failure(spark, d):
+    """A table whose values cannot be evaluated stands beside one that can."""
+    rows = events(spark, d)
+    bad = rows.withColumn("ts", F.col("event_type").cast("int").cast("timestamp"))
+    spec = reconcile.TableSpec("public.bad", ["event_id"], ["event_id"], "ts")
+    out = reconcile.check_tables([(spec, bad, {"r": tables.snapshot(bad)}), (BY_ID, rows, {"r": tables.snapshot(rows)})], TODAY)
+    return out.select("table", "ok", F.col("error").isNotNull().alias("failed"), "source_rows")
+
+
+_SHADOW_LINES = [
+    ("reads_total", '{mode="shadow"}', "n"), ("shadow_errors_total", '{reader="shadow"}', "bad"), ("shadow_mismatch_total", '{reader="shadow"}', "off"),
+    ("shadow_reads_total", '{reader="shadow"}', "n"), ("shadow_latency_seconds_count", '{store="left"}', "n - bad"), ("shadow_latency_seconds_count", '{store="right"}', "n - bad"),
+    ("shadow_latency_seconds_sum", '{store="left"}', "l"), ("shadow_latency_seconds_sum", '{store="right"}', "2 * l"),
+]
+
+
+@query("shadow_metrics_rows", f"""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 13 = 0) AS bad,
+  count(*) FILTER (WHERE event_id % 13 <> 0 AND event_id % 7 = 0) AS off, CAST(sum(user_id) FILTER (WHERE event_id % 13 <> 0) AS BIGINT) AS l FROM events)
+SELECT * FROM ({" UNION ALL ".join(f"SELECT '{n}' AS name, 2 AS rank, concat('{n}{label} ', {v}) AS line FROM c" for n, label, v in _SHADOW_LINES)}
+  {" ".join(f"UNION ALL SELECT '{n}', 0, '# HELP {n} {status.HELP[n]}' UNION ALL SELECT '{n}', 1, '# TYPE {n} counter'" for n in dict.fromkeys(x[0] for x in _SHADOW_LINES))})""")
+def shadow_metrics_rows(spark, d):
+    failed = F.col("event_id") % 13 == 0
+    rows = events(spark, d).select(
+        F.when(~failed, F.col("event_id") % 7 != 0).alias("match"), F.when(failed, "down").alias("error"),
+        (F.col("user_id") * 1000).cast("double").alias("left_ms"), (F.col("user_id") * 2000).cast("double").alias("right_ms"))
+    reads = rows.count()
+    return status.exposition(status.shadow_metrics(compare.shadow_stats(rows), {"shadow": reads}))

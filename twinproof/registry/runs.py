@@ -8,7 +8,8 @@ from twinproof.functions.names import FAULT_EVERY_SECONDS
 from twinproof.operators import intervals
 from twinproof.operators.onerow import side_by_side
 from twinproof.session import pinned, scratch
-from twinproof.sources import derived, logs
+from twinproof.registry import derived
+from twinproof.sources import logs
 from twinproof.verdicts import audit, benchtable, claims as claiming, cycles, soak
 
 from .analytics import _row_counts, _samples
@@ -171,6 +172,18 @@ def outage_end_asof(spark, d):
     )
 
 
+@query("outage_ties", """WITH f AS (SELECT event_id, (event_id // 40) * 60 AS t, CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'stop' END AS action,
+  concat('node-', user_id % 3) AS service FROM events)
+SELECT event_id, (SELECT min(s.t) FROM f s WHERE s.action = 'start' AND s.service = f.service AND s.t > f.t) AS next_start FROM f""")
+def outage_ties(spark, d):
+    """Forty actions a minute, all at the same second: a stop never takes a start of its own second for its end."""
+    at = F.timestamp_seconds(F.expr("(event_id div 40) * 60")).cast("timestamp_ntz")
+    rows = events(spark, d).select(
+        "event_id", at.alias("ts"), F.when(F.col("event_id") % 3 == 0, "start").otherwise("stop").alias("action"),
+        F.concat(F.lit("node-"), (F.col("user_id") % 3).cast("string")).alias("service"))
+    return soak.outage_ends(rows).select("event_id", F.unix_timestamp(F.col("next_start").cast("timestamp")).alias("next_start"))
+
+
 @query("fault_overlap", f"""WITH {CHECKS}, {FAULTS}, {NEXT_START}, {WINDOWS}, {SPANS}
 SELECT s.cycle, s.beg, s.fin, coalesce((SELECT string_agg(label, ', ' ORDER BY label) FROM (
   SELECT DISTINCT label FROM windows w WHERE w.w_beg < s.fin AND w.w_end > s.beg)), '') AS labels FROM spans s""")

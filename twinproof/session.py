@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(name: str = "twinproof", master: str | None = None, cpus: int | None = None) -> SparkSession:
     """Build (or get) a session with the settings every operator assumes."""
-    builder = SparkSession.builder.appName(name)
+    # Checkpoints go as soon as nothing refers to them any more.
+    builder = SparkSession.builder.appName(name).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master or cpus:
         builder = builder.master(master or f"local[{cpus}]")
     if cpus:

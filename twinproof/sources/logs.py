@@ -14,6 +14,7 @@ _FIELDS = [
     ("waited_s", T.IntegerType()), ("err", T.StringType()),
 ]
 CHECKS = T.StructType([T.StructField(name, kind) for name, kind in _FIELDS])
+_BAD = "_malformed"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,14 +24,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 # --- check records ---------------------------------------------------------------------------------------------
 
 def read_checks(spark: SparkSession, path: str) -> DataFrame:
-    """Check records from JSON lines; malformed lines are dropped."""
-    return spark.read.schema(CHECKS).option("mode", "DROPMALFORMED").json(path)
+    """Check records from JSON lines; malformed lines are dropped, whichever columns are read later."""
+    return parse_checks(lines(spark, path))
 
 
 def parse_checks(text: DataFrame) -> DataFrame:
     """The same records from text lines already at hand."""
-    parsed = text.select(F.from_json("value", CHECKS).alias("c")).where(F.col("c.cycle").isNotNull() & F.col("c.match").isNotNull())
-    return parsed.select("c.*")
+    with_bad = T.StructType([*CHECKS.fields, T.StructField(_BAD, T.StringType())])
+    parsed = text.select(F.from_json("value", with_bad, {"columnNameOfCorruptRecord": _BAD}).alias("c")).where(
+        F.col(f"c.{_BAD}").isNull() & F.col("c.cycle").isNotNull() & F.col("c.match").isNotNull())
+    return parsed.select(*[F.col("c").getField(f.name).alias(f.name) for f in CHECKS.fields])
 
 
 def append_checks(checks: DataFrame, path: str) -> None:

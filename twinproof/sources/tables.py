@@ -10,7 +10,6 @@ from twinproof.functions.clock import month_key, ntz
 from twinproof.functions.names import DELETED, SNAPSHOT_PARTITION_ROWS, SYNCED, VERSION
 
 MONTH = "ym"
-MAX_RANGES = 20_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,13 +46,14 @@ def copy_snapshot(
     """Copy a table into a new version log at ``path`` and return the log.
 
     A table of files is copied split by split, without a shuffle. ``cluster`` range-partitions by key first, in ranges
-    of about ``partition_rows`` rows (fewer, larger ranges for huge tables), so that files cover narrow key ranges.
+    of about ``partition_rows`` rows, so that files cover narrow key ranges. A path that exists is refused: a copy that is
+    run again must not double version 0.
     """
     rows = snapshot(table)
     if cluster:
-        parts = min(MAX_RANGES, max(1, -(-table.count() // partition_rows)))
+        parts = max(1, -(-table.count() // partition_rows))
         rows = rows.repartitionByRange(parts, key).sortWithinPartitions(key)
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("errorifexists").parquet(path)
     return table.sparkSession.read.parquet(path)
 
 

@@ -11,8 +11,6 @@ from twinproof.session import pinned
 
 from .benchtable import medians, ratios
 
-# Up to this many patterns become literals of a single pass (more would outgrow generated code).
-LITERAL_PATTERNS = 64
 _NUMBER = r"\d{1,3}(?:,\d{3})+|\d{4,}"
 
 
@@ -21,55 +19,40 @@ def numbers_in(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(_NUMBER), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
 
 
-def matched_patterns(lines: DataFrame, patterns: DataFrame, literal_limit: int = LITERAL_PATTERNS) -> DataFrame:
+def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50) -> DataFrame:
     """The distinct ``(log, pattern)`` pairs for which some line of that log matches.
 
-    ``lines(log, value)`` may be of any size; ``patterns(log, pattern)`` is a list people write and review. A short
-    one is tested in one scan as compiled literals and reduced to one flag each before any shuffle. A longer list is
-    joined per log instead, as arrays of patterns per line: matches only are emitted, never all pairs.
+    ``lines(log, value)`` may be of any size; ``patterns(log, pattern)`` is a list people write and review. Patterns lie in
+    arrays of about ``per_row``, each repeated for every salt, and lines meet them on log and salt: a log that owns most
+    lines is spread over all partitions. Matches only are emitted, never all pairs.
     """
+    salts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = patterns.select("log", "pattern").distinct()
-    listed = wanted.orderBy("log", "pattern").limit(literal_limit + 1).collect()  # bounded by the limit
-    if len(listed) > literal_limit:
-        return _matched_by_join(lines, wanted)
-    if not listed:
-        return wanted
-    logs = sorted({r["log"] for r in listed})
-    flags = lines.where(F.col("log").isin(logs)).groupBy("log").agg(
-        *[F.some((F.col("log") == r["log"]) & F.col("value").rlike(r["pattern"])).alias(f"p{i}") for i, r in enumerate(listed)]
-    )
-    named = F.array(*[
-        F.struct(F.lit(r["log"]).alias("l"), F.lit(r["pattern"]).alias("pattern"), F.col(f"p{i}").alias("hit"))
-        for i, r in enumerate(listed)
-    ])
-    return flags.select("log", F.explode(named).alias("x")).where("x.hit and x.l = log").select("log", "x.pattern")
-
-
-def _matched_by_join(lines: DataFrame, wanted: DataFrame, per_row: int = 50) -> DataFrame:
-    """Patterns in arrays of about ``per_row`` each, so a log with very many patterns spreads over several rows."""
     size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(per_row)), F.lit(1))
     parts = wanted.groupBy("log").agg(size.alias("parts"))
     packed = (
         wanted.join(parts, "log")
         .groupBy("log", F.pmod(F.xxhash64("pattern"), F.col("parts")).alias("part"))
         .agg(F.collect_list("pattern").alias("patterns"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    hits = lines.join(packed, "log").select(
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
+    hits = salted.join(packed, ["log", "salt"]).select(
         "log", F.explode(F.filter("patterns", lambda p: F.rlike(F.col("value"), p))).alias("pattern")
     )
     return hits.distinct()
 
 
-def unmatched_claims(claims: DataFrame, lines: DataFrame, literal_limit: int = LITERAL_PATTERNS) -> DataFrame:
+def unmatched_claims(claims: DataFrame, lines: DataFrame) -> DataFrame:
     """``(claim, log, pattern)`` for every pattern that no line of its log matches."""
     asked = claims.select("claim", "log", F.explode("patterns").alias("pattern"))
-    return asked.join(matched_patterns(lines, asked, literal_limit), ["log", "pattern"], "left_anti").select("claim", "log", "pattern")
+    return asked.join(matched_patterns(lines, asked), ["log", "pattern"], "left_anti").select("claim", "log", "pattern")
 
 
-def absent_claims(claims: DataFrame, document: DataFrame, literal_limit: int = LITERAL_PATTERNS) -> DataFrame:
+def absent_claims(claims: DataFrame, document: DataFrame) -> DataFrame:
     """Claims whose text no line of the document holds verbatim."""
     asked = claims.select("claim", F.lit("doc").alias("log"), F.concat(F.lit(r"\Q"), F.replace("claim", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")).alias("pattern"))
-    found = matched_patterns(document.select(F.lit("doc").alias("log"), "value"), asked, literal_limit)
+    found = matched_patterns(document.select(F.lit("doc").alias("log"), "value"), asked)
     return asked.join(found, ["log", "pattern"], "left_anti").select("claim")
 
 
