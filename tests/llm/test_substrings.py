@@ -68,3 +68,14 @@ def test_odd_texts(spark):
 
 def test_empty_table(spark):
     assert substrings.cut_passages(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_crowded_anchors_are_split_without_loss(spark):
+    rnd = random.Random(7)
+    letters = lambda k: "".join(chr(rnd.randrange(97, 123)) for _ in range(k))
+    passage = letters(260)
+    rows = [(i, letters(rnd.randrange(150)) + passage[rnd.randrange(40): 260 - rnd.randrange(40)] + letters(rnd.randrange(150))) for i in range(60)]
+    rows += [(100 + i, letters(90) + passage[:100] + letters(90)) for i in range(30)] + [(200, rows[0][1]), (201, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(substrings.cut_passages(docs, crowd=3), rows)
+    check(substrings.cut_passages(docs), rows)

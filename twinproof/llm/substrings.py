@@ -5,7 +5,8 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere go
 1. *Where to look.* Of each window of ``length`` bytes, one anchor is chosen by its content (the smallest hash of the
    32-byte grams in it), so equal windows choose equal anchors at equal places. Windows with one anchor form a
    context, a stretch of the text. Only anchors that occur twice matter, and contexts that are equal as a whole are one.
-2. *What repeats there.* The different contexts of repeated anchors are dealt out by anchor. A task takes them in
+2. *What repeats there.* The different contexts of repeated anchors are dealt out by anchor, crowded anchors split
+   by the bytes around them. A task takes them in
    shards. A shard's transform is over symbols of 50 bytes (a suffix is a position and the symbols at every 50th byte from it):
    it is sorted once. The transforms of all shards of a batch are merged by refining their interleave, one symbol a round,
    without sorting suffixes again; the rounds also tell where neighbours first differ, so after ``length / 50`` rounds the blocks that were
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from twinproof.llm.base import mix, stored
 LENGTH, GRAM, SYMBOL = 200, 32, 50
 #: Bytes of contexts merged at once in a task, and the shards they come in.
 BATCH, SHARDS = 3 << 18, 8
+#: Different contexts of one anchor beyond which the anchor is split by what stands around it.
+CROWD = 20_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -252,15 +256,70 @@ def _cut_out(length: int):
     return run
 
 
+_PIECE = "g long, key long, ctx long, at int, lo int, hi int, bytes binary, h long"
+
+
+def _split(length: int, ways: int = 4):
+    """Contexts to pieces: windows with the anchor in one of ``ways`` ranges of places in them.
+
+    The windows of a range share a core of bytes around the anchor, so equal windows have equal cores: pieces are
+    grouped by core. A range of one place has the window itself for its core.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, ctx, at, lo, hi, data in zip(*(batch.column(n).to_pylist() for n in ("key", "ctx", "at", "lo", "hi", "bytes"))):
+                first = np.frombuffer(data[:length], np.uint8)
+                anchor = int(window_anchors(first, Prefixes(first), length)[0])
+                bounds = sorted({lo + (hi - lo) * k // ways for k in range(ways + 1)})
+                for a, b in zip(bounds, bounds[1:]):
+                    start, stop = max(0, anchor - b + 1), min(len(data) - length, anchor - a)
+                    if start <= stop:
+                        core = data[anchor - a: anchor - b + 1 + length]
+                        piece = data[start: stop + length]
+                        out.append((xxhash.xxh3_64_intdigest(core, key & 0xFFFF ^ a << 20) - (1 << 63), key, ctx, at + start, a, b, piece,
+                                    xxhash.xxh3_64_intdigest(piece) - (1 << 63)))
+            columns = list(zip(*out)) if out else [()] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["g", "key", "ctx", "at", "lo", "hi", "bytes", "h"])
+
+    return run
+
+
+def _spread(parts: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts (key, ctx, bytes) as groups (g, ...) of at most about ``crowd``, and the windows already found to repeat.
+
+    A crowded anchor is split again and again; of equal pieces one stays, and all are repeated. This ends with ranges of one place,
+    where all pieces of a group are equal.
+    """
+    rows = stored(parts.select(F.col("key").alias("g"), "key", "ctx", F.lit(0).alias("at"), F.lit(0).alias("lo"), F.lit(length - GRAM + 1).alias("hi"), "bytes",
+                               F.lit(0).cast("long").alias("h")), "contexts")
+    cool, found = None, None
+    while True:
+        crowded = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("g"), "crowded")
+        rest = rows.join(crowded, "g", "left_anti")
+        cool = rest if cool is None else cool.unionByName(rest)
+        if crowded.isEmpty():
+            return cool, found
+        pieces = stored(rows.join(crowded, "g", "left_semi").mapInArrow(_split(length), _PIECE), "pieces")
+        equal = pieces.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "ctx", "at")).alias("one"))
+        windows = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.length("bytes") - length + 1).cast("int").alias("b")))
+        again = pieces.join(equal.filter("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("key", "ctx", windows.alias("runs"))
+        found = again if found is None else found.unionByName(again)
+        several = equal.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
+        kept = equal.select("g", "h", "one.*").join(several, "g", "left_semi")
+        rows = stored(pieces.join(kept, ["g", "h", "key", "ctx", "at"], "left_semi").select(*rows.columns), "contexts")
+
+
 def _merge(length: int):
-    """Repeated windows of contexts that come sorted by key: (key, ctx, runs)."""
+    """Repeated windows of contexts that come sorted by group: (key, ctx, runs)."""
     def solve(held):
-        found = repeated_windows([h[2] for h in held], length)
+        found = repeated_windows([h[4] for h in held], length)
         rows = []
-        for (key, ctx, _), flags in zip(held, found):
+        for (_, key, ctx, at, _), flags in zip(held, found):
             if flags.any():
                 a, b = _runs(flags)
-                rows.append((key, ctx, [{"a": int(x), "b": int(y)} for x, y in zip(a, b)]))
+                rows.append((key, ctx, [{"a": int(x) + at, "b": int(y) + at} for x, y in zip(a, b)]))
         return pa.RecordBatch.from_pylist([dict(zip(("key", "ctx", "runs"), r)) for r in rows], schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +330,7 @@ def _merge(length: int):
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[4])
         if held:
             yield solve(held)
 
@@ -313,7 +372,7 @@ def _removed(length: int, whole_characters: bool):
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-                      keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                      keep: list[str] | None = None, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Texts (row, doc_id, z: compressed UTF-8, kept: a struct of the columns ``keep``) and, for rows with any, the repeated windows (row, runs of starts a to b).
 
     Rows are told apart by a hash of id and text, so repeated rows count as copies of each other.
@@ -333,9 +392,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     kind = rows.schema["kept"].dataType.simpleString()
     pressed = rows.select("row", "doc_id", "text", "kept").mapInArrow(compressed, f"row long, doc_id long, z binary, kept {kind}")
     parts = pressed.select("row", "z").join(by_row, "row").select("z", "wanted").mapInArrow(_cut_out(length), "key long, ctx long, bytes binary")
-    parts = parts.dropDuplicates(["key", "ctx"])
-    merged = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(
-        _merge(length), "key long, ctx long, runs array<struct<a int, b int>>")
+    groups, found = _spread(parts.dropDuplicates(["key", "ctx"]), length, crowd)
+    merged = groups.select("g", "key", "ctx", "at", "bytes").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions(
+        "g").mapInArrow(_merge(length), "key long, ctx long, runs array<struct<a int, b int>>")
+    merged = merged if found is None else merged.unionByName(found)
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").cast("int").alias("b")))
     runs = stored(kinds.filter("times > 1").select("key", "ctx", all_of.alias("runs")).unionByName(
         merged.join(kinds.filter("times > 1").select("key", "ctx"), ["key", "ctx"], "left_anti")), "runs")
@@ -345,14 +405,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
 
 
 def cut_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
-                 keep: list[str] | None = None) -> DataFrame:
+                 keep: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what is left; with ``texts`` what is left itself, as ``text``.
 
     ``text`` keeps characters whole: one goes if all its bytes go. ``keep``: further columns of ``docs`` to carry. A NULL text is empty; texts shorter than ``length`` lose nothing; very long
     texts are worked on whole; repeated rows are copies, and lose everything; an empty table gives an empty result.
     """
     keep = keep or []
-    pressed, marked = repeated_passages(docs, length, id_col, text_col, keep)
+    pressed, marked = repeated_passages(docs, length, id_col, text_col, keep, crowd)
     kind = pressed.schema["kept"].dataType.simpleString()
     out = pressed.join(marked, "row", "left").select("doc_id", "z", "runs", "kept").mapInArrow(
         _removed(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, rest string, kept {kind}")
