@@ -28,8 +28,8 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_only_queries_without_a_sql_form_lack_one():
-    # xxhash64 sampling has no SQL twin; the claims report joins five checks that each have their own.
-    assert set(all_queries()) - set(all_sql()) == {"sample_hash", "verify_claims"}
+    # The claims report joins five checks that each have their own.
+    assert set(all_queries()) - set(all_sql()) == {"verify_claims"}
 
 
 def test_entry_runs(spark):

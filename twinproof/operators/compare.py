@@ -243,7 +243,8 @@ def shadow_stats(comparisons: DataFrame, *by: str) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: str | Column, rate: float, default: float = SHADOW_RATE) -> DataFrame:
-    """A repeatable Bernoulli sample by key hash; ``rate=0`` takes the default rate, a negative one nothing."""
+    """A repeatable Bernoulli sample by key hash (md5, which every store has); ``rate=0`` takes the default rate, a negative one nothing."""
     share = default if rate == 0 else max(rate, 0.0)
     key = F.col(key) if isinstance(key, str) else key
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(round(share * 1_000_000))))
+    number = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    return df.where(number % 1_000_000 < F.lit(int(round(share * 1_000_000))))

@@ -326,15 +326,16 @@ def busy_p90(spark, d):
 
 
 @query("host_throttle", f"""WITH t AS (SELECT {RUN_TIME} AS ts, event_id * 1500 AS usec, round(value, 2) AS load, user_id % 100 + 0.5 AS pressure FROM events),
-b AS (SELECT TIMESTAMP '2024-01-02 00:00:00' AS a, TIMESTAMP '2024-01-03 00:00:00' AS z),
-i AS (SELECT t.* FROM t, b WHERE ts >= a - INTERVAL 900 SECONDS AND ts <= z)
-SELECT count(*) AS ticks, (max(usec) - min(usec)) / 1000000.0 AS throttled_s, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS span_s,
+b AS (SELECT min({RUN_TIME}) AS a, max({RUN_TIME}) AS z FROM events),
+i AS (SELECT t.* FROM t, b WHERE ts >= a - INTERVAL 900 SECONDS AND ts <= z),
+{nearest_rank('load_p50', 'load', 'n // 2', 'i')}, {nearest_rank('pressure_p50', 'pressure', 'n // 2', 'i')}
+SELECT (SELECT load_p50 FROM load_p50) AS load_p50, (SELECT pressure_p50 FROM pressure_p50) AS pressure_p50, count(*) AS ticks, (max(usec) - min(usec)) / 1000000.0 AS throttled_s, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS span_s,
   max(load) AS load_max, max(pressure) AS pressure_max, coalesce(round((max(usec) - min(usec)) / 1000000.0 / (epoch(max(ts)) - epoch(min(ts))), 9), 0) AS share FROM i""")
 def host_throttle(spark, d):
-    from twinproof.functions.clock import ntz
-
+    """From the run's first check to its last."""
     ticks = logs.parse_ticks(derived.tick_lines(events(spark, d)))
-    out = soak.host_throttle(ticks, ntz("2024-01-02 00:00:00"), ntz("2024-01-03 00:00:00"))
+    first, last = checks(spark, d).agg(F.min("ts"), F.max("ts")).first()
+    out = soak.host_throttle(ticks, F.lit(first), F.lit(last))
     return out.withColumn("share", F.round("share", 9))
 
 

@@ -67,7 +67,7 @@ def wait_statistics(waits: DataFrame, by: Sequence[str], weight: str | None = No
 
 
 def host_throttle(ticks: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Host conditions inside the run: throttled seconds (last minus first counter), span, share of wall time."""
+    """Host conditions inside the run: throttled seconds (last minus first counter), span, share of wall time, load and pressure."""
     inside = ticks.where((F.col("ts") >= first - _seconds(FIRST_CYCLE_SECONDS)) & (F.col("ts") <= last))
     place = F.struct("ts", "throttled_usec")
     out = inside.agg(
@@ -77,6 +77,10 @@ def host_throttle(ticks: DataFrame, first: Column, last: Column) -> DataFrame:
         F.max("load").alias("load_max"),
         F.max("pressure").alias("pressure_max"),
     )
+    middle = [
+        order_statistics(inside, [], column, {f"{column}_p50": rank_upper_median()}).select(f"{column}_p50") for column in ("load", "pressure")
+    ]
+    out = side_by_side(out, *middle)
     return out.withColumn("share", F.coalesce(F.try_divide(F.col("throttled_s"), F.col("span_s")), F.lit(0.0)))
 
 
