@@ -146,4 +146,4 @@ def test_templates_separate_bad_branches(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0 or i % 90 == 0), 0) for i in range(0, 900)], "doc_id long, quality int, toxic int")
     out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels)
     assert out.filter("(verdict = 'block') <> (page_id % 3 = 0)").isEmpty()
-    assert {r["template"] for r in out.select("template").distinct().collect()} == {"/spam/*/page.html", "/*/*/page.html"}
+    assert {r["template"] for r in out.select("template").distinct().collect()} == {"/spam/*/page.html", "/+/*/page.html"}

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinproof.llm.base import slices
+
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -113,7 +115,7 @@ def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
     for k, (text, around, linked) in enumerate(blocks):
         n = len(text)
         own = next((f for f in reversed(around) if f[0] == "<"), "<>")
-        f = ["bias", *around, f"own{own}", f"long{min(6, n.bit_length() // 2)}", f"links{min(4, 4 * linked // n)}"]
+        f = ["bias", *around, f"own{own}", f"long{min(5, n.bit_length() // 2)}", f"links{min(4, 4 * linked // n)}"]
         f.append(f"stops{min(3, text.count('.') + text.count('!') + text.count('?'))}")
         if "©" in text:
             f.append("copyright")
@@ -134,6 +136,7 @@ WRITTEN = [
     "<nav>-{}</nav><article><h1>+{}</h1><p>+{}</p><div class='ad banner'>-{}</div><p>+{}</p><ul><li>+{}<li>+{}</ul><form><p>-{}</p><label>-Name</label></form><p>+{}</p><section class=comments><article class=comment><p>-{}</p></article><article class=comment><p>-{}</p></article></section></article><footer>-{}</footer>",
     "<div class=header>-{}</div><div class='notice banner'><p>-{}</p></div><section class=post><h2>+{}</h2><p>+{}</p><table><tr><td>+{}<td>+{}</table><pre>+{}</pre><p>+{}</p></section><div class='sidebar widget'><p>-{}</p></div><div class='newsletter subscribe'><form>-{}</form></div><footer><p>-{}</p></footer>",
     "<article><header><h1>+{}</h1></header><p>+{}</p><aside class=related>-{}</aside><h2>+{}</h2><p>+{}</p><figure><figcaption>+{}</figcaption></figure><footer>-{}</footer></article><div class='share social'><a>-Share</a></div><div class='reviews comments' id=disqus><p>-{}</p></div>",
+    "<article><p>+{}</article>", "<main><h1>+{}</h1><p>+{}</main>", "<article>+{}</article>", "<nav>-{}</nav><article><p>+{}</p></article>",
     "<div class='advert sponsored promo'><p>-{}</p></div><div id=main><h1>+{}</h1><p>+{}<p>+{}</div><div class=breadcrumbs><a>-{}</a></div><div role=complementary class=aside><p>-{}</p></div><div class='legal disclaimer cookie consent popup'>-{}</div>",
 ]
 
@@ -265,7 +268,7 @@ def extract(pages: DataFrame, chain: Chain | None = None, id_col: str = "page_id
     chain = chain or fit(pages, id_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for page in batch.column(2).to_pylist():
                 blocks = leaf_blocks(page)

@@ -34,11 +34,19 @@ def subset_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
             n = min(counts[k] - taken[k], (rest - REACH + k - 1) // k, rest // k)
             taken[k] += n
             rest -= n * k
-    rest_now, mask = rest, (1 << (rest + 1)) - 1
-    reach, steps = 1, []
+    missed = _close(taken, counts, sizes, rest)
+    if missed and budget <= REACH:  # so few documents that shares stand in the way of a fit
+        taken = dict.fromkeys(counts, 0) | {0: counts[0]} if 0 in counts else dict.fromkeys(counts, 0)
+        _close(taken, counts, sizes, budget)
+    return taken
+
+
+def _close(taken: dict[int, int], counts: dict[int, int], sizes: list[int], rest: int) -> int:
+    """Add to ``taken`` what brings its sum up by ``rest``, or as near below it as can be; what is missing then."""
+    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
     for k in sizes:
-        free, part = min(counts[k] - taken[k], rest_now // k), 1
-        while free > 0 and not reach >> rest_now & 1:
+        free, part = min(counts[k] - taken[k], rest // k), 1
+        while free > 0 and not reach >> rest & 1:
             n = min(part, free)
             new = (reach << n * k) & mask & ~reach
             if new:
@@ -46,11 +54,12 @@ def subset_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
                 steps.append((k, n, new))
             free, part = free - n, part * 2
     at = reach.bit_length() - 1
+    missed = rest - at
     for k, n, new in reversed(steps):  # a sum that this step made first came from one that earlier steps made
         if new >> at & 1:
             taken[k] += n
             at -= n * k
-    return taken
+    return missed
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import mix, odd_constants, stored
+from twinproof.llm.base import mix, odd_constants, slices, stored
 from twinproof.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -102,8 +102,8 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     """doc_id, n_shingles, same (two hashes of the word sequence), sketch (bytes; NULL without words)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
-            if len(known) > 500_000:
+        for batch in slices(batches):
+            if len(known) > 200_000:
                 known.clear()
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             sets = [shingle_hashes(t, width, known) for t in texts]
@@ -132,8 +132,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text, n, sketch) to (doc_id, set, n, sketch): the sorted shingle hashes as bytes."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
-            if len(known) > 500_000:
+        for batch in slices(batches):
+            if len(known) > 200_000:
                 known.clear()
             sets = [shingle_hashes(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "set", "n", "sketch"])
@@ -253,9 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1024):
             hub, rep, x, nx, y, ny = (batch.column(i) for i in range(6))
             read = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, REGISTERS)
             ok = pa.array(may_reach(read(x), read(y), nx.to_numpy(), ny.to_numpy(), least))

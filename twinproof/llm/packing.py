@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import stored
+from twinproof.llm.base import slices, stored
 from twinproof.llm.tokens import END, encoder, vocabulary_path
 
 SIZE = 1024
@@ -41,7 +41,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = encode(text) + stop

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import mix, stored
+from twinproof.llm.base import mix, slices, stored
 
 LENGTH, GRAM, SYMBOL = 200, 32, 50
 #: Bytes of contexts merged at once in a task, and the shards they come in.
@@ -117,14 +117,14 @@ def _packed(texts) -> list[bytes]:
 
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, text, kept) to (row, doc_id, compressed UTF-8, kept)."""
-    for batch in batches:
+    for batch in slices(batches):
         z = _packed((t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), batch.column(3)], names=["row", "doc_id", "z", "kept"])
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(0).to_numpy()
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             at = 0
@@ -242,7 +242,7 @@ def _cut_out(length: int):
     """Fetch the contexts that a text stands for: (key, ctx, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ctxs, parts = [], [], []
             for z, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = press.decompress(z)
@@ -343,7 +343,7 @@ _RUNS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("runs", pa.list_(p
 def _removed(length: int, whole_characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, z, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 t = press.decompress(z)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import dealt, stored
+from twinproof.llm.base import dealt, slices, stored
 from twinproof.session import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -104,7 +104,7 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str,
             out.close()
             return pa.RecordBatch.from_pydict({"path": [name], "n_bytes": [held], "ids": [ids]}, schema=_FILES)
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
                     store.create_dir(inner, recursive=True)

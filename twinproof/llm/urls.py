@@ -2,7 +2,8 @@
 
 Per host, the paths of all urls form a tree of segments, kept as counts. Level by level, from the root, segments are generalised: one that varies
 (digits, long identifiers, or too rare beneath its parent) becomes a wildcard, and so does a branch whose labelled
-purity does not differ significantly from that of its siblings taken together. What is left are templates. A template is
+purity does not differ significantly from that of its siblings taken together; branches that are significantly purer merge with each other
+into ``+``, those that are less pure stay. What is left are templates. A template is
 rejected if its purity, smoothed towards that of its ancestors, is below a threshold.
 """
 
@@ -79,7 +80,8 @@ def templates(urls: DataFrame) -> DataFrame:
         differs = (k > 0) & (m > 0) & (rate > 0) & (rate < 1) & (z > DIFFERS)
         alone = F.count(F.lit(1)).over(siblings) == 1
         literal = (F.col("_c") != "*") & (F.col("n") >= SUPPORT) & (alone | F.coalesce(differs, F.lit(False)))
-        fate = wide.withColumn("to", F.when(literal, F.col("_c")).otherwise("*"))
+        worse = F.try_divide("g", k) < F.try_divide("og", m)
+        fate = wide.withColumn("to", F.when(literal & (alone | worse), F.col("_c")).when(literal, "+").otherwise("*"))
         merged = fate.groupBy("host", "template", "to").agg(
             ((F.sum("g") + WEIGHT * F.first("above")) / (F.sum("g") + F.sum("b") + WEIGHT)).alias("p"))
         fate = fate.select("host", "template", "_c", "to").join(merged, ["host", "template", "to"]).select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import stored
+from twinproof.llm.base import slices, stored
 from twinproof.llm.components import components
 
 LEAST = 0.95
@@ -58,17 +58,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _entries(width: int, tables: int, stretch: int, mean: np.ndarray, projection: np.ndarray):
+def _entries(width: int, begins: np.ndarray, stretch: int, mean: np.ndarray, projection: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << stretch) - 1)
         flips = np.concatenate(([0], 1 << np.arange(stretch))).astype(np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             code = codes_of(_matrix(batch.column(1), width), mean, projection)
             rep, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            t = np.arange(tables)
-            own = (code[:, None] >> (t * stretch).astype(np.uint64)) & mask
+            t = np.arange(len(begins))
+            own = (code[:, None] >> begins.astype(np.uint64)) & mask
             key = (own[:, :, None] ^ flips).astype(np.int64)
-            many = tables * len(flips)
+            many = len(begins) * len(flips)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(dim, many).astype(np.int32)),
                 pa.array(np.broadcast_to(t[None, :, None], key.shape).ravel().astype(np.int32)), pa.array(key.ravel()),
@@ -121,14 +121,14 @@ def _near_codes(far: int):
     return run
 
 
-def _counts_here(cx, cy, t, key, stretch, tables):
+def _counts_here(cx, cy, t, key, stretch, begins):
     """Whether a pair of codes counts in bucket (t, key)."""
     mask = np.uint64((1 << stretch) - 1)
     ok = np.ones(len(cx), bool)
     diff = cx ^ cy
-    for k in range(tables - 1):
-        ok &= ~((np.bitwise_count((diff >> np.uint64(k * stretch)) & mask) <= 2) & (k < t))
-    shift = (t * stretch).astype(np.uint64)
+    for k, begin in enumerate(begins[:-1]):
+        ok &= ~((np.bitwise_count((diff >> np.uint64(begin)) & mask) <= 2) & (k < t))
+    shift = begins[t].astype(np.uint64)
     a, d = (cx >> shift) & mask, (diff >> shift) & mask
     low = d & (~d + np.uint64(1))
     n = np.bitwise_count(d)
@@ -136,7 +136,7 @@ def _counts_here(cx, cy, t, key, stretch, tables):
     return ok & (n <= 2) & (first == key.astype(np.uint64))
 
 
-def _rerank(width: int, stretch: int, tables: int, least: float):
+def _rerank(width: int, stretch: int, begins: np.ndarray, least: float):
     """Of block pairs, rows (a, b, more): a link that connects a and b, or b NULL and what to add to the count of a."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = ["dim", "t", "key", "bi", "bj"]
@@ -157,7 +157,7 @@ def _rerank(width: int, stretch: int, tables: int, least: float):
             if not left:
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
-            ok = _counts_here(code[i], code[j], num["t"][i].astype(np.int64), num["key"][i], stretch, tables)
+            ok = _counts_here(code[i], code[j], num["t"][i].astype(np.int64), num["key"][i], stretch, begins)
             ok &= (num["bi"][i] == num["bj"][i]) | (num["blk"][i] != num["blk"][j])
             i, j = i[ok], j[ok]
             if not len(i):
@@ -210,11 +210,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
     mean, projection = learn_rotation(_matrix(sample.column(0).combine_chunks(), width), bits)
     length = projection.shape[1]
     stretch = max(1, min(length, max(8, math.ceil(math.log2(max(2, n))))))
-    tables = max(1, length // stretch)
+    # Stretches tile the code, and overlap where it is too short for four of them.
+    begins = np.unique(np.linspace(0, length - stretch, max(4, length // stretch)).round().astype(np.int64))
     far = max(1, round(FAR * length / 64))
 
     entries = classes.select("rep", "embedding", "dim").mapInArrow(
-        _entries(width, tables, stretch, mean, projection), "dim int, t int, key long, rep long, code long")
+        _entries(width, begins, stretch, mean, projection), "dim int, t int, key long, rep long, code long")
     sizes = entries.groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     slices = F.ceil(F.col("size") / 4096).cast("int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -230,7 +231,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
         "dim", "t", "key", "rep", "code", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
     ready = paired.join(classes.select("rep", "embedding", "copies"), "rep").repartition(parts, "dim", "t", "key", "bi", "bj").sortWithinPartitions(
         "dim", "t", "key", "bi", "bj")
-    found = stored(ready.mapInArrow(_rerank(width, stretch, tables, least), "a long, b long, more long"), "vector-links")
+    found = stored(ready.mapInArrow(_rerank(width, stretch, begins, least), "a long, b long, more long"), "vector-links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("more").alias("links"))
     comp = components(found.filter("b IS NOT NULL").select("a", "b"))
     info = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import stored
+from twinproof.llm.base import slices, stored
 from twinproof.llm.tokens import open_store
 from twinproof.session import scratch
 
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "winner")
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             z = [zlib.compress(p, 1) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), batch.column(3)],
                                              names=["page_id", "url", "z", "digest"])
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
             out.close()
             return pa.RecordBatch.from_pydict({"path": [name], "n_bytes": [size], "n_records": [n]}, schema=_FILES)
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, z, digest, winner in zip(*(c.to_pylist() for c in batch.columns)):
                 digest = base64.b32encode(bytes.fromhex(digest)).decode()
                 refers = winner if winner is not None and winner != page else None
@@ -210,7 +210,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, schema=_PARTS)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kinds, blocks = batch.column(3).to_pylist(), batch.column(5).to_pylist()
             payload = [payload_of(b) if k == "response" else None for k, b in zip(kinds, blocks)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payload, pa.binary())], names=[*batch.schema.names[:5], "payload"])
