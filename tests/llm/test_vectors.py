@@ -64,10 +64,10 @@ def test_no_vectors(spark):
 
 def test_rotation_balances_codes():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(2000, 8)) * [8, 4, 2, 1, 1, 1, 1, 1] + 3
+    x = rng.normal(size=(2000, 24)) * np.linspace(3, 1, 24) + 0.2
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean, p = vectors.learn_rotation(x, 8)
-    assert np.allclose(p.T @ p, np.eye(8)) and abs(((x - mean) @ p >= 0).mean(0) - 0.5).max() < 0.2
+    mean, p = vectors.learn_rotation(x, 24)
+    assert np.allclose(p.T @ p, np.eye(24)) and abs(((x - mean) @ p >= 0).mean(0) - 0.5).max() < 0.2
 
 
 def test_table_of_the_test_data(spark):

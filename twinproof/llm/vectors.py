@@ -30,10 +30,23 @@ FAR = 18
 BLOCK = 512
 
 
+def _spread_out(x: np.ndarray, near: float = 0.8) -> np.ndarray:
+    """Unit vectors without those that lie near an earlier one: one large group of copies must not steer the codes."""
+    keep = np.ones(len(x), bool)
+    for at in range(0, len(x), 512):
+        close = x[at: at + 512] @ x[: at + 512].T >= near
+        keep[at: at + 512] = ~np.tril(close, at - 1).any(1)
+    return x[keep]
+
+
 def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimension x bits) of unit vectors ``x``: principal components, rotated so that signs lose least."""
-    mean = x.mean(0)
-    _, _, vt = np.linalg.svd(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
+    """Mean and projection (dimension x bits) of unit vectors ``x``: principal components, rotated so that signs lose least.
+
+    Vectors near each other count once. Where hardly any are left, the mean is left out: it would lie among the copies.
+    """
+    x = _spread_out(x)
+    mean = x.mean(0) if len(x) >= 2 * x.shape[1] else np.zeros(x.shape[1])
+    _, _, vt = np.linalg.svd((x - mean).T @ (x - mean))
     axes = vt[: min(bits, x.shape[1])].T
     v = (x - mean) @ axes
     r = np.linalg.qr(np.random.default_rng(seed).normal(size=(axes.shape[1],) * 2))[0]
