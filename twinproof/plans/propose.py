@@ -77,15 +77,15 @@ def judged(catalog: DataFrame, tables: Sequence[str] = (), min_rows: int = MIN_R
     })
     no_time, text = F.col("time_column").isNull(), lambda x: F.col(x).cast("string")
     reason = (
-        F.when(F.size("pk") == 0, F.lit("no primary key: updates and deletes cannot be applied without one"))
+        F.when(F.size("pk") == 0, F.lit("no primary key, so versions of a row would have no key to fold by"))
         .when(explicit, F.lit(None))
         .when(no_time & F.col("rewritten_column").isNotNull(), F.concat(
             F.lit("only "), "rewritten_column",
-            F.lit(", which updates rewrite: not an event table (name it to copy it anyway, sorted by primary key)")))
-        .when(no_time, F.lit("no timestamp column: not an event table (name it to copy it anyway)"))
-        .when(F.col("rows") < min_rows, F.concat(text("rows"), F.lit(f" rows < the minimum of {min_rows}")))
+            F.lit(", which updates rewrite, holds its times; a table named in the call is planned by its key alone")))
+        .when(no_time, F.lit("no timestamp column to sort and settle days by; a table named in the call is planned by its key alone"))
+        .when(F.col("rows") < min_rows, F.concat(text("rows"), F.lit(f" rows < {min_rows}, the least that a plan takes up unasked")))
         .when((F.col("ins") > 0) & (F.col("changes") > F.lit(ENTITY_SHARE) * F.col("ins")), F.concat(
-            F.lit("entity-like: "), text("changes"), F.lit(" updates and deletes vs "), text("ins"), F.lit(" inserts")))
+            F.lit("entity-like: "), text("changes"), F.lit(" changes of old rows against "), text("ins"), F.lit(" new ones")))
     )
     c = c.withColumn("reason", reason)
 
@@ -103,9 +103,9 @@ def judged(catalog: DataFrame, tables: Sequence[str] = (), min_rows: int = MIN_R
     first = F.get("order_by", F.lit(0))
     unsafe = (
         F.when((F.size("order_by") > 0) & (F.size("pk") > 0) & (first != F.get("pk", F.lit(0))), F.concat(
-            F.lit("its sort key starts with "), first, F.lit(", and a delete would otherwise leave the row live in the copy")))
+            F.lit("its sort key starts with "), first, F.lit(", so a delete must carry more than the primary key to meet its row")))
         .when(F.col("mutated") & F.exists("cols", lambda x: x["storage"].isin("x", "e")), F.lit(
-            "it is updated and has large-value columns (unchanged long values would otherwise arrive empty)"))
+            "large-value columns are left out of updates that do not touch them, and would be folded as empty"))
     )
     return c.withColumn("identity_need", F.when(F.col("repl_ident") != "f", unsafe))
 
@@ -123,11 +123,11 @@ def plan_tables(
     publication = f"{mirror}_pub"
     notes = _notes(
         F.when(F.col("leading_tenant").isNotNull(), F.concat(
-            F.lit("sorted by "), "leading_tenant", F.lit(" first: an update that changes a row's "), "leading_tenant",
-            F.lit(" leaves the old row live in the copy; do not copy tables whose rows move between "), "leading_tenant", F.lit("s"))),
+            F.lit("sorted by "), "leading_tenant", F.lit(" first; an update that changes a row's "), "leading_tenant",
+            F.lit(" gets a new sort key, and the version under the old key is never superseded"))),
         F.when(F.col("mutated"), F.lit(
-            "updated or deleted rows: sorted by primary key so that versions fold correctly; queries must fold")),
-        F.lit("sort key and partitioning cannot change once the copy exists: review them now"),
+            "rows change: the primary key alone sorts them, and readers fold versions")),
+        F.lit("a written log keeps its sort key and folders; another choice means another copy"),
         F.when(F.col("identity_need").isNotNull(), F.concat(F.lit("needs full row identity: "), "identity_need")),
     )
     planned = all_.where(F.col("reason").isNull())

@@ -42,6 +42,7 @@ def append_checks(checks: DataFrame, path: str) -> None:
 
 # --- regular-expression lines ------------------------------------------------------------------------------------
 
+# The line formats of the injector, the server messages and the monitor, as they stand in the logs.
 _FAULT = r"^(\S+) (restart|stop|start) ([a-z0-9-]+) \("
 _START = r"^(\S+) chaos start, until epoch (\d+)"
 _SKIP = r"SKIP|skip fault|FATAL"
@@ -52,9 +53,9 @@ _STOPPED = (
 _UP = r"Starting ClickHouse|Starting server|\"Started Worker\"|database system is ready to accept connections"
 _STAMP = r"(\d{4}[-.]\d\d[-.]\d\d[T ]\d\d:\d\d:\d\d)"
 _TICK = (
-    r"^(\S+ \S+) CEST tick load=([\d.]+) .*?agent_cpu_psi_avg10=([\d.]+) nr_throttled=(\d+) throttled_usec=(\d+)"
+    r"^(\S+ \S+) [A-Z]{2,5} tick load=([\d.]+) .*?agent_cpu_psi_avg10=([\d.]+) nr_throttled=(\d+) throttled_usec=(\d+)"
 )
-_CORES = r"^(\S+) .*?cpu6=(\d+)% cpu7=(\d+)%"
+_CORES = r"\bcpu\d+=(\d+)%"
 
 
 def _second(c: Column) -> Column:
@@ -103,7 +104,7 @@ def parse_server_log(text: DataFrame, service: str | Column = "service") -> Data
 
 
 def parse_ticks(text: DataFrame, utc_offset_hours: int = 2) -> DataFrame:
-    """Host ticks ``(ts, load, pressure, throttled_usec)``; local summer time becomes UTC."""
+    """Host ticks ``(ts, load, pressure, throttled_usec)``; local time, ``utc_offset_hours`` ahead of UTC, becomes UTC."""
     part = lambda i: F.regexp_extract("value", _TICK, i)
     return text.where(F.col("value").rlike(_TICK)).select(
         (_second(part(1)) - F.expr(f"INTERVAL {utc_offset_hours} HOURS")).alias("ts"),
@@ -114,11 +115,10 @@ def parse_ticks(text: DataFrame, utc_offset_hours: int = 2) -> DataFrame:
 
 
 def parse_core_use(text: DataFrame) -> DataFrame:
-    """Mean use of the two soak cores per minute ``(ts, busy)``."""
-    part = lambda i: F.regexp_extract("value", _CORES, i)
-    return text.where(F.col("value").rlike(_CORES)).select(
-        _second(part(1)).alias("ts"), ((part(2).cast("double") + part(3).cast("double")) / 2).alias("busy")
-    )
+    """Mean use of the cores that a line names, per minute: ``(ts, busy)``."""
+    cores = F.transform(F.regexp_extract_all("value", F.lit(_CORES), F.lit(1)), lambda x: x.cast("double"))
+    busy = F.aggregate(cores, F.lit(0.0), lambda a, x: a + x) / F.size(cores)
+    return text.where(F.col("value").rlike(_CORES)).select(_second(F.split("value", " ")[0]).alias("ts"), busy.alias("busy"))
 
 
 # --- claims and bench documents ----------------------------------------------------------------------------------
