@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = clusters.select(F.col("rep").alias("doc_id")).distinct()
     info = classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id", "left_semi")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # The members grow with the corpus, so they are never broadcast; all that is needed of a class is joined before the sets are made.
-    sets = stored(shingle_sets(texts.join(info.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), width), "sets")
+    # The members grow with the corpus, so they are never broadcast, and texts need no sort to meet them; all that is needed of a class is joined before the sets are made.
+    sets = stored(shingle_sets(texts.join(info.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), width), "sets")
 
     # Members against their hub: by likelihood first, then on full sets.
     hub_sketch = sets.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
