@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinproof.session import pinned
 
@@ -28,10 +28,9 @@ def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50) -
     """
     salts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = patterns.select("log", "pattern").distinct()
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(per_row)), F.lit(1))
-    parts = wanted.groupBy("log").agg(size.alias("parts"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)).over(Window.partitionBy("log")) / F.lit(per_row)), F.lit(1))
     packed = (
-        wanted.join(parts, "log")
+        wanted.withColumn("parts", size)
         .groupBy("log", F.pmod(F.xxhash64("pattern"), F.col("parts")).alias("part"))
         .agg(F.collect_list("pattern").alias("patterns"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
