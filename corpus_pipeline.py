@@ -2,6 +2,9 @@
 
 ``STAGES`` are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
+
+Decisions go by doc_id: documents without an id go in the first stage, and repeated rows of an id share its fate. NULL and
+empty texts fail the quality rules. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
