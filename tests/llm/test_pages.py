@@ -77,6 +77,18 @@ def test_blocks_of_broken_markup():
     assert {".ad", ".box", ".main", ".side", "<div>", "<p>"} <= set(block[1]) and block[2] == 4
 
 
+def test_heads_without_an_end_tag():
+    read = lambda h: [b[0] for b in mainhtml.leaf_blocks(h)]
+    head = "<html><head><meta charset=utf-8><title>x</title><script>var a = '<p>x';</script><noscript><img src=a>n<p>o</p></noscript>\n"
+    for end in ("</head><body>", "<body>", "<BODY class=b>", ""):
+        assert read(head + end + "<article><p>one<p>two</article>") == ["one", "two"]
+    assert read(head + "one<p>two") == read(head + "<b>one</b><p>two") == read(head + "<br>one<p>two") == ["one", "two"]
+    assert read("<head><noscript><link><body><p>one") == read("<head><head><title>x</title></head><body><p>one") == ["one"]
+    assert read(head) == read(head + "<style>p{}</style><!-- c --><template><p>x</p></template>") == read(head + "<svg><text>x</text></svg>") == []
+    with_end, without = (mainhtml.leaf_blocks(head + end + "<body><nav><a>n</a></nav><main><p>one</main>") for end in ("</head>", ""))
+    assert with_end == without
+
+
 def test_chain_learns_and_decodes():
     pages = mainhtml.written_pages(["Some words stand here, and then a few more.", "Another sentence."])
     chain = mainhtml.train(pages)

@@ -26,6 +26,8 @@ UNSEEN = set("head script style template noscript svg math iframe object textare
 RAW = ("script", "style", "textarea", "title")
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ARTICLE = ("article", "main")
+#: What may stand in a head; anything else ends one whose end tag is left out.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 
 #: Pages that the chain is trained on, at most, and passes over them.
 SAMPLE, STEPS = 300, 120
@@ -54,12 +56,19 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         parts.clear()
         linked = 0
 
+    def close(k):
+        nonlocal unseen
+        unseen -= sum(t in UNSEEN for t, _ in stack[k:])
+        del stack[k:]
+
     at, n = 0, len(page or "")
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2]
         if name is None:
+            if stack and stack[-1][0] == "head" and (m[0][0] != "<" or len(m[0]) == 1) and not m[0].isspace():
+                close(len(stack) - 1)
             if not unseen:
                 text = m[0]
                 if text[0] != "<" or len(text) == 1:
@@ -72,6 +81,11 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                     parts.append(text[9:-3])
             continue
         name = name.lower()
+        if not m[1] and name not in HEAD and unseen:
+            if stack[-1][0] == "head":
+                close(len(stack) - 1)
+            elif name == "body" and any(t == "head" for t, _ in stack):
+                close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
         if name in INLINE:
             if name == "a":
                 in_link = 0 if m[1] else 1
@@ -83,8 +97,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    unseen -= sum(t in UNSEEN for t, _ in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
             continue
         in_link = 0
