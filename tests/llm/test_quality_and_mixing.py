@@ -80,6 +80,50 @@ def test_subset_counts_reach_the_budget():
         assert sum(k * t for k, t in mixing.subset_counts(even, b).items()) == max(r for r in reach if r <= b)
 
 
+def test_subset_counts_of_long_documents():
+    total = lambda taken: sum(k * t for k, t in taken.items())
+    assert mixing.subset_counts({66_000: 1, 65_500: 1, 65_499: 1}, 130_999) == {66_000: 0, 65_500: 1, 65_499: 1}
+    assert total(mixing.subset_counts({66_000: 1, 40_000: 1, 39_000: 1}, 79_000)) == 79_000
+    rnd = random.Random(5)
+    for _ in range(40):
+        counts = {rnd.choice([1, 10**4, 10**9]) * rnd.randrange(50_000, 200_000): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 6))} | {0: 2}
+        reach = {0}
+        for k, n in counts.items():
+            reach = {r + k * i for r in reach for i in range(n + 1)}
+        budget = rnd.randrange(0, max(reach) + 2)
+        taken = mixing.subset_counts(counts, budget)
+        assert all(0 <= taken[k] <= counts[k] for k in counts) and total(taken) == max(r for r in reach if r <= budget)
+    # Too many to list: the whole budget by sums, and beyond that a wide rest.
+    counts = {70_000 + 97 * i: 1 for i in range(60)}
+    picked = [k for i, k in enumerate(counts) if i % 7 == 3]
+    assert total(mixing.subset_counts(counts, sum(picked))) == sum(picked)
+    counts = {700_000 + 97 * i * i: 1 for i in range(60)}
+    picked = [k for i, k in enumerate(counts) if i % 2]
+    assert total(mixing.subset_counts(counts, sum(picked))) == sum(picked) > mixing.WIDE
+    multiples = mixing.subset_counts({k * 7: 3 for k in range(10_000, 10_100)}, 7 * 1_004_950 + 5)
+    assert total(multiples) == 7 * 1_004_950
+
+
+def test_sums_are_the_nearest(monkeypatch):
+    monkeypatch.setattr(mixing, "REACH", 16)
+    rnd = random.Random(6)
+    for listed, wide in ((1 << 18, 64), (0, 1 << 12), (0, 64)):
+        monkeypatch.setattr(mixing, "LISTED", listed)
+        monkeypatch.setattr(mixing, "WIDE", wide)
+        for _ in range(200):
+            counts = {rnd.randrange(1, 90): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 8))}
+            reach = {0}
+            for k, n in counts.items():
+                reach = {r + k * i for r in reach for i in range(n + 1)}
+            budget = rnd.randrange(0, max(reach) + 1)
+            taken = mixing.subset_counts(counts, budget)
+            assert all(0 <= taken[k] <= counts[k] for k in counts)
+            missed = budget - sum(k * t for k, t in taken.items())
+            assert 0 <= missed and (missed == 0 or budget >= max(reach) or missed < min(k for k in counts if taken[k] < counts[k]))
+            if listed or budget <= wide:
+                assert budget - missed == max(r for r in reach if r <= budget)
+
+
 def filled(sizes, weights=(1, 2, 3), most=3):
     """Targets by resharing until none is above its ceiling."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

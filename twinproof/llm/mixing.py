@@ -8,6 +8,9 @@ counts alone; which ones, a seeded hash says: all below a boundary bucket of has
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,51 +20,115 @@ from twinproof.llm.base import stored
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BUCKETS = 1024
-#: Sums that dynamic programming ranges over, in words; more than that is first filled by large documents.
-REACH = 1 << 16
+#: Sums that dynamic programming ranges over, in words, at first and at most; more than that is first filled by large documents. Choices that
+#: are listed one by one for each half of a source.
+REACH, WIDE, LISTED = 1 << 16, 1 << 24, 1 << 18
 
 
 def subset_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
-    """How many items of each size (at most ``counts``) to take, so that their sizes sum to ``budget`` or as near below it as found."""
+    """How many items of each size (at most ``counts``) to take, so that their sizes sum to ``budget`` or as near below it as found.
+
+    What the first, narrow try misses is searched for anew: among all choices where they are few, else over sums up to ``WIDE``, which is the
+    whole budget or what is left of it once shares and large items are fixed. The result is the nearest there is if the budget is at most ``WIDE`` or
+    the choices are few; in any case it misses less than the smallest item left out.
+    """
     total = sum(k * c for k, c in counts.items())
     if total <= budget:
         return dict(counts)
-    taken = {k: c * budget // total for k, c in counts.items()}
+    sizes = sorted((k for k, c in counts.items() if k and c), reverse=True)
+    taken, missed = _filled(counts, sizes, budget, budget, total, REACH)
+    if missed == budget % math.gcd(*sizes):  # no sum of these sizes is nearer
+        return taken
+    if (halves := _halves(counts, sizes, budget)) is not None:
+        return dict.fromkeys(counts, 0) | ({0: counts[0]} if 0 in counts else {}) | _listed(halves, budget)
+    wide, still = _filled(counts, sizes, budget, max(0, budget - WIDE), total, WIDE)
+    if budget <= WIDE and 0 in counts:
+        wide[0] = counts[0]
+    return wide if still < missed else taken
+
+
+def _filled(counts: dict[int, int], sizes: list[int], budget: int, shared: int, total: int, reach: int) -> tuple[dict[int, int], int]:
+    """Shares of ``shared`` words, then large items until ``reach`` is left, then the nearest sum; what is missing from ``budget`` then."""
+    taken = {k: c * shared // total for k, c in counts.items()}
     rest = budget - sum(k * t for k, t in taken.items())
-    sizes = sorted((k for k in counts if k), reverse=True)
     for k in sizes:
-        if rest > REACH and k <= rest and taken[k] < counts[k]:
-            n = min(counts[k] - taken[k], (rest - REACH + k - 1) // k, rest // k)
+        if rest > reach and k <= rest and taken[k] < counts[k]:
+            n = min(counts[k] - taken[k], (rest - reach + k - 1) // k, rest // k)
             taken[k] += n
             rest -= n * k
-    missed = _close(taken, counts, sizes, rest)
-    if missed and budget <= REACH:  # so few documents that shares stand in the way of a fit
-        taken = dict.fromkeys(counts, 0) | {0: counts[0]} if 0 in counts else dict.fromkeys(counts, 0)
-        _close(taken, counts, sizes, budget)
-    return taken
+    return taken, _close(taken, counts, sizes, rest)
 
 
 def _close(taken: dict[int, int], counts: dict[int, int], sizes: list[int], rest: int) -> int:
     """Add to ``taken`` what brings its sum up by ``rest``, or as near below it as can be; what is missing then."""
+    fit = [k for k in sizes if k <= rest and taken[k] < counts[k]]
+    if (every := sum(k * (counts[k] - taken[k]) for k in fit)) <= rest:
+        taken.update({k: counts[k] for k in fit})
+        return rest - every
     mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for k in sizes:
+    made = np.zeros(rest + 1, dtype=np.int32)  # the step that made a sum first
+    for k in fit:
         free, part = min(counts[k] - taken[k], rest // k), 1
         while free > 0 and not reach >> rest & 1:
             n = min(part, free)
             new = (reach << n * k) & mask & ~reach
             if new:
                 reach |= new
-                steps.append((k, n, new))
+                made[_ones(new)] = len(steps)
+                steps.append((k, n))
             free, part = free - n, part * 2
     at = reach.bit_length() - 1
     missed = rest - at
-    for k, n, new in reversed(steps):  # a sum that this step made first came from one that earlier steps made
-        if new >> at & 1:
-            taken[k] += n
-            at -= n * k
+    while at:  # a sum that a step made first came from one that earlier steps made
+        k, n = steps[made[at]]
+        taken[k] += n
+        at -= n * k
     return missed
 
 
+def _ones(bits: int) -> np.ndarray:
+    """Places of the ones of a number."""
+    low = (bits & -bits).bit_length() - 1 & ~7
+    data = np.frombuffer((bits >> low).to_bytes((bits.bit_length() - low + 7) // 8, "little"), dtype=np.uint8)
+    at = np.flatnonzero(data)
+    row, place = np.nonzero(np.unpackbits(data[at, None], axis=1, bitorder="little"))
+    return low + at[row] * 8 + place
+
+
+def _halves(counts: dict[int, int], sizes: list[int], budget: int) -> list[list[tuple[int, int]]] | None:
+    """Sizes with their numbers, in two halves of at most ``LISTED`` choices each; None if there are more."""
+    halves, ways = [[], []], [1, 1]
+    for n, k in sorted(((min(counts[k], budget // k), k) for k in sizes if k <= budget), reverse=True):
+        i = int(ways[1] < ways[0])
+        halves[i].append((k, n))
+        ways[i] *= n + 1
+        if ways[i] > LISTED:
+            return None
+    return halves
+
+
+def _listed(halves: list[list[tuple[int, int]]], budget: int) -> dict[int, int]:
+    """The nearest sum of all choices: each choice of one half meets the largest one of the other that still fits."""
+    sums = []
+    for half in halves:
+        s = np.zeros(1, dtype=np.int64)
+        for k, n in half:
+            s = (s[None, :] + k * np.arange(n + 1, dtype=np.int64)[:, None]).ravel()
+        sums.append(s)
+    order = np.argsort(sums[1], kind="stable")
+    ranked = sums[1][order]
+    room = budget - sums[0]
+    at = np.searchsorted(ranked, room, side="right") - 1
+    best = int(np.argmax(np.where(room >= 0, sums[0] + ranked[at], -1)))
+    taken = {}
+    for half, s, place in zip(halves, sums, (best, int(order[at[best]]))):
+        width = len(s)
+        for k, n in reversed(half):  # the last size varies slowest
+            width //= n + 1
+            taken[k], place = divmod(place, width)
+    return taken
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Targets of sources (source, source_size): the sum of all sizes shared by weight, none above ``most`` times its source.
 
