@@ -159,3 +159,17 @@ def test_templates_separate_bad_branches(spark):
     out = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels)
     assert out.filter("(verdict = 'block') <> (page_id % 3 = 0)").isEmpty()
     assert {r["template"] for r in out.select("template").distinct().collect()} == {"/spam/*/page.html", "/+/*/page.html"}
+
+
+def test_deep_branches_are_separated_like_shallow_ones(spark):
+    rows, marks = [], []
+    for depth in range(1, 12):
+        for i in range(400):
+            page = len(rows)
+            rows.append((page, f"http://h{depth}.net/{'abcdefghijklm'[:depth].replace('', '/').strip('/')}/{1000 + i}/{'spam' if i % 2 else 'news'}"))
+            marks.append((page, 1 - i % 2, 0))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.judge_urls(pages, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert out.filter("(verdict = 'block') <> (page_id % 2 = 1)").isEmpty()
+    got = {r["template"] for r in out.select("template").distinct().collect()}
+    assert got == {f"{'abcdefghijklm'[:d].replace('', '/').rstrip('/')}/*/{x}" for d in range(1, 12) for x in ("spam", "+")}
