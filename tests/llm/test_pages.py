@@ -1,7 +1,9 @@
 """Archives, main text and urls of pages."""
 
 import base64
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -173,3 +175,75 @@ def test_deep_branches_are_separated_like_shallow_ones(spark):
     assert out.filter("(verdict = 'block') <> (page_id % 2 = 1)").isEmpty()
     got = {r["template"] for r in out.select("template").distinct().collect()}
     assert got == {f"{'abcdefghijklm'[:d].replace('', '/').rstrip('/')}/*/{x}" for d in range(1, 12) for x in ("spam", "+")}
+
+
+def plain_verdicts(pages, marks):
+    """Template, purity and verdict of every (host, path) by a recursive tree in plain Python."""
+    seen = {}
+    for page, url in pages:
+        n, g, b = seen.get(split_url(url), (0, 0, 0))
+        seen[split_url(url)] = n + 1, g + (marks.get(page) == 1), b + (marks.get(page) == 0)
+    total = lambda keys: tuple(sum(seen[k][i] for k in keys) for i in range(3))
+    varies = lambda s: re.search(r"[0-9]{2}|^[0-9]\Z|^[0-9a-fA-F-]{8,}\Z", s) or len(s) > 40
+    out = {}
+
+    def walk(keys, depth, template, purity):
+        branches = {}
+        for host, path in keys:
+            left = path.removeprefix("/").split("/")[depth:]
+            if left:
+                branches.setdefault("*" if varies(left[0]) else left[0], []).append((host, path))
+            else:
+                out[host, path] = template, purity
+        inside = [k for ks in branches.values() for k in ks]
+        joined = {}
+        for name, ks in branches.items():
+            (n, g, b), (_, g0, b0) = total(ks), total([k for k in inside if k not in set(ks)])
+            to = "*"
+            if name != "*" and n >= 20:
+                if len(branches) == 1:
+                    to = name
+                elif g + b and g0 + b0 and g + g0 and b + b0:
+                    p = (g + g0) / (g + b + g0 + b0)
+                    z = (g / (g + b) - g0 / (g0 + b0)) / math.sqrt(p * (1 - p) * (1 / (g + b) + 1 / (g0 + b0)))
+                    to = name if z < -2.58 else "+" if z > 2.58 else "*"
+            joined.setdefault(to, []).extend(ks)
+        for to, ks in joined.items():
+            _, g, b = total(ks)
+            walk(ks, depth + 1, f"{template}/{to}", (g + 10 * purity) / (g + b + 10))
+
+    _, g, b = total(seen)
+    prior = (g + 1) / (g + b + 2)
+    for host in {h for h, _ in seen}:
+        own = [k for k in seen if k[0] == host]
+        _, g, b = total(own)
+        walk(own, 0, "", (g + 10 * prior) / (g + b + 10))
+    return out
+
+
+def test_verdicts_equal_a_plain_tree(spark, monkeypatch):
+    rnd = random.Random(8)
+    pages, marks = [], {}
+    for page in range(3000):
+        deep = rnd.randrange(1, 10)
+        where = [rnd.choice(["news", "spam"] if k == deep - 1 or rnd.random() < 0.1 else ["a"] if k % 3 else ["b", "b", "b", "c", f"r{rnd.randrange(10)}", str(rnd.randrange(10**4))]) for k in range(deep)]
+        host = rnd.choice(["one.net", "one.net", "one.net", "two.org", "three.example.org", f"h{rnd.randrange(40)}.net"])
+        url = f"http://{host}/{'/'.join(where)}{rnd.choice(['', '', '/', '?q=1', '//x.html', f'/{page}', f'/{page}'])}"
+        pages.append((page, url))
+        if rnd.random() < 0.8:
+            marks[page] = int(rnd.random() > (0.9 if "spam" in where else 0.2))
+    pages += pages[:50] + [(-1, None), (-2, "http://one.net"), (-3, "http://one.net/" + "deep/" * 300)]
+    want = plain_verdicts(pages, marks)
+    labels = spark.createDataFrame([(k, v, 0) for k, v in marks.items()], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    for few in (urls.FEW, 40):
+        monkeypatch.setattr(urls, "templates", functools.partial(urls.templates, few=few))
+        got = urls.judge_urls(df, labels).collect()
+        assert len(got) == len(pages)
+        for r in got:
+            template, purity = want[r["host"], r["path"]]
+            assert r["template"] == template and r["purity"] == pytest.approx(purity, rel=1e-12)
+            assert r["verdict"] == (longest(r["host"], r["path"])[0] or ("block" if purity < 0.5 else "allow"))
+    names = {t for t, _ in want.values()}
+    assert any(re.search(r"(/[^/]+){7,}/spam", t) for t in names) and any("+" in t for t in names) and any("*" in t for t in names)
+    assert 100 < sum(p < 0.5 for _, p in want.values()) < len(want) - 100
