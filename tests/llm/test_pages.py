@@ -55,6 +55,25 @@ def test_broken_archives_are_refused(spark, tmp_path):
     assert list(warc.members(store, str(tmp_path / "m"), 100)) == data and zlib.decompress(warc._pressed(b"q"), 31) == b"q"
 
 
+def test_digests_are_those_of_the_payload_read(spark, tmp_path):
+    def read(*records):
+        name = tmp_path / f"{len(list(tmp_path.iterdir()))}.warc.gz"
+        name.write_bytes(b"".join(map(warc._pressed, records)))
+        return {r["page"]: r["digest"] for r in warc.read_archives(spark.createDataFrame([(str(name),)], "path string"), str(tmp_path)).collect()}
+
+    block, right, wrong = warc.HTTP + warc.chunked(b"abc"), warc.digest_of(b"abc"), warc.digest_of(b"abd")
+    good = warc.record("response", "<urn:1>", block, WARC_Payload_Digest=f"sha1:{right}")
+    other = warc.record("response", "<urn:2>", block, WARC_Payload_Digest="md5:kAFQmDzST7DWlj99KOF/cg==")
+    revisit = warc.record("revisit", "<urn:4>", warc.HTTP, WARC_Payload_Digest=f"sha1:{wrong}")
+    assert read(good, other, warc.record("response", "<urn:3>", block), revisit) == {"<urn:1>": right, "<urn:2>": right, "<urn:3>": right, "<urn:4>": wrong}
+    with pytest.raises(Exception, match="does not have the digest"):
+        read(good, warc.record("response", "<urn:5>", block, WARC_Payload_Digest=f"sha1:{wrong}"))
+    parts = [warc.record("response", "<urn:o>", block[:50], WARC_Segment_Number=1, WARC_Payload_Digest=f"sha1:{wrong}"),
+             warc.record("continuation", "<urn:c>", block[50:], WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:o>", WARC_Segment_Total_Length=len(block))]
+    with pytest.raises(Exception, match="does not have the digest"):
+        read(*parts)
+
+
 # --- main text ----------------------------------------------------------------------------------------------------
 
 def test_main_text_of_the_test_pages(spark):

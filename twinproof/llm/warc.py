@@ -186,7 +186,8 @@ def members(store, path: str, step: int = 1 << 16) -> Iterator[bytes]:
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """Pages of archives (column path): page (record id), url, digest, kind, refers, payload (NULL for revisits).
 
-    Raises where segments are missing, doubled, or do not add up to their total length. An origin's segments, one page, meet in one row.
+    The digest of a response is that of the payload as read, of others what the record says. Raises where a response's record says otherwise, and
+    where segments are missing, doubled, or do not add up to their total length. An origin's segments, one page, meet in one row.
     """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(folder)
@@ -213,7 +214,15 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         for batch in slices(batches):
             kinds, blocks = batch.column(3).to_pylist(), batch.column(5).to_pylist()
             payload = [payload_of(b) if k == "response" else None for k, b in zip(kinds, blocks)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payload, pa.binary())], names=[*batch.schema.names[:5], "payload"])
+            digests = batch.column(2).to_pylist()
+            for k, (page, p, stated) in enumerate(zip(batch.column(0).to_pylist(), payload, digests)):
+                if p is not None:
+                    digests[k] = digest_of(p)
+                    # Other algorithms than SHA-1 keep their name in front.
+                    if stated and ":" not in stated and stated != digests[k]:
+                        raise ValueError(f"the payload of {page} does not have the digest of its record")
+            columns = [*batch.columns[:2], pa.array(digests, pa.string()), *batch.columns[3:5], pa.array(payload, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:5], "payload"])
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = files.select("path").repartition(n, "path").mapInArrow(parse, ", ".join(
@@ -242,7 +251,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
     slim = stored(found.select(
         number(F.col("page")).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        F.col("kind").alias("record_type"), number(F.col("refers")).alias("refers_to"), F.sha1("payload").alias("sha1")), "pages")
+        F.col("kind").alias("record_type"), number(F.col("refers")).alias("refers_to")), "pages")
     full = slim.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(
         F.max("payload_bytes").alias("_bytes"))
     joined = slim.join(full, (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
