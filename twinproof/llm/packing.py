@@ -1,10 +1,11 @@
-"""Best-fit packing with certified bin counts (operator 10).
+"""Best-fit packing (operator 10).
 
 Documents become pieces of at most ``size`` tokens. Pieces are counted by length within each partition; a partition is
-packed by best-fit decreasing over these counts, and a lower bound from dual feasible functions certifies its number of
-bins. A partition whose bins exceed its bound has a gap: its bins that are not full give their pieces back, and all
+packed by best-fit decreasing over these counts, and its bins are held against the sum of its lengths in whole bins, the area bound.
+A partition with more bins than that has a gap: its bins that are not full give their pieces back, and all
 partitions with gaps meet in groups of half the number, where the pieces are packed again. Rounds go on until one
-group is left or nothing has a gap. What travels between partitions are counts by length (at most ``size`` rows a
+group is left, which is taken with any gap it has. Bounds from dual feasible functions, ``lower_bound``, are never below the area bound; no exchange
+depends on them, and no bin count is certified or returned with its bound. What travels between partitions are counts by length (at most ``size`` rows a
 partition); pieces take their places by rank within their length afterwards.
 """
 
@@ -121,8 +122,8 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int,
 def plan_bins(counts: DataFrame, size: int = SIZE, parts: int = 1) -> DataFrame:
     """Bins for counted lengths (part, length, n): columns bin (array of lengths) and n, the number of such bins.
 
-    Each round packs every part and holds it against its lower bound. A part has a gap if it takes more bins than the bound, or if
-    the bound, though met, leaves room that pieces of other parts may fill (it exceeds the sum of lengths). Full bins are done, and so are
+    Each round packs every part and holds it against the area bound. A part has a gap if it takes more bins than that, even if its own lower
+    bound is met, for pieces of other parts may fill the room; so the area bound alone decides. Full bins are done, and so are
     the bins of a part without a gap except its emptiest one; the pieces of all others meet in a quarter of the parts. A part holds at most ``size``
     rows at any input size, for it is counts that travel.
     """
