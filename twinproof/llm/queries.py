@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import mainhtml, mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
+from twinproof.llm import lloyd, mainhtml, mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
 from twinproof.llm.base import read
 
 
@@ -48,6 +48,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return lloyd.centroid_clusters(read(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,9 +69,11 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op9_warc": warc.SQL,
+    "op11_centroid_clustering": lloyd.SQL,
 }
