@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import lloyd, mainhtml, mixing, neardup, packing, quality, substrings, tokens, urls, vectors, warc
+from twinproof.llm import lloyd, mainhtml, mixing, neardup, packing, quality, secretscan, substrings, tokens, urls, vectors, warc
 from twinproof.llm.base import read
 
 
@@ -52,6 +52,10 @@ def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return lloyd.centroid_clusters(read(spark, folder, "embeddings"))
 
 
+def op12_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.scan(read(spark, folder, "documents")).drop("finds")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,10 +74,12 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_secret_scans": op12_secret_scans,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
     "op7_quality_rules": quality.SQL,
     "op9_warc": warc.SQL,
     "op11_centroid_clustering": lloyd.SQL,
+    "op12_secret_scans": secretscan.SQL,
 }
