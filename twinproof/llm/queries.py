@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import lloyd, mainhtml, mixing, neardup, packing, quality, secretscan, substrings, tokens, urls, vectors, warc
+from twinproof.llm import collocations, lloyd, mainhtml, mixing, neardup, packing, quality, secretscan, substrings, tokens, urls, vectors, warc
 from twinproof.llm.base import read
 
 
@@ -56,6 +56,10 @@ def op12_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secretscan.scan(read(spark, folder, "documents")).drop("finds")
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_secret_scans": op12_secret_scans,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "pipeline": pipeline,
 }
 SQL: dict[str, str] = {
@@ -82,4 +87,5 @@ SQL: dict[str, str] = {
     "op9_warc": warc.SQL,
     "op11_centroid_clustering": lloyd.SQL,
     "op12_secret_scans": secretscan.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }
