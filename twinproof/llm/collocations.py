@@ -78,7 +78,7 @@ class Words:
         self.data, self.starts, self.stops = data, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         #: Whether the n-gram of n words that starts at word i lies within its piece, for n = 2 on.
-        self.whole = [piece[n - 1:] == piece[: len(piece) - n + 1] for n in range(2, longest + 1)]
+        self.whole = [piece[n - 1:] == piece[: max(0, len(piece) - n + 1)] for n in range(2, longest + 1)]
 
     def hashes(self, which: int) -> np.ndarray:
         """A 64-bit hash of every word."""
