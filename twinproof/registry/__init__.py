@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("replication", "analytics", "runs")
+_MODULES = ("replication", "analytics", "runs", "streams")
 
 
 def _merged(what: str) -> dict:

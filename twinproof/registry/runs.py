@@ -134,18 +134,11 @@ _ATTEMPTS = f"""a AS (SELECT CAST(event_id // 20 AS INTEGER) AS cycle, 'r' || (e
 w AS (SELECT *, CAST(epoch(moment) - epoch(started) AS BIGINT) AS waited FROM a)"""
 
 
-@query("freshness_wait", f"""WITH {_ATTEMPTS},
-h AS (SELECT cycle, replica, min(waited) AS waited FROM w WHERE equal AND waited <= 300 GROUP BY ALL),
-o AS (SELECT cycle, replica, min(waited) AS waited FROM w WHERE waited > 300 GROUP BY ALL),
-l AS (SELECT cycle, replica, max(waited) AS waited FROM w GROUP BY ALL),
-p AS (SELECT l.cycle, l.replica, coalesce(h.waited, o.waited, l.waited) AS waited FROM l LEFT JOIN h USING (cycle, replica) LEFT JOIN o USING (cycle, replica))
-SELECT p.cycle, p.replica, w.moment AS ts, w.equal AS match, CAST(p.waited AS INTEGER) AS waited_s, CASE WHEN w.failed THEN 'query failed' END AS err
-FROM p JOIN w ON w.cycle = p.cycle AND w.replica = p.replica AND w.waited = p.waited""")
-def freshness_wait(spark, d):
+def attempts(spark, d):
     """Every event is one comparison attempt of its cycle; small values mean the two sides agreed."""
     failed = F.col("event_id") % 97 == 0
     start = F.timestamp_seconds(F.unix_timestamp(F.lit(derived.START)) + F.expr("event_id div 20") * 600).cast("timestamp_ntz")
-    attempts = events(spark, d).select(
+    return events(spark, d).select(
         F.expr("cast(event_id div 20 as int)").alias("cycle"),
         F.concat(F.lit("r"), (F.col("event_id") % 2 + 1).cast("string")).alias("replica"),
         start.alias("started"),
@@ -154,7 +147,17 @@ def freshness_wait(spark, d):
         F.when(F.col("value") < 20, "x").otherwise("y").alias("ch"),
         F.when(failed, "query failed").alias("err"),
     )
-    return cycles.freshness_waits(attempts, ["cycle", "replica"]).select("cycle", "replica", "ts", "match", "waited_s", "err")
+
+
+@query("freshness_wait", f"""WITH {_ATTEMPTS},
+h AS (SELECT cycle, replica, min(waited) AS waited FROM w WHERE equal AND waited <= 300 GROUP BY ALL),
+o AS (SELECT cycle, replica, min(waited) AS waited FROM w WHERE waited > 300 GROUP BY ALL),
+l AS (SELECT cycle, replica, max(waited) AS waited FROM w GROUP BY ALL),
+p AS (SELECT l.cycle, l.replica, coalesce(h.waited, o.waited, l.waited) AS waited FROM l LEFT JOIN h USING (cycle, replica) LEFT JOIN o USING (cycle, replica))
+SELECT p.cycle, p.replica, w.moment AS ts, w.equal AS match, CAST(p.waited AS INTEGER) AS waited_s, CASE WHEN w.failed THEN 'query failed' END AS err
+FROM p JOIN w ON w.cycle = p.cycle AND w.replica = p.replica AND w.waited = p.waited""")
+def freshness_wait(spark, d):
+    return cycles.freshness_waits(attempts(spark, d), ["cycle", "replica"]).select("cycle", "replica", "ts", "match", "waited_s", "err")
 
 
 # --- intervals -------------------------------------------------------------------------------------------------------------
