@@ -1,6 +1,7 @@
 """Near-duplicate vectors against all pairs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -62,6 +63,36 @@ def test_no_vectors(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in one.collect()) == [(5, 0, 5, True), (6, 0, 6, True)]
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8])
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**9])
+def test_recall_at_the_threshold_does_not_fall_with_size(n, shared):
+    """The index as it is designed for n vectors, on vectors with a common mean of some length, and pairs it was not designed on."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x = shared * np.eye(64)[7] + np.sqrt(1 - shared**2) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.design(x[:3000], n, recall=0.995)
+    assert index.recall >= 0.995
+    for least in (0.95, 0.955, 0.97):
+        y = vectors.pairs_at(x[3000:], least, seed=11)
+        assert index.meet(index.codes(x[3000:]), index.codes(y)).mean() >= 0.99
+
+
+def test_every_meeting_pair_counts_once():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.design(x, 10**6)
+    a, b = index.codes(x), index.codes(vectors.pairs_at(x, 0.95, seed=2))
+    flips = np.concatenate(([0], 1 << np.arange(index.stretch))).astype(np.uint64)
+    counted = np.zeros(len(x), int)
+    for t in range(len(index.tables)):
+        for i in range(len(x)):
+            for key in set((index.stretches(a, t)[i] ^ flips).tolist()) & set((index.stretches(b, t)[i] ^ flips).tolist()):
+                counted[i] += vectors._counts_here(a[i: i + 1], b[i: i + 1], np.array([t]), np.array([key], np.uint64).view(np.int64), index)[0]
+    assert (counted == index.meet(a, b)).all()
+
+
 def test_rotation_balances_codes():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 24)) * np.linspace(3, 1, 24) + 0.2

@@ -1,9 +1,11 @@
 """Near-duplicate vectors by iterative quantisation (operator 4).
 
-On a bounded sample, a rotation is learned that makes the signs of the leading principal components balanced binary codes.
-Every vector gets a code, and every code is entered in several tables, one for each stretch of its bits: under the
+On a bounded sample, rotations are learned that make the signs of the leading principal components balanced binary codes.
+Every vector gets a code of each rotation, and every code is entered in several tables, one for each stretch of its bits: under the
 stretch itself and under all values one bit away. Two vectors meet in a table where their stretches differ in at
-most two bits. Members of a bucket whose whole codes are far apart are dropped by code alone; the others are reranked
+most two bits. How many tables there are follows from the recall asked for at the threshold: pairs that lie exactly there are made
+from the sample, and tables are added, of further rotations where a code has no bits left, until enough of the pairs meet. The
+number of vectors only decides how long a stretch pays, and whether codes with or without the mean are cheaper. Members of a bucket whose whole codes are far apart are dropped by code alone; the others are reranked
 with the original vectors in double precision. A pair meets in many buckets and counts in one: the first table where it meets, and there
 the smallest common entry. Buckets of any size are worked on in pairs of blocks; a block pair writes partial counts and the links that
 connect its members, never all pairs.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,12 @@ from twinproof.llm.components import components
 LEAST = 0.95
 #: Rows that the rotation is fitted on, at most; every row is indexed.
 SAMPLE, ITERATIONS, BITS = 8192, 50, 64
-#: Differing bits of 64 beyond which a pair is not reranked: 4.8 standard deviations above the mean of pairs at 0.95.
-FAR = 18
+#: Share of the pairs at the threshold that the tables must find, measured on pairs made from the sample.
+RECALL = 0.999
+#: Share of such pairs that may differ in more bits of a code than are looked at.
+BEYOND = 1e-4
+#: What an entry costs, in comparisons of two codes.
+ENTRY_COST = 50
 BLOCK = 512
 
 
@@ -39,13 +46,13 @@ def _spread_out(x: np.ndarray, near: float = 0.8) -> np.ndarray:
     return x[keep]
 
 
-def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 3, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x bits) of unit vectors ``x``: principal components, rotated so that signs lose least.
 
     Vectors near each other count once. Where hardly any are left, the mean is left out: it would lie among the copies.
     """
     x = _spread_out(x)
-    mean = x.mean(0) if len(x) >= 2 * x.shape[1] else np.zeros(x.shape[1])
+    mean = x.mean(0) if centred and len(x) >= 2 * x.shape[1] else np.zeros(x.shape[1])
     _, _, vt = np.linalg.svd((x - mean).T @ (x - mean))
     axes = vt[: min(bits, x.shape[1])].T
     v = (x - mean) @ axes
@@ -61,6 +68,86 @@ def codes_of(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndar
     return (bits << np.arange(bits.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def _at_most(k: int, n: int, p: float) -> float:
+    """Probability that of ``n`` bits at most ``k`` differ, each with probability ``p``."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(min(k, n) + 1))
+
+
+def pairs_at(x: np.ndarray, least: float, seed: int = 5) -> np.ndarray:
+    """For each row of unit vectors ``x`` a vector at cosine ``least``: half in any direction, half in directions between rows."""
+    rng = np.random.default_rng(seed)
+    u = rng.normal(size=x.shape)
+    if len(x) > 1:
+        u[::2] = (x[rng.permutation(len(x))] - x[rng.permutation(len(x))])[::2]
+    u -= (u * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(u, axis=1, keepdims=True)
+    return np.where(norm > 1e-9, least * x + math.sqrt(max(0.0, 1 - least**2)) * u / np.maximum(norm, 1e-9), x)
+
+
+@dataclass
+class Index:
+    """Rotations (mean, projection), the length of a stretch, tables as (rotation, first bit), the bits looked at, recall measured."""
+
+    rotations: list[tuple[np.ndarray, np.ndarray]]
+    stretch: int
+    tables: list[tuple[int, int]]
+    far: int
+    recall: float
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([codes_of(x, *r) for r in self.rotations], axis=1)
+
+    def stretches(self, codes: np.ndarray, t: int) -> np.ndarray:
+        rotation, begin = self.tables[t]
+        return (codes[:, rotation] >> np.uint64(begin)) & np.uint64((1 << self.stretch) - 1)
+
+    def meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows of two arrays of codes meet in a table and are looked at there."""
+        near = np.bitwise_count(a ^ b) <= self.far
+        out = np.zeros(len(a), bool)
+        for t, (rotation, _) in enumerate(self.tables):
+            out |= (np.bitwise_count(self.stretches(a, t) ^ self.stretches(b, t)) <= 2) & near[:, rotation]
+        return out
+
+
+def design(x: np.ndarray, n: int, least: float = LEAST, bits: int = BITS, recall: float = RECALL) -> Index:
+    """The index for ``n`` vectors like the unit vectors ``x`` that finds ``recall`` of the pairs at cosine ``least``.
+
+    The stretch, and whether the mean is taken off, are what costs least for ``n`` by the binomial distribution of differing bits;
+    the tables are as many as the made pairs need. Raises RuntimeError if 64 rotations do not suffice.
+    """
+    # Rotations suit the vectors they were fitted on better than others, so recall is measured on the other half.
+    fit, x = (x[::2], x[1::2]) if len(x) >= 16 * x.shape[1] else (x, x)
+    x = np.resize(x, (max(len(x), 4096), x.shape[1]))
+    y = pairs_at(x, least)
+    far_apart = x[np.random.default_rng(7).permutation(len(x))]
+    best = None
+    for centred in (True, False):
+        rotation = learn_rotation(fit, bits, seed=3, centred=centred)
+        length = rotation[1].shape[1]
+        a, b, c = codes_of(x, *rotation), codes_of(y, *rotation), codes_of(far_apart, *rotation)
+        near_bits, other_bits = np.bitwise_count(a ^ b), np.bitwise_count(a ^ c)
+        p, q = near_bits.mean() / length, max(other_bits.mean() / length, 1e-9)
+        for stretch in range(min(length, 6), min(length, 48) + 1):
+            hit = _at_most(2, stretch, p)
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))) if hit < 1 else 1
+            cost = tables * ((stretch + 1) * ENTRY_COST + n * _at_most(2, stretch, q))
+            if best is None or cost < best[0]:
+                best = cost, centred, stretch, length, int(np.quantile(near_bits, 1 - BEYOND)) + 1
+    _, centred, stretch, length, far = best
+    index = Index([], stretch, [], min(far, length), 0.0)
+    for seed in range(3, 67):
+        index.rotations.append(learn_rotation(fit, bits, seed=seed, centred=centred))
+        a, b = index.codes(x), index.codes(y)
+        index.far = max(index.far, int(np.quantile(np.bitwise_count(a ^ b), 1 - BEYOND)) + 1)
+        for begin in range(0, length - stretch + 1, stretch):
+            index.tables.append((len(index.rotations) - 1, begin))
+            index.recall = float(index.meet(a, b).mean())
+            if index.recall >= recall:
+                return index
+    raise RuntimeError(f"the index finds {index.recall:.3f} of the pairs at the threshold; {recall} were asked for")
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Unit vectors as rows of ``width`` components; shorter ones are padded with zeros."""
     out = np.zeros((len(column), width))
@@ -71,21 +158,34 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def _entries(width: int, begins: np.ndarray, stretch: int, mean: np.ndarray, projection: np.ndarray):
+def _coded(width: int, index: Index):
+    """The codes of every vector, of all rotations: computed once, so that a pair is judged by the same bits everywhere."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            codes = np.ascontiguousarray(index.codes(_matrix(batch.column(1), width)))
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat.cast(pa.binary())], names=[*batch.schema.names, "codes"])
+
+    return run
+
+
+def _all_codes(column) -> np.ndarray:
+    texts = column.to_pylist()
+    return np.frombuffer(b"".join(texts), np.uint64).reshape(len(texts), -1)
+
+
+def _entries(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << stretch) - 1)
-        flips = np.concatenate(([0], 1 << np.arange(stretch))).astype(np.uint64)
+        flips = np.concatenate(([0], 1 << np.arange(index.stretch))).astype(np.uint64)
         for batch in slices(batches, 2048):
-            code = codes_of(_matrix(batch.column(1), width), mean, projection)
+            codes = _all_codes(batch.column(1))
             rep, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            t = np.arange(len(begins))
-            own = (code[:, None] >> begins.astype(np.uint64)) & mask
-            key = (own[:, :, None] ^ flips).astype(np.int64)
-            many = len(begins) * len(flips)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(dim, many).astype(np.int32)),
-                pa.array(np.broadcast_to(t[None, :, None], key.shape).ravel().astype(np.int32)), pa.array(key.ravel()),
-                pa.array(np.repeat(rep, many)), pa.array(np.repeat(code, many).view(np.int64))], names=["dim", "t", "key", "rep", "code"])
+            for t, (rotation, _) in enumerate(index.tables):
+                key = (index.stretches(codes, t)[:, None] ^ flips).astype(np.int64).ravel()
+                many = len(flips)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(dim, many).astype(np.int32)), pa.array(np.full(len(key), t, np.int32)), pa.array(key),
+                    pa.array(np.repeat(rep, many)), pa.array(np.repeat(codes[:, rotation], many).view(np.int64))], names=["dim", "t", "key", "rep", "code"])
 
     return run
 
@@ -134,29 +234,33 @@ def _near_codes(far: int):
     return run
 
 
-def _counts_here(cx, cy, t, key, stretch, begins):
-    """Whether a pair of codes counts in bucket (t, key)."""
-    mask = np.uint64((1 << stretch) - 1)
+def _counts_here(cx: np.ndarray, cy: np.ndarray, t: np.ndarray, key: np.ndarray, index: Index) -> np.ndarray:
+    """Whether a pair of rows of codes counts in bucket (t, key): its first table, and the smallest common entry there."""
+    near = np.bitwise_count(cx ^ cy) <= index.far
     ok = np.ones(len(cx), bool)
-    diff = cx ^ cy
-    for k, begin in enumerate(begins[:-1]):
-        ok &= ~((np.bitwise_count((diff >> np.uint64(begin)) & mask) <= 2) & (k < t))
-    shift = begins[t].astype(np.uint64)
-    a, d = (cx >> shift) & mask, (diff >> shift) & mask
-    low = d & (~d + np.uint64(1))
-    n = np.bitwise_count(d)
-    first = np.where(n == 0, a, np.where(n == 1, np.minimum(a, a ^ d), np.minimum(a ^ low, a ^ d ^ low)))
-    return ok & (n <= 2) & (first == key.astype(np.uint64))
-
-
-def _rerank(width: int, stretch: int, begins: np.ndarray, least: float):
+    own = np.zeros(len(cx), np.uint64)
+    diff = np.zeros(len(cx), np.uint64)
+    for k, (rotation, _) in enumerate(index.tables):
+        a = index.stretches(cx, k)
+        d = a ^ index.stretches(cy, k)
+        # Only where the pair's codes of the rotation are near enough is it certain to have been looked at.
+        ok &= ~((np.bitwise_count(d) <= 2) & near[:, rotation] & (k < t))
+        own, diff = np.where(k == t, a, own), np.where(k == t, d, diff)
+    low = diff & (~diff + np.uint64(1))
+    n = np.bitwise_count(diff)
+    first = np.where(n == 0, own, np.where(n == 1, np.minimum(own, own ^ diff), np.minimum(own ^ low, own ^ diff ^ low)))
+    here = near[np.arange(len(cx)), np.array([r for r, _ in index.tables])[t]]
+    return ok & (n <= 2) & here & (first == key.astype(np.uint64))
+
+
+def _rerank(width: int, index: Index, least: float):
     """Of block pairs, rows (a, b, more): a link that connects a and b, or b NULL and what to add to the count of a."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = ["dim", "t", "key", "bi", "bj"]
         for batch in _whole_groups(batches, by, 8192):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            num = {n: col[n].to_numpy() for n in by + ["rep", "code", "blk", "copies"]}
-            x, code, rep, copies = _matrix(col["embedding"], width), num["code"].view(np.uint64), num["rep"], num["copies"]
+            num = {n: col[n].to_numpy() for n in by + ["rep", "blk", "copies"]}
+            x, codes, rep, copies = _matrix(col["embedding"], width), _all_codes(col["codes"]), num["rep"], num["copies"]
             starts = _starts(*[num[n] for n in by])
             stops = np.append(starts[1:], len(rep))
             left, right = [], []
@@ -170,7 +274,7 @@ def _rerank(width: int, stretch: int, begins: np.ndarray, least: float):
             if not left:
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
-            ok = _counts_here(code[i], code[j], num["t"][i].astype(np.int64), num["key"][i], stretch, begins)
+            ok = _counts_here(codes[i], codes[j], num["t"][i].astype(np.int64), num["key"][i], index)
             ok &= (num["bi"][i] == num["bj"][i]) | (num["blk"][i] != num["blk"][j])
             i, j = i[ok], j[ok]
             if not len(i):
@@ -202,12 +306,13 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return root[b], b
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS,
+                 recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept: vectors linked where their cosine in double precision is ``least`` or more.
 
     Vectors that are NULL, empty, zero, or hold a NULL or non-finite component link with nothing; vectors of different lengths do not
     link. Equal vectors are one entry of the index and link with each other; repeated rows count as vectors. An empty table gives an
-    empty result. Links are all links that the index finds; none lies below ``least``.
+    empty result. Links are those that the index finds, at least ``recall`` of the pairs at ``least`` and more of nearer ones; none lies below ``least``.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -220,31 +325,27 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id
     if not n:
         return plain
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
-    mean, projection = learn_rotation(_matrix(sample.column(0).combine_chunks(), width), bits)
-    length = projection.shape[1]
-    stretch = max(1, min(length, max(8, math.ceil(math.log2(max(2, n))))))
-    # Stretches tile the code, and overlap where it is too short for four of them.
-    begins = np.unique(np.linspace(0, length - stretch, max(4, length // stretch)).round().astype(np.int64))
-    far = max(1, round(FAR * length / 64))
-
-    entries = classes.select("rep", "embedding", "dim").mapInArrow(
-        _entries(width, begins, stretch, mean, projection), "dim int, t int, key long, rep long, code long")
+    index = design(_matrix(sample.column(0).combine_chunks(), width), n, least, bits, recall)
+    classes = stored(classes.select("rep", "embedding", "copies", "dim").mapInArrow(
+        _coded(width, index), "rep long, embedding array<double>, copies long, dim int, codes binary"), "codes")
+
+    entries = classes.select("rep", "codes", "dim").mapInArrow(_entries(index), "dim int, t int, key long, rep long, code long")
     sizes = entries.groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     slices = F.ceil(F.col("size") / 4096).cast("int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = entries.join(sizes, ["dim", "t", "key"]).withColumn("crowded", F.col("size") > 4096).withColumn(
         "slice", F.pmod(F.xxhash64("rep"), slices).cast("int"))
     near = met.select("dim", "t", "key", "slice", "rep", "code", "crowded").repartition(parts, "dim", "t", "key", "slice").sortWithinPartitions(
-        "dim", "t", "key", "slice").mapInArrow(_near_codes(far), "dim int, t int, key long, rep long, code long")
+        "dim", "t", "key", "slice").mapInArrow(_near_codes(index.far), "dim int, t int, key long, rep long, code long")
     near = stored(near, "near-codes")
     blocks = near.groupBy("dim", "t", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = near.join(blocks, ["dim", "t", "key"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # Block b takes part in the pairs (b, 0) to (b, last), written with the smaller number first.
     paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "t", "key", "rep", "code", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
-    ready = paired.join(classes.select("rep", "embedding", "copies"), "rep").repartition(parts, "dim", "t", "key", "bi", "bj").sortWithinPartitions(
+        "dim", "t", "key", "rep", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
+    ready = paired.join(classes.select("rep", "embedding", "copies", "codes"), "rep").repartition(parts, "dim", "t", "key", "bi", "bj").sortWithinPartitions(
         "dim", "t", "key", "bi", "bj")
-    found = stored(ready.mapInArrow(_rerank(width, stretch, begins, least), "a long, b long, more long"), "vector-links")
+    found = stored(ready.mapInArrow(_rerank(width, index, least), "a long, b long, more long"), "vector-links")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("more").alias("links"))
     comp = components(found.filter("b IS NOT NULL").select("a", "b"))
     info = classes.join(counts, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
