@@ -1,5 +1,6 @@
 """Packing, token files: ids against the tokenizer library, places, bounds."""
 
+import collections
 import random
 import zlib
 
@@ -73,6 +74,39 @@ def test_best_fit_and_bounds():
     assert packing.lower_bound({}, 10) == 0
 
 
+def test_parts_certified_by_dual_feasible_functions_only(spark):
+    """Forty lengths from 300 to 699 a part: the sum of lengths asks for fewer bins than any packing has."""
+    rnd = random.Random(8)
+    counts = [(part, length, rnd.randrange(1, 9)) for part in range(16) for length in rnd.sample(range(300, 700), 40)]
+    by_part = [{k: n for p, k, n in counts if p == part} for part in range(16)]
+    met = [sum(n for _, n in packing.best_fit(c)) == packing.lower_bound(c) for c in by_part]
+    area = [sum(n for _, n in packing.best_fit(c)) == -(-sum(k * n for k, n in c.items()) // packing.SIZE) for c in by_part]
+    assert sum(met) > sum(area) + 5
+    df = spark.createDataFrame(counts, "part int, length int, n long")
+    bins = [(tuple(r["bin"]), r["n"]) for r in packing.plan_bins(df, parts=16).collect()]
+    placed = collections.Counter()
+    for b, n in bins:
+        assert sum(b) <= packing.SIZE
+        for x in b:
+            placed[x] += n
+    want = collections.Counter()
+    for _, k, n in counts:
+        want[k] += n
+    assert placed == want
+    used, bound = sum(n for _, n in bins), packing.bound_of(df)
+    apart = sum(sum(n for _, n in packing.best_fit(c)) for c in by_part)
+    together = sum(n for _, n in packing.best_fit(dict(want)))
+    assert bound <= used <= apart and used <= together + 1
+
+
+def test_certificate(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 700)) for i in range(300)], "doc_id long, text string")
+    r = packing.certificate(packing.pack(docs)).first()
+    assert r["lower_bound"] <= r["n_sequences"] <= r["lower_bound"] + 2 and r["certified"] == (r["n_sequences"] == r["lower_bound"])
+    none = packing.certificate(packing.pack(docs.limit(0))).first()
+    assert (none["n_sequences"], none["lower_bound"], none["certified"]) == (0, 0, True)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).isEmpty() and tokens.token_counts(none).isEmpty()

@@ -1,11 +1,10 @@
 """Best-fit packing (operator 10).
 
 Documents become pieces of at most ``size`` tokens. Pieces are counted by length within each partition; a partition is
-packed by best-fit decreasing over these counts, and its bins are held against the sum of its lengths in whole bins, the area bound.
-A partition with more bins than that has a gap: its bins that are not full give their pieces back, and all
-partitions with gaps meet in groups of half the number, where the pieces are packed again. Rounds go on until one
-group is left, which is taken with any gap it has. Bounds from dual feasible functions, ``lower_bound``, are never below the area bound; no exchange
-depends on them, and no bin count is certified or returned with its bound. What travels between partitions are counts by length (at most ``size`` rows a
+packed by best-fit decreasing over these counts, and its number of bins is held against a lower bound by dual feasible functions.
+A partition that meets it is certified and waits. One with a gap gives the pieces of its bins that are not full back; partitions with gaps
+meet in a quarter of their number, where the pieces are packed again. Rounds end when the bins of all partitions are as few as the bound of
+all pieces, or when one group is left; then those that waited take part too. ``certificate`` tells the bins of a packing and their bound. What travels between partitions are counts by length (at most ``size`` rows a
 partition); pieces take their places by rank within their length afterwards.
 """
 
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,36 +122,64 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int,
 def plan_bins(counts: DataFrame, size: int = SIZE, parts: int = 1) -> DataFrame:
     """Bins for counted lengths (part, length, n): columns bin (array of lengths) and n, the number of such bins.
 
-    Each round packs every part and holds it against the area bound. A part has a gap if it takes more bins than that, even if its own lower
-    bound is met, for pieces of other parts may fill the room; so the area bound alone decides. Full bins are done, and so are
-    the bins of a part without a gap except its emptiest one; the pieces of all others meet in a quarter of the parts. A part holds at most ``size``
-    rows at any input size, for it is counts that travel.
+    Each round packs every part by best fit. A part whose number of bins equals its lower bound by dual feasible functions is certified:
+    no packing of its pieces takes fewer, and its bins are held back. Only parts with a gap exchange the pieces of bins that are not full (full ones are done):
+    they meet in a quarter of the parts and are packed anew. As soon as all bins together are as few as the bound of all pieces, the
+    whole plan is certified and nothing is exchanged any more. If the parts with gaps end in one and bins remain above that bound, the
+    bins held back take part once more, for pieces of other parts may fill their room; then only parts that fill their bins, but for one, are done.
+    A part holds at most ``size`` rows at any input size, for it is counts that travel; so does the driver.
     """
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        counted = {int(k): int(c) for k, c in frame.groupby("length")["n"].sum().items()}
-        bins = sorted(best_fit(counted, size), key=lambda x: sum(x[0]))
-        used, area = sum(n for _, n in bins), -(-sum(k * c for k, c in counted.items()) // size)
-        gap = used > min(area, lower_bound(counted, size))
-        rows = [(sum(b) == size or not gap, list(b), n) for b, n in bins]
-        if rows and not gap and sum(bins[0][0]) < size:
-            (_, b, n), *rest = rows
-            rows = [(False, b, 1), *([(True, b, n - 1)] if n > 1 else []), *rest]
-        return pd.DataFrame(rows, columns=["done", "bin", "n"]).assign(part=int(frame["part"].iloc[0]))
-
-    out = None
+    def packer(hold: bool):
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            counted = {int(k): int(c) for k, c in frame.groupby("length")["n"].sum().items()}
+            bins = sorted(best_fit(counted, size), key=lambda x: sum(x[0]))
+            used = sum(n for _, n in bins)
+            filled = used == -(-sum(k * c for k, c in counted.items()) // size)
+            rest = ("held" if used == lower_bound(counted, size) else "open") if hold else "done" if filled else "open"
+            rows = [("done" if sum(b) == size else rest, list(b), n) for b, n in bins]
+            if filled and not hold and rows and sum(bins[0][0]) < size:
+                # The emptiest bin may have room left by rounding.
+                (_, b, n), *others = rows
+                rows = [("open", b, 1), *([("done", b, n - 1)] if n > 1 else []), *others]
+            return pd.DataFrame(rows, columns=["state", "bin", "n"]).assign(part=int(frame["part"].iloc[0]))
+
+        return pack
+
+    bound, start, hold, closed = bound_of(counts, size), parts, True, 0
+    out, back = [], []
     while True:
-        bins = stored(counts.groupBy("part").applyInPandas(pack, "done boolean, bin array<int>, n long, part int"), "bins")
-        finished = (bins if parts == 1 else bins.filter("done")).select("bin", "n")
-        out = finished if out is None else out.unionByName(finished)
-        if parts == 1:
-            return out
+        bins = stored(counts.groupBy("part").applyInPandas(packer(hold), "state string, bin array<int>, n long, part int"), "bins")
+        n = {r["state"]: r["n"] for r in bins.groupBy("state").agg(F.sum("n").alias("n")).collect()}
+        out.append(bins.filter("state = 'done'"))
+        back.append(bins.filter("state = 'held'"))
+        closed += n.get("done", 0) + n.get("held", 0)
+        opened = bins.filter("state = 'open'")
+        ended = parts == 1 or not n.get("open")
+        if closed + n.get("open", 0) == bound or ended and not hold:
+            return reduce(DataFrame.unionByName, [*out, *back, opened]).select("bin", "n")
+        if ended:
+            held = reduce(DataFrame.unionByName, back)
+            closed -= held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            opened, hold, parts, back = opened.unionByName(held), False, start, []
         parts = max(1, parts // 4)
         counts = (
-            bins.filter(~F.col("done")).select((F.col("part") % parts).alias("part"), F.explode("bin").alias("length"), "n")
+            opened.select((F.col("part") % parts).alias("part"), F.explode("bin").alias("length"), "n")
             .groupBy("part", "length").agg(F.sum("n").alias("n"))
         )
 
 
+def bound_of(counts: DataFrame, size: int = SIZE) -> int:
+    """The lower bound of counted lengths (length, n) over all parts: at most ``size`` sums come to the driver."""
+    return lower_bound({int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}, size)
+
+
+def certificate(packed: DataFrame, size: int = SIZE) -> DataFrame:
+    """One row about packed pieces: n_sequences, lower_bound (no packing takes fewer) and certified, whether they are equal."""
+    bound = bound_of(packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")), size)
+    return packed.agg(F.count_distinct("sequence_id").alias("n_sequences")).select(
+        "n_sequences", F.lit(bound).cast("long").alias("lower_bound"), (F.col("n_sequences") == bound).alias("certified"))
+
+
 def pack_pieces(pieces: DataFrame, size: int = SIZE, parts: int | None = None) -> DataFrame:
     """Give every piece (doc_id, piece, length, ...) its ``sequence_id`` and ``offset``; other columns are kept.
 
