@@ -65,6 +65,17 @@ def test_group_of_near_copies_and_odd_texts(spark):
     assert got(answer) == brute(list(dict(rows).items()), 3, 85)
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (5, a + " more"), (9, b + " more"), (7, c), (12, c + " more"), (12, a + " else")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2], [rows[k] for k in (3, 1, 6, 0, 5, 2, 4)]):
+        answer = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 3, 85)
+        # 12 carries texts near those of 1 and of 7.
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in answer.collect()) == sorted((i, 1, i == 1) for i, _ in rows)
+    apart = neardup.near_duplicates(spark.createDataFrame(rows[:5], "doc_id long, text string"), 3, 85)
+    assert {(r["doc_id"], r["component_id"]) for r in apart.collect()} == {(1, 1), (5, 1), (9, 1), (7, 7)}
+
+
 def test_empty_table_and_null_ids(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
     rows = neardup.near_duplicates(spark.createDataFrame([(None, "a b c"), (7, "a b c")], "doc_id long, text string")).collect()

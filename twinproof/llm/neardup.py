@@ -107,7 +107,7 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 known.clear()
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             sets = [shingle_hashes(t, width, known) for t in texts]
-            same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").translate(_LOWER).split())) if t else b"" for t in texts]
+            same = [_same(t) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
             out: list[bytes | None] = [None] * len(sets)
             # A few documents at a time, so that what is hashed stays in the cache.
@@ -128,17 +128,24 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return rows.mapInArrow(make, "doc_id long, n_shingles long, same binary, sketch binary")
 
 
+def _same(text: str | None) -> bytes:
+    """Name of a text's word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())) if text else b""
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text, n, sketch) to (doc_id, set, n, sketch): the sorted shingle hashes as bytes."""
+    """(doc_id, text, n, sketch, same) to (doc_id, set, n, sketch): the sorted shingle hashes as bytes, of texts that are ``same``."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in slices(batches):
             if len(known) > 200_000:
                 known.clear()
+            # An id may carry several texts; a class has the one it was made of.
+            batch = batch.filter(pa.array([_same(t) == s for t, s in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())], pa.bool_()))
             sets = [shingle_hashes(t, width, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "set", "n", "sketch"])
 
-    return docs.select("doc_id", "text", "n", "sketch").mapInArrow(make, "doc_id long, set binary, n long, sketch binary")
+    return docs.select("doc_id", "text", "n", "sketch", "same").mapInArrow(make, "doc_id long, set binary, n long, sketch binary")
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +196,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id, kept: documents linked where 100 x intersection >= ``percent`` x union.
 
     A document with fewer than ``width`` words is one shingle; one without words, empty or NULL, is linked with nothing.
-    Repeated rows (of the same or of different ids) with the same words share a component; ``kept`` holds for the smallest
-    id of a component (for each row that carries it). An empty table gives an empty result.
+    Repeated rows (of the same or of different ids) with the same words share a component, and an id that carries several texts
+    links what each of them is linked with; ``kept`` holds for the smallest id of a component (for each row that carries it).
+    An empty table gives an empty result.
     """
     base = stored(sketched(docs, width, id_col, text_col), "sketches")
     classes = stored(
         base.filter("sketch IS NOT NULL").groupBy("same").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+            F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        # Classes have numbers of their own, for the smallest ids of two may be one.
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     # Buckets: one row per class and band; those of a single class say nothing.
     buckets = classes.select("rep", F.posexplode(F.expr(
@@ -208,10 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # Full sets of the classes that are in some cluster; computed anew from the texts, which is less than keeping all.
     members = clusters.select(F.col("rep").alias("doc_id")).distinct()
-    info = classes.select(F.col("rep").alias("doc_id"), "n", "sketch").join(members, "doc_id", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    info = classes.select(F.col("rep").alias("doc_id"), "id", "n", "sketch", "same").join(members, "doc_id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # The members grow with the corpus, so they are never broadcast, and texts need no sort to meet them; all that is needed of a class is joined before the sets are made.
-    sets = stored(shingle_sets(texts.join(info.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), width), "sets")
+    sets = stored(shingle_sets(texts.join(info.hint("shuffle_hash"), "id").withColumn("_text", F.md5("text")).dropDuplicates(["id", "doc_id", "_text"]), width), "sets")
 
     # Members against their hub: by likelihood first, then on full sets.
     hub_sketch = sets.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
@@ -242,10 +252,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
                           F.pmod(at, F.col("cols")).alias("c"))
     whole = ask.unionByName(other).join(sets.select("doc_id", "set"), "doc_id")
     second = whole.groupBy("hub", "r", "c").applyInPandas(_verify(percent), "a long, b long")
-    final = stored(components(first.union(second)), "components")
-
-    rep = classes.select("same", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "same", F.coalesce("component", "rep").alias("component"))
+    # Classes that share an id.
+    several = base.filter("sketch IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).filter("x <> y")
+    shared = base.filter("sketch IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", "same").distinct().join(classes.select("same", "rep"), "same")
+    by_id = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+    final = stored(components(first.union(second).union(by_id)), "components").withColumnRenamed("node", "rep")
+
+    # A component is named by the smallest id of its classes.
+    least = final.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
+    rep = classes.select("same", "rep", "id").join(final.join(least, "component"), "rep", "left").select(
+        "same", F.coalesce("least", "id").alias("component"))
     out = base.select("doc_id", "n_shingles", F.when(F.col("sketch").isNotNull(), F.col("same")).alias("same")).join(rep, "same", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
