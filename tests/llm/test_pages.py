@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -93,11 +94,32 @@ def test_blocks_of_broken_markup():
     assert read("<div title='a > b' class=\"x\">ok</div></div><p>end") == ["ok", "end"]
     assert read("<script>never closed <p>x") == [] and read("<p>x<!-- open") == ["x"]
     assert read("<select><option>a</select><p>b</p><textarea>c</textarea>") == ["b"]
+    assert read("<![CDATA[abcdef") == ["abcdef"] and read("<p>a<![CDATA[<b>]]>c") == ["a<b>c"]
+    assert read("one</>two</ p>three<!-->four<!-- x --!>five") == ["onetwothreefourfive"]
+    assert read('<div title="x>menu</div><p>b</p>') == ["menu", "b"]
+    assert read("<p it's>a</p><p title=it's>b</p> c's") == ["a", "b", "c's"]
+    assert read("<p a='x>y' b = \"z>\" c=d\"e>f</p>") == ["f"]
+    assert read('<p a=">">b</p><p c="d>e<p>f') == ["b", "e", "f"]
+    assert read('<p>a</p>5 < 6 <a href="x') == ["a", '5 < 6 <a href="x'] and read("<") == ["<"]
     assert len(read("<div>" * 3000 + "deep")) == 1
     block = mainhtml.leaf_blocks("<div class='Ad-box main' id=side><p>x <a href=y>link</a>")[0]
     assert {".ad", ".box", ".main", ".side", "<div>", "<p>"} <= set(block[1]) and block[2] == 4
 
 
+@pytest.mark.parametrize("piece, end", [
+    ('<a "', ""), ('<a b="', ""), ('<a b=">"', ""), ("<a b='>\"", ">"), ("<a", ">"), ("<a ", ""), ("</ ", ""), ("<!--", ""), ("<style>", ""), ("<div></x>", "x"),
+    ("<div>x", ""), ("<p =", ">"), ("<![CDATA[", "")])
+def test_broken_pages_are_read_in_linear_time(piece, end):
+    def seconds(n):
+        page = piece * n + end
+        t0 = time.process_time()
+        mainhtml.leaf_blocks(page)
+        return time.process_time() - t0
+
+    seconds(1000)
+    assert seconds(80_000) < 20 * max(min(seconds(10_000) for _ in range(3)), 0.01)
+
+
 def test_heads_without_an_end_tag():
     read = lambda h: [b[0] for b in mainhtml.leaf_blocks(h)]
     head = "<html><head><meta charset=utf-8><title>x</title><script>var a = '<p>x';</script><noscript><img src=a>n<p>o</p></noscript>\n"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +33,64 @@ HEAD = set("base basefont bgsound link meta noframes noscript script style templ
 #: Pages that the chain is trained on, at most, and passes over them.
 SAMPLE, STEPS = 300, 120
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=[^a-zA-Z/!?])|[^<]+|<""", re.S)
+#: Comments, marked sections, declarations and end tags without a name; heads of tags; text. A page's text behind its last ``>`` has no tags.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<""", re.S)
+_TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*|[^<]+|<", re.S)
+#: An attribute's value, with its quote if it has one, or the end of a tag.
+_STOP = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)|>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 
 
+def tag_ends(page: str):
+    """A function that gives the place behind the tag whose name ends at a place; some ``>`` must lie behind it.
+
+    Only quotes that open an attribute's value hide a ``>``. A quote that is never closed hides nothing. Once quotes leave a tag without
+    an end, this one and all later tags of the page end at their next ``>``, so a page is read in linear time however broken.
+    """
+    unclosed: set[str] = set()
+    plain = False
+
+    def end(at: int) -> int:
+        nonlocal plain
+        k = at
+        while not plain:
+            m = _STOP.search(page, k)
+            if m is None:
+                plain = True
+            elif m[0] == ">":
+                return m.end()
+            elif m[1] is None:
+                k = m.end()
+            elif m[1] not in unclosed and (close := page.find(m[1], m.end())) >= 0:
+                k = close + 1
+            else:
+                unclosed.add(m[1])
+                if stop := page.find(">", m.end()) + 1:
+                    return stop
+                plain = True
+        return page.find(">", at) + 1
+
+    return end
+
+
 def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """Leaf blocks of a page: (text, features of the ancestors, characters that lie in links)."""
+    """Leaf blocks of a page: (text, features of the ancestors, characters that lie in links).
+
+    Broken markup loses no text: sections that are not closed run to the end of the page, and ``<`` is text where no tag begins or ends.
+    Comments, declarations and end tags without a name that are not closed hide the rest, as in a browser.
+    """
+    page = page or ""
     out: list[tuple[str, tuple[str, ...], int]] = []
+    # Open elements, each with the features of itself and its ancestors; and how many of each name are open.
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, unseen, context = 0, 0, 0, None
+    tag_end, endless = tag_ends(page), set()
+
+    def around():
+        return stack[-1][1] if stack else ()
 
     def flush():
         nonlocal linked
@@ -52,39 +100,44 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append((text, tuple(dict.fromkeys(f for _, fs in stack for f in fs)) if context is None else context, linked))
+                out.append((text, around() if context is None else context, linked))
         parts.clear()
         linked = 0
 
     def close(k):
         nonlocal unseen
-        unseen -= sum(t in UNSEEN for t, _ in stack[k:])
+        for t, _ in stack[k:]:
+            unseen -= t in UNSEEN
+            opened[t] -= 1
         del stack[k:]
 
-    at, n = 0, len(page or "")
+    def innermost(name):
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if at < last else _TAIL).match(page, at)
         at = m.end()
-        name = m[2]
-        if name is None:
-            if stack and stack[-1][0] == "head" and (m[0][0] != "<" or len(m[0]) == 1) and not m[0].isspace():
+        if not m.lastindex:
+            text = m[0]
+            if stack and stack[-1][0] == "head" and (text[0] != "<" or len(text) == 1) and not text.isspace():
                 close(len(stack) - 1)
             if not unseen:
-                text = m[0]
                 if text[0] != "<" or len(text) == 1:
                     if context is None and not text.isspace():
-                        context = tuple(dict.fromkeys(f for _, fs in stack for f in fs))
+                        context = around()
                     parts.append(text)
                     if in_link:
                         linked += len(text)
                 elif text.startswith("<![CDATA["):
-                    parts.append(text[9:-3])
+                    parts.append(text[9:].removesuffix("]]>"))
             continue
-        name = name.lower()
+        name, at = m[2].lower(), tag_end(at)
+        marked = page[m.end() : at - 1]
         if not m[1] and name not in HEAD and unseen:
             if stack[-1][0] == "head":
                 close(len(stack) - 1)
-            elif name == "body" and any(t == "head" for t, _ in stack):
+            elif name == "body" and opened["head"]:
                 close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
         if name in INLINE:
             if name == "a":
@@ -95,29 +148,31 @@ def leaf_blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         flush()
         context = None
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                close(innermost(name))
             continue
         in_link = 0
         if name in VOID:
             continue
-        if name in CLOSES_P and any(t == "p" for t, _ in stack[-1:]):
-            stack.pop()
+        if name in CLOSES_P and stack and stack[-1][0] == "p":
+            close(len(stack) - 1)
         elif name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
-            stack.pop()
-        if m[3] and m[3].endswith("/") and name not in CLOSES_P:
+            close(len(stack) - 1)
+        if marked.endswith("/") and name not in CLOSES_P:
             continue
         marks = [f"<{name}>"]
-        if m[3]:
-            for v in _NAMES.findall(m[3]):
-                marks += [f".{w}" for w in re.split(r"[^a-z]+", "".join(v).lower()) if w]
-        stack.append((name, tuple(marks)))
+        for v in _NAMES.findall(marked):
+            marks += [f".{w}" for w in re.split(r"[^a-z]+", "".join(v).lower()) if w]
+        above = around()
+        stack.append((name, above if all(f in above for f in marks) else tuple(dict.fromkeys([*above, *marks]))))
+        opened[name] += 1
         if name in UNSEEN:
             unseen += 1
-            if name in RAW and (end := _END[name].search(page, at)):
-                at = end.start()
+            if name in RAW and name not in endless:
+                if end := _END[name].search(page, at):
+                    at = end.start()
+                else:
+                    endless.add(name)
     flush()
     return out
 
@@ -265,7 +320,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Chain:
     """Train a chain on at most ``sample`` pages, those with the smallest hashes; what comes to the driver is features, 100 blocks a page."""
-    few = pages.filter(F.col(html_col).rlike("(?i)<(article|main)\\b")).select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(sample)
+    few = pages.filter(F.col(html_col).rlike("(?i)<(article|main)\\b")).select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "html").limit(sample)
     mined = few.select("html", (F.pmod("h", F.lit(2)) == 0).alias("hide")).mapInArrow(
         _mine, "features array<array<string>>, labels array<byte>, sentence string").collect()
     rows = [(r["features"], list(r["labels"])) for r in mined]
