@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from twinproof.llm import mainhtml, urls, warc
+from twinproof.llm.base import joined_by_salt, qualified
 
 
 # --- archives -----------------------------------------------------------------------------------------------------
@@ -56,6 +57,25 @@ def test_broken_archives_are_refused(spark, tmp_path):
     assert list(warc.members(store, str(tmp_path / "m"), 100)) == data and zlib.decompress(warc._pressed(b"q"), 31) == b"q"
 
 
+def test_segments_are_put_together_where_they_are_decoded(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 3_000_000)], "page_id long, url string, html string")
+    found = warc.read_archives(warc.write_archives(pages, str(tmp_path)), str(tmp_path))
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert bytes(found.first()["payload"]) == b"x" * 3_000_000
+
+
+def test_folders_without_a_scheme_are_the_default_file_systems(spark):
+    names = {"fs.defaultFS": "viewfs://box/", "fs.viewfs.mounttable.box.link./tmp": "file:///tmp"}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert qualified(spark, "/tmp/a/b") == "viewfs://box/tmp/a/b" and qualified(spark, "file:///tmp/a").startswith("file:/")
+    finally:
+        for k in names:
+            spark.conf.unset(k)
+    assert qualified(spark, "/tmp/a/b").startswith("file:/")
+
+
 def test_digests_are_those_of_the_payload_read(spark, tmp_path):
     def read(*records):
         name = tmp_path / f"{len(list(tmp_path.iterdir()))}.warc.gz"
@@ -288,3 +308,14 @@ def test_verdicts_equal_a_plain_tree(spark, monkeypatch):
     names = {t for t, _ in want.values()}
     assert any(re.search(r"(/[^/]+){7,}/spam", t) for t in names) and any("+" in t for t in names) and any("*" in t for t in names)
     assert 100 < sum(p < 0.5 for _, p in want.values()) < len(want) - 100
+
+
+def test_siblings_meet_by_salt(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(500)] + [("b", 1), ("b", 1), (None, 2), ("c", 3)], "k string, v int")
+    sums = spark.createDataFrame([("a", 7), ("b", 8), (None, 9)], "k string, s int")
+    got = joined_by_salt(rows, sums, ["k"], salts=8)
+    assert got.columns == ["k", "v", "s"]
+    assert sorted(map(tuple, got.collect())) == sorted([("a", i, 7) for i in range(500)] + [("b", 1, 8)] * 2)
+    many = spark.range(3000).selectExpr("'h' AS host", "concat('/s', id, '/', id % 7) AS path", "0 AS good", "0 AS bad", "1 AS n")
+    plan = urls.templates(many, few=4)
+    assert plan.count() == 3000

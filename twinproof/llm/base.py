@@ -26,6 +26,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: one without belongs to the cluster's default file system, which workers cannot tell by themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def dealt(df: DataFrame, *by) -> DataFrame:
     """Deal rows evenly over the session's shuffle partitions, so that one large input file is not one task."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -64,3 +70,13 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
     return mix(x) | np.uint64(1)
+
+
+def joined_by_salt(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """``left`` with the columns of ``right``, a row per value of ``keys`` at most: rows of a common key meet copies of its row in many tasks.
+
+    Rows of ``left`` without a partner go; NULL keys meet nothing. ``right`` is repeated ``salts`` times.
+    """
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    deal = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    return left.withColumn("_salt", deal).join(spread, [*keys, "_salt"]).drop("_salt")

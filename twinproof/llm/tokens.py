@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import dealt, slices, stored
+from twinproof.llm.base import dealt, qualified, slices, stored
 from twinproof.session import scratch
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,20 +79,20 @@ def encoder(path: str) -> Encoder:
 # --- flat token files ---------------------------------------------------------------------------------------------
 
 def open_store(folder: str):
-    """The file system of a folder, and the folder's name in it."""
+    """The file system of a folder and the folder's name in it; folders come from the driver ``qualified``."""
     if re.match(r"\w+:", folder):
         return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
     return fs.LocalFileSystem(), folder
 
 
-def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str, vocabulary: str | None = None, end: int = END, width: int = 4) -> DataFrame:
+def write_token_files(docs: DataFrame, id_col: str, text_col: str, folder: str, end: int, vocabulary: str | None = None, width: int = 4) -> DataFrame:
     """Encode every text and write the ids to flat files in ``folder``; a row per file: path, n_bytes, ids.
 
     ``ids`` names the documents of a file in their order (the files hold no identifiers). A file gets a name of its
     own in each attempt of a task, and only files in the returned, stored rows count: what a lost executor leaves
     half-written is never read. A NULL or empty text is a document of no tokens. Each file closes at about 16 MB.
     """
-    path = vocabulary or vocabulary_path()
+    path, folder = vocabulary or vocabulary_path(), qualified(docs.sparkSession, folder)
     kind = f"<u{width}"
     stop = np.array([end], dtype=kind).tobytes()
 
@@ -129,14 +129,14 @@ _FILES = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("ids", pa.l
 _ENDS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("ends", pa.list_(pa.int64()))])
 
 
-def scan_documents(files: DataFrame, folder: str, end: int = END, width: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
+def scan_documents(files: DataFrame, folder: str, end: int, width: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
     """Documents of flat token files (columns path, n_bytes): path, ordinal, start, n_tokens (the end id not counted).
 
     Blocks are read and searched independently. Within a block all documents but the first and the last lie whole;
     the position where a document starts is the end before it, found across blocks by a running maximum over one row
     per block. Identifiers after the last end of a file are an unfinished document, which is not reported.
     """
-    step = block_bytes // width * width
+    step, folder = block_bytes // width * width, qualified(files.sparkSession, folder)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(folder)
@@ -176,7 +176,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end = _free_id(path)
     width = 2 if end < 1 << 16 else 4
     folder = scratch(docs.sparkSession, "tokens")
-    files = write_token_files(docs, id_col, text_col, folder, path, end, width)
+    files = write_token_files(docs, id_col, text_col, folder, end, path, width)
     found = scan_documents(files, folder, end, width)
     named = files.select("path", F.expr(f"n_bytes div {width}").alias("file_tokens"), F.posexplode("ids").alias("ordinal", "doc_id"))
     return (

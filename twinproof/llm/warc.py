@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import slices, stored
+from twinproof.llm.base import qualified, slices, stored
 from twinproof.llm.tokens import open_store
 from twinproof.session import scratch
 
@@ -120,6 +120,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     name of their own in each attempt, and only those in the returned, stored rows count. Continuations go to an archive of
     their own beside the task's main one.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -187,8 +188,11 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """Pages of archives (column path): page (record id), url, digest, kind, refers, payload (NULL for revisits).
 
     The digest of a response is that of the payload as read, of others what the record says. Raises where a response's record says otherwise, and
-    where segments are missing, doubled, or do not add up to their total length. An origin's segments, one page, meet in one row.
+    where segments are missing, doubled, or do not add up to their total length. An origin's segments, one page, meet in one row
+    and are put together when its payload is decoded.
     """
+    folder = qualified(files.sparkSession, folder)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_store(folder)
         for batch in batches:
@@ -213,7 +217,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kinds, blocks = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            payload = [payload_of(b) if k == "response" else None for k, b in zip(kinds, blocks)]
+            payload = [payload_of(b"".join(b)) if k == "response" else None for k, b in zip(kinds, blocks)]
             digests = batch.column(2).to_pylist()
             for k, (page, p, stated) in enumerate(zip(batch.column(0).to_pylist(), payload, digests)):
                 if p is not None:
@@ -229,14 +233,12 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         ["origin string, number int, total long, kind string, page string, url string, digest string, refers string, block binary"]))
     parts = stored(parts, "records")
     names = ["page", "url", "digest", "kind", "refers"]
-    whole = parts.filter("number = 0").select(*names, "block")
+    whole = parts.filter("number = 0").select(*names, F.array("block").alias("blocks"))
     grouped = parts.filter("number > 0").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"),
+        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"), F.sum(F.length("block")).alias("held"),
         *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in names])
-    block = F.aggregate(F.col("s.block"), F.lit(b""), lambda a, b: F.concat(a, b))
-    joined = grouped.select(*names, block.alias("block"), "total", "s")
-    sound = (F.length("block") == F.col("total")) & (F.col("s.number") == F.sequence(F.lit(1), F.size("s")))
-    joined = joined.select(*names, F.when(sound, F.col("block")).otherwise(F.raise_error("segments do not add up")).alias("block"))
+    sound = (F.col("held") == F.col("total")) & (F.col("s.number") == F.sequence(F.lit(1), F.size("s")))
+    joined = grouped.select(*names, F.when(sound, F.col("s.block")).otherwise(F.raise_error("segments do not add up")).alias("blocks"))
     return whole.unionByName(joined).mapInArrow(decode, "page string, url string, digest string, kind string, refers string, payload binary")
 
 
