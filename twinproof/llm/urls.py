@@ -14,10 +14,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import dealt, lower_ascii, slices, stored
+from twinproof.llm.base import dealt, joined_by_salt, lower_ascii, slices, stored
 
 # Fixed values: (verdict, host, path) of the rules.
 RULES: list[tuple[str, str, str]] = [
@@ -152,20 +152,20 @@ def templates(urls: DataFrame, few: int = FEW) -> DataFrame:
         counted = named.groupBy("host", "template", "_c").agg(
             F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("purity").alias("above"),
             F.count_if(F.size("_s") > level + 1).alias("paths"))
-        siblings = Window.partitionBy("host", "template")
-        wide = counted.withColumns({"og": F.sum("g").over(siblings) - F.col("g"), "ob": F.sum("b").over(siblings) - F.col("b")})
+        siblings = counted.groupBy("host", "template").agg(F.sum("g").alias("sg"), F.sum("b").alias("sb"), F.count(F.lit(1)).alias("children"))
+        wide = joined_by_salt(counted, siblings, ["host", "template"]).withColumns({"og": F.col("sg") - F.col("g"), "ob": F.col("sb") - F.col("b")})
         k, m = F.col("g") + F.col("b"), F.col("og") + F.col("ob")
         rate = F.try_divide(F.col("g") + F.col("og"), k + m)
         spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1), k) + F.try_divide(F.lit(1), m)))
         z = F.try_divide(F.abs(F.try_divide("g", k) - F.try_divide("og", m)), spread)
         differs = (k > 0) & (m > 0) & (rate > 0) & (rate < 1) & (z > DIFFERS)
-        alone = F.count(F.lit(1)).over(siblings) == 1
+        alone = F.col("children") == 1
         literal = (F.col("_c") != "*") & (F.col("n") >= SUPPORT) & (alone | F.coalesce(differs, F.lit(False)))
         worse = F.try_divide("g", k) < F.try_divide("og", m)
         fate = wide.withColumn("to", F.when(literal & (alone | worse), F.col("_c")).when(literal, "+").otherwise("*"))
         merged = fate.groupBy("host", "template", "to").agg(
             ((F.sum("g") + WEIGHT * F.first("above")) / (F.sum("g") + F.sum("b") + WEIGHT)).alias("p"), F.sum("paths").alias("_paths"))
-        fate = fate.select("host", "template", "_c", "to").join(merged, ["host", "template", "to"]).select(
+        fate = joined_by_salt(fate.select("host", "template", "_c", "to"), merged, ["host", "template", "to"]).select(
             F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_c").alias("_k"), "to", F.col("p").alias("purity"), "_paths")
         stepped = named.drop("purity", "_paths").join(
             fate, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_c") == F.col("_k")))
