@@ -164,3 +164,16 @@ def test_strict_carry_ignores_rows_of_the_same_time(spark):
             df = spark.createDataFrame(order, "s string, t int, action string")
             got = ordered.carry(df, ["s"], ["t"], {"n": F.when(F.col("action") == "start", F.col("t"))}, forward=False, strict=True, chunks=chunks)
             assert {(r["s"], r["t"], r["n"]) for r in got.collect()} == {("a", 10, 12), ("a", 12, None), ("a", 15, None), ("b", 11, None)}
+
+
+def test_order_statistics_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(500).select(F.lit(1).alias("g"), watched("id").alias("v"))
+    got = ordered.order_statistics(df, ["g"], "v", {"top": ordered.rank_last()}, chunks=4).collect()
+    assert [tuple(r) for r in got] == [(1, 500, 499)] and seen.value <= 1000  # the filter and the grouping may each ask once

@@ -101,3 +101,10 @@ def test_plan_notes_fixes_and_pending(spark, tmp_path):
 def test_unknown_tables_are_named(spark):
     df = spark.createDataFrame([tuple(BASE[n] for n in catalog.CATALOG.names)], catalog.CATALOG)
     assert [r[0] for r in propose.missing_tables(df, ["public.events", " public.nope "]).collect()] == ["public.nope"]
+
+
+def test_unknown_tables_are_refused(spark):
+    df = spark.createDataFrame([tuple(BASE[n] for n in catalog.CATALOG.names)], catalog.CATALOG)
+    assert propose.plan_tables(df, ["public.events"]).planned.count() == 1
+    with pytest.raises(ValueError, match="no table public.evnts, sales.orders"):
+        propose.plan_tables(df, ["sales.orders", "public.events", "public.evnts"])

@@ -244,14 +244,16 @@ def order_statistics(
 
     With ``weight`` a row stands for that many equal values. Equal values are counted together before the shuffle,
     counts are summed per (group, chunk), and only the chunk that holds a wanted rank is looked at value by value. No
-    group is ever sorted in one place unless its distinct values are few.
+    group is ever sorted in one place unless its distinct values are few. The counted values are written once: the input
+    is computed a single time, and split points come from what was written.
     """
     rows = df.where(F.col(column).isNotNull())
-    splits = split_points(rows, column, chunks) if splits is None else splits
     counted = (
         rows.groupBy(*keys, F.col(column).alias("_v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
     )
+    counted = pinned(counted)
+    splits = split_points(counted, "_v", chunks or chunk_count(counted)) if splits is None else splits
     whole = Window.partitionBy(*keys)
     wanted = lambda n: F.array(*[
         F.struct(F.lit(name).alias("name"), rank(n).cast("bigint").alias("k")) for name, rank in ranks.items()

@@ -117,9 +117,13 @@ def plan_tables(
     event tables, as long as they have a key.
 
     The catalog (a row per table) is written once, so a computed profile is not scanned again for every part of the
-    plan.
+    plan. Named tables that the catalog does not hold are refused.
     """
-    all_ = judged(pinned(catalog), tables, min_rows)
+    catalog = pinned(catalog)
+    # As many rows as names were given, at most.
+    if tables and (unknown := sorted(r["source"] for r in missing_tables(catalog, tables).collect())):
+        raise ValueError(f"the catalog has no table {', '.join(unknown)}")
+    all_ = judged(catalog, tables, min_rows)
     publication = f"{mirror}_pub"
     notes = _notes(
         F.when(F.col("leading_tenant").isNotNull(), F.concat(
@@ -165,7 +169,7 @@ def pending_fixes(plan: Plan, identities: DataFrame, publications: DataFrame) ->
 
 
 def missing_tables(catalog: DataFrame, tables: Sequence[str]) -> DataFrame:
-    """Named tables the catalog does not hold (a caller should refuse to go on with any)."""
+    """Named tables the catalog does not hold."""
     spark = catalog.sparkSession
     wanted = spark.createDataFrame([(t.strip(),) for t in tables], "source string")
     return wanted.join(catalog.select(F.concat_ws(".", "schema", "name").alias("source")), "source", "left_anti")

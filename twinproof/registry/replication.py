@@ -91,6 +91,26 @@ def snapshot_copy(spark, d):
     )
 
 
+@query("snapshot_resumed", """SELECT CAST(0 AS BIGINT) AS _version, count(*) AS copied, CAST(sum(event_id) AS BIGINT) AS ids,
+  CAST(sum(strlen(props)) AS BIGINT) AS props_bytes FROM events""")
+def snapshot_resumed(spark, d):
+    """A copy that breaks off in its third range, run again."""
+    path = scratch(spark, "ranges")
+
+    def stop(n):
+        if n == 2:
+            raise InterruptedError
+
+    try:
+        tables.copy_in_ranges(events(spark, d), "event_id", path, ranges=6, before_range=stop)
+    except InterruptedError:
+        pass
+    copy = tables.copy_in_ranges(events(spark, d), "event_id", path, ranges=6)
+    return copy.groupBy(VERSION).agg(
+        F.count(F.lit(1)).alias("copied"), F.sum("event_id").alias("ids"), F.sum(F.octet_length("props")).alias("props_bytes")
+    )
+
+
 @query("cdc_stream_versions", f"""WITH {feed_sql()}
 SELECT CAST(_version AS BIGINT) AS version, _is_deleted AS deleted, count(*) AS versions, CAST(sum(event_id) AS BIGINT) AS ids
 FROM feed GROUP BY ALL""")

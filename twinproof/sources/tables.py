@@ -57,6 +57,50 @@ def copy_snapshot(
     return table.sparkSession.read.parquet(path)
 
 
+def copy_in_ranges(
+    table: DataFrame, key: str, path: str, partition_rows: int = SNAPSHOT_PARTITION_ROWS, ranges: int = 64, before_range=None
+) -> DataFrame:
+    """Copy a table range by range of a numeric key; a copy that broke off goes on where it stopped.
+
+    The ranges are decided once and written beside the copy; a range is one job, whose filter reaches the source, and its folder counts as
+    copied once Spark has committed it. A rerun copies the other ranges only, over what they left half-written. Rows that the source gets after the first
+    run began and that lie in copied ranges are the change feed's. NULL keys have a range of their own; ``before_range(n)`` is called before
+    each copied one. There are at most ``ranges`` ranges, whatever the table's size, each written by as many tasks as ``partition_rows`` asks for.
+    """
+    spark, path = table.sparkSession, path.rstrip("/")
+    if not _exists(spark, f"{path}/_ranges/_SUCCESS"):
+        bounds = table.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+            key, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts") if ranges > 1 else F.array().alias("cuts")).first()
+        cuts = sorted(set(bounds["cuts"] or []))
+        plan = spark.createDataFrame([(bounds["n"], [str(c) for c in cuts])], "rows bigint, cuts array<string>")
+        plan.coalesce(1).write.mode("overwrite").json(f"{path}/_ranges")
+    plan = spark.read.schema("rows bigint, cuts array<string>").json(f"{path}/_ranges").first()
+    kind, k = table.schema[key].dataType, F.col(key)
+    cuts = [F.lit(c).cast(kind) for c in plan["cuts"]]
+    tasks = max(1, -(-plan["rows"] // (partition_rows * (len(cuts) + 1))))
+    for n in range(-1, len(cuts) + 1):
+        target = f"{path}/range-{n}"
+        if _exists(spark, f"{target}/_SUCCESS"):
+            continue
+        if before_range:
+            before_range(n)
+        if n < 0:
+            inside = k.isNull()
+        else:
+            low, high = cuts[n - 1] if n else None, cuts[n] if n < len(cuts) else None
+            bound = [c for c in (k >= low if low is not None else None, k < high if high is not None else None) if c is not None]
+            inside = bound[0] & bound[1] if len(bound) == 2 else bound[0] if bound else k.isNotNull()
+        rows = snapshot(table.where(inside))
+        (rows.repartition(tasks) if tasks > 1 else rows.coalesce(1)).write.mode("overwrite").parquet(target)
+    log = snapshot(table).schema
+    return spark.read.schema(log).parquet(*[f"{path}/range-{n}" for n in range(-1, len(cuts) + 1)])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(name)
+
+
 def write_version_log(log: DataFrame, path: str, order_by: Sequence[str], time_column: str | None, mode: str = "append") -> None:
     """Store a version log partitioned by month and sorted by its sort key within each file.
 

@@ -35,7 +35,8 @@ def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50) -
         .agg(F.collect_list("pattern").alias("patterns"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
+    # Equal lines match the same patterns; one of them is enough, so a line that repeats without end is no hot salt.
+    salted = lines.select("log", "value").distinct().withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
     hits = salted.join(packed, ["log", "salt"]).select(
         "log", F.explode(F.filter("patterns", lambda p: F.rlike(F.col("value"), p))).alias("pattern")
     )
