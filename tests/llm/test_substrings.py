@@ -79,3 +79,21 @@ def test_crowded_anchors_are_split_without_loss(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     check(substrings.cut_passages(docs, crowd=3), rows)
     check(substrings.cut_passages(docs), rows)
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner"])
+def test_common_keys_are_dealt_over_tasks(spark, how):
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 97 == 1, F.lit(None)).otherwise(F.col("id") % 7000).alias("k"), "id")
+    right = spark.range(0, 7000, 2).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
+    counts = left.groupBy("k").agg(F.count("*").alias("times"))
+    got = substrings.joined_by_share(left, right, ["k"], counts, how, shares=64)
+    want = left.join(right, "k", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_of_a_common_passage_meet_in_many_tasks(spark):
+    rows = spark.range(6000).select(F.lit(1).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("times"))
+    dealt = substrings.joined_by_share(rows, counts.select("k"), ["k"], counts, "left_semi")
+    salted = dealt._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in salted and dealt.count() == 6000

@@ -80,3 +80,19 @@ def joined_by_salt(left: DataFrame, right: DataFrame, keys: list[str], salts: in
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     deal = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     return left.withColumn("_salt", deal).join(spread, [*keys, "_salt"]).drop("_salt")
+
+
+def joined_by_share(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str, shares: int = 4096, salts: int = 64) -> DataFrame:
+    """``left`` joined with ``right``, rows of a common key in many tasks.
+
+    ``counts`` holds ``keys`` and ``times``, the rows of ``left`` of each key (those of rare keys may be missing). Of keys that own more than
+    one in ``shares`` of these rows there are fewer than ``shares``, whatever the size: their list is broadcast, their rows on the left are
+    dealt over ``salts``, and those on the right are repeated for each. NULL keys meet nothing.
+    """
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    common = F.broadcast(counts.filter(F.col("times") * shares > total).select(*keys, F.lit(True).alias("_common")))
+    deal = F.when(F.col("_common"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(common, keys, "left").withColumn("_salt", deal).drop("_common")
+    b = right.join(common, keys, "left").withColumn("_salt", F.explode(copies)).drop("_common")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.base import mix, slices, stored
+from twinproof.llm.base import joined_by_share, mix, slices, stored
 
 LENGTH, GRAM, SYMBOL = 200, 32, 50
 #: Bytes of contexts merged at once in a task, and the shards they come in.
@@ -125,7 +125,7 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = batch.column(0).to_numpy()
+            rows = batch.column(0)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):  # about half a megabyte at a time
@@ -135,7 +135,7 @@ def _anchors(length: int):
                     end += 1
                 i, first, n, key, ctx = contexts(texts[at:end], length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ctx), pa.array(rows[at:end][i]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int16))],
+                    [pa.array(key), pa.array(ctx), rows.slice(at, end - at).take(pa.array(i)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int16))],
                     names=["key", "ctx", "row", "first", "n"])
                 at = end
 
@@ -296,15 +296,16 @@ def _spread(parts: DataFrame, length: int, crowd: int) -> tuple[DataFrame, DataF
                                F.lit(0).cast("long").alias("h")), "contexts")
     cool, found = None, None
     while True:
-        crowded = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("g"), "crowded")
-        rest = rows.join(crowded, "g", "left_anti")
+        sizes = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("times")), "groups")
+        crowded = stored(sizes.filter(F.col("times") > crowd).select("g"), "crowded")
+        rest = joined_by_share(rows, crowded, ["g"], sizes, "left_anti")
         cool = rest if cool is None else cool.unionByName(rest)
         if crowded.isEmpty():
             return cool, found
-        pieces = stored(rows.join(crowded, "g", "left_semi").mapInArrow(_split(length), _PIECE), "pieces")
-        equal = pieces.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "ctx", "at")).alias("one"))
+        pieces = stored(joined_by_share(rows, crowded, ["g"], sizes, "left_semi").mapInArrow(_split(length), _PIECE), "pieces")
+        equal = stored(pieces.groupBy("g", "h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "ctx", "at")).alias("one")), "equal")
         windows = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.length("bytes") - length + 1).cast("int").alias("b")))
-        again = pieces.join(equal.filter("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("key", "ctx", windows.alias("runs"))
+        again = joined_by_share(pieces, equal.filter("times > 1").select("g", "h"), ["g", "h"], equal, "left_semi").select("key", "ctx", windows.alias("runs"))
         found = again if found is None else found.unionByName(again)
         several = equal.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
         kept = equal.select("g", "h", "one.*").join(several, "g", "left_semi")
@@ -375,22 +376,21 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
                       keep: list[str] | None = None, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Texts (row, doc_id, z: compressed UTF-8, kept: a struct of the columns ``keep``) and, for rows with any, the repeated windows (row, runs of starts a to b).
 
-    Rows are told apart by a hash of id and text, so repeated rows count as copies of each other.
+    Rows are told apart by 128 bits of a hash of id and text, so repeated rows count as copies of each other.
     """
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.select(name.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.struct(F.lit(0).alias("_"), *keep or []).alias("kept"))
-    anchors = stored(rows.select("row", "text").mapInArrow(_anchors(length), "key long, ctx long, row long, first int, n short"), "anchors")
-    twice = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
-    places = stored(anchors.join(twice, "key", "left_semi"), "places")
-    kinds = places.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "n")).alias("at"))
-    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key")
-    kinds = stored(kinds, "kinds")
+    anchors = stored(rows.select("row", "text").mapInArrow(_anchors(length), "key long, ctx long, row binary, first int, n short"), "anchors")
+    twice = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "twice")
+    places = stored(joined_by_share(anchors, twice.select("key"), ["key"], twice, "left_semi"), "places")
+    kinds = stored(places.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "n")).alias("at")), "kinds")
     # One place stands for all that are equal; a text yields its own contexts, as many as it has anchors.
-    wanted = kinds.filter("times = 1").join(several, "key", "left_semi").unionByName(
-        kinds.filter("times > 1").join(several, "key", "left_semi"))
+    several = stored(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "several")
+    wanted = joined_by_share(kinds, several.select("key"), ["key"], several, "left_semi")
     by_row = wanted.select("key", "ctx", "at.*").groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "first", "n")).alias("wanted"))
     kind = rows.schema["kept"].dataType.simpleString()
-    pressed = rows.select("row", "doc_id", "text", "kept").mapInArrow(compressed, f"row long, doc_id long, z binary, kept {kind}")
+    pressed = rows.select("row", "doc_id", "text", "kept").mapInArrow(compressed, f"row binary, doc_id long, z binary, kept {kind}")
     parts = pressed.select("row", "z").join(by_row, "row").select("z", "wanted").mapInArrow(_cut_out(length), "key long, ctx long, bytes binary")
     groups, found = _spread(parts.dropDuplicates(["key", "ctx"]), length, crowd)
     merged = groups.select("g", "key", "ctx", "at", "bytes").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions(
@@ -399,7 +399,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("at.n").cast("int").alias("b")))
     runs = stored(kinds.filter("times > 1").select("key", "ctx", all_of.alias("runs")).unionByName(
         merged.join(kinds.filter("times > 1").select("key", "ctx"), ["key", "ctx"], "left_anti")), "runs")
-    marked = places.join(runs, ["key", "ctx"]).select("row", F.transform("runs", lambda r: F.struct(
+    marked = joined_by_share(places, runs, ["key", "ctx"], kinds, "inner").select("row", F.transform("runs", lambda r: F.struct(
         (r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs")).distinct()
     return pressed, marked.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
