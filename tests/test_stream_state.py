@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from twinproof.functions.terms import comparable_terms
-from twinproof.operators import drilldown, reconcile
+from twinproof.operators import drilldown, reconcile, status
 from twinproof.operators.reconcile import TableSpec
 from twinproof.sources import feed
-from twinproof.streaming import checksums, freshness, ingest, joins, late, upserts, windows
+from twinproof.streaming import checksums, freshness, ingest, joins, late, progress, upserts, windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -172,3 +173,41 @@ def test_ranges_become_filters_at_the_scan(spark, folder):
     where = drilldown._inside("id", drilldown._merged([(5, 7), (8, 9), (40, 40)]))
     plan = spark.read.parquet(folder("t")).where(where)._jdf.queryExecution().executedPlan().toString()
     assert drilldown._merged([(8, 9), (5, 7), (40, 40)]) == [(5, 9), (40, 40)] and "PushedFilters: [Or(And(GreaterThanOrEqual(id,5)" in plan
+
+
+def test_totals_equal_a_scan_after_each_batch_and_a_replay(spark, folder):
+    schema = "k string, position int, changes int, _version long, _is_deleted boolean"
+    batches = [[("a", 1, 1, 0, False), ("b", 1, 1, 0, False)], [("a", 9, 9, 3, False)], [("b", 0, 0, 2, True), ("c", 0, 0, None, False)]]
+    source, path, totals, state = (folder(n) for n in ("in", "log", "totals", "state"))
+    assert progress.read_totals(spark, totals).count() == 0
+    for batch in batches:
+        land(spark, batch, schema, source)
+        stream = ingest.read_changes(spark, source, spark.read.parquet(source).schema)
+        ingest.ingest(stream, path, state, ["k"], progress=totals).awaitTermination()
+        log = ingest.read_ingested(spark, path)
+        seen = progress.read_totals(spark, totals)
+        scanned = status.replication_status(log, {"r": log}, "t").collect()
+        quick = progress.status_of_totals(seen, {"r": seen}, "t")
+        assert quick.collect() == scanned
+    assert path not in plan_of(quick) and "totals" in plan_of(quick)
+    again = {"position": 2, "changes": 2, "snapshot": 0, "synced": 1}
+    progress.record(spark, totals, 2, again)  # the last batch once more, as after a failure
+    assert progress.read_totals(spark, totals).first()[:] == (2, 3, 5, 2, 2)
+    with pytest.raises(RuntimeError):
+        progress.record(spark, totals, 7, again)
+
+
+def test_totals_begin_with_the_stream_and_old_ones_go(spark, folder):
+    totals = folder("totals")
+    for n in range(progress.KEPT + 3):
+        progress.record(spark, totals, n, {"position": None if n == 0 else n, "changes": 1, "snapshot": int(n == 0), "synced": int(n > 0)})
+    assert progress.read_totals(spark, totals).first()[:] == (12, 12, 13, 1, 12)
+    assert spark.read.parquet(totals).count() == progress.KEPT
+
+
+def test_gate_from_totals_reads_no_log_for_the_position(spark, events, folder):
+    rows, spec = feed.event_log(events), TableSpec("public.events", ["event_id"], ["event_id"], "ts", ["props"])
+    done = lambda v, n: spark.createDataFrame([(1, v, n, 0, n)], progress._TOTALS)
+    live = feed.events_after_changes(events)
+    gate = lambda w, **at: reconcile.cutover_gate(live, {"r": rows}, spec, w, "2024-01-31", positions=at).first()
+    assert gate(2, r=done(2, 5))["ready"] and not gate(3, r=done(2, 5))["reached"] and not gate(2, r=done(None, 0))["ready"]

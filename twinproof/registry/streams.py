@@ -10,14 +10,14 @@ from twinproof.operators import intervals, reconcile
 from twinproof.operators.drilldown import drill_down
 from twinproof.session import scratch
 from twinproof.sources import feed
-from twinproof.streaming import checksums, freshness, ingest, joins, late, upserts, windows
+from twinproof.streaming import checksums, freshness, ingest, joins, late, progress, upserts, windows
 from twinproof.verdicts import soak
 
 from .base import (
-    BY_ID, BY_TENANT, CHECKS, FAULTS, NEXT_START, SPANS, SUMS, WINDOWS, Query, checks, events, faults, feed_sql, live_sql, log,
+    BY_ID, BY_TENANT, CHECKS, FAULTS, NEXT_START, SPANS, SUMS, TODAY, WINDOWS, Query, checks, events, faults, feed_sql, live_sql, log,
     server_events, source, source_sql,
 )
-from .replication import _BOUNDS, _BUCKET
+from .replication import SQL as _SCANNED, _BOUNDS, _BUCKET
 from .runs import _ATTEMPTS, _SERVER, _VERIFIED, attempts
 
 QUERIES: dict[str, Query] = {}
@@ -187,6 +187,38 @@ def fault_overlap_stream(spark, d):
     return found.where(F.col("end") <= last).select("cycle", "beg", F.col("end").alias("fin"), F.array_join("labels", ", ").alias("labels"))
 
 
+# --- positions ----------------------------------------------------------------------------------------------------
+
+def _ingested(spark, rows):
+    """A log ingested in slices with totals kept beside it: its folder and theirs."""
+    path, totals, state = scratch(spark, "ingested"), scratch(spark, "totals"), scratch(spark, "ingest-state")
+
+    def run(paths):
+        stream = ingest.read_changes(spark, paths["log"], rows.schema, files_per_trigger=4)
+        ingest.ingest(stream, path, state, progress=totals).awaitTermination()
+
+    arrive({"log": (rows, F.pmod(F.xxhash64("event_id", VERSION), F.lit(SLICES)))}, run)
+    return path, progress.read_totals(spark, totals)
+
+
+@query("status_of_totals", _SCANNED["replication_status"])
+def status_of_totals(spark, d):
+    """Positions and lag as the ingests counted them; equal to a scan of the logs."""
+    full = log(spark, d)
+    _, whole = _ingested(spark, full)
+    _, behind = _ingested(spark, full.where(F.col(VERSION) < 2))
+    return progress.status_of_totals(whole, {"a": whole, "b": behind}, "public.events").drop("table")
+
+
+@query("cutover_gate_of_totals", _SCANNED["cutover_gate"])
+def cutover_gate_of_totals(spark, d):
+    """The gate over an ingested log, its position from the totals."""
+    path, totals = _ingested(spark, log(spark, d))
+    held = {"r": ingest.read_ingested(spark, path).drop(ingest.BATCH)}
+    gates = [reconcile.cutover_gate(source(spark, d), held, BY_ID, w, TODAY, positions={"r": totals}) for w in (2, 3)]
+    return gates[0].unionByName(gates[1]).drop("table")
+
+
 # --- counts and checksums -----------------------------------------------------------------------------------------
 
 @query("incremental_checksums", f"""WITH {source_sql()}, {_BOUNDS}, {feed_sql()}, {live_sql()}

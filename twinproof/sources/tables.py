@@ -68,7 +68,7 @@ def copy_in_ranges(
     each copied one. There are at most ``ranges`` ranges, whatever the table's size, each written by as many tasks as ``partition_rows`` asks for.
     """
     spark, path = table.sparkSession, path.rstrip("/")
-    if not _exists(spark, f"{path}/_ranges/_SUCCESS"):
+    if not exists(spark, f"{path}/_ranges/_SUCCESS"):
         bounds = table.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
             key, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts") if ranges > 1 else F.array().alias("cuts")).first()
         cuts = sorted(set(bounds["cuts"] or []))
@@ -80,7 +80,7 @@ def copy_in_ranges(
     tasks = max(1, -(-plan["rows"] // (partition_rows * (len(cuts) + 1))))
     for n in range(-1, len(cuts) + 1):
         target = f"{path}/range-{n}"
-        if _exists(spark, f"{target}/_SUCCESS"):
+        if exists(spark, f"{target}/_SUCCESS"):
             continue
         if before_range:
             before_range(n)
@@ -96,7 +96,8 @@ def copy_in_ranges(
     return spark.read.schema(log).parquet(*[f"{path}/range-{n}" for n in range(-1, len(cuts) + 1)])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path`` on the file system it belongs to."""
     name = spark._jvm.org.apache.hadoop.fs.Path(path)
     return name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(name)
 

@@ -11,6 +11,7 @@ from twinproof.functions.clock import month_key
 from twinproof.functions.names import DELETED, STREAM_TRIGGER_SECONDS, VERSION
 from twinproof.operators.fold import newest
 from twinproof.sources.tables import MONTH
+from twinproof.streaming.progress import observed, record
 
 BATCH = "batch"
 
@@ -44,15 +45,19 @@ def ingest(
     order_by: Sequence[str] = (),
     time_column: str | None = None,
     continuous: bool = False,
+    progress: str | None = None,
 ) -> StreamingQuery:
     """Append every micro-batch of change rows to the version log at ``path``.
 
     Each batch owns a folder that a replay overwrites, so a batch repeated after a failure adds nothing. Late rows are
     never dropped: the log has no watermark, only reports do. ``continuous`` keeps running, otherwise the query stops
-    once everything available has been read.
+    once everything available has been read. ``progress`` names a folder for the totals of :mod:`progress`, from the first batch on.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
+        spark, seen = rows.sparkSession, None
+        if progress:
+            rows, seen = observed(rows)
         if time_column:
             rows = rows.withColumn(MONTH, month_key(time_column))
         keys = [*([MONTH] if time_column else []), *order_by]
@@ -62,6 +67,8 @@ def ingest(
         if time_column:
             writer = writer.partitionBy(MONTH)
         writer.parquet(f"{path}/{BATCH}={batch_id}")
+        if seen:
+            record(spark, progress, batch_id, seen.get)
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     if continuous:
