@@ -9,7 +9,7 @@ from twinproof.operators import intervals
 from twinproof.operators.onerow import side_by_side
 from twinproof.session import pinned, scratch
 from twinproof.registry import derived
-from twinproof.sources import logs
+from twinproof.sources import logs, tables
 from twinproof.verdicts import audit, benchtable, claims as claiming, cycles, soak
 
 from .analytics import _row_counts, _samples
@@ -55,6 +55,27 @@ def checks_read(spark, d):
     return logs.read_checks(spark, path).withColumnRenamed("table", "tab").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("checks_appended", f"WITH {CHECKS} SELECT ts, cycle, variant, replica, tab, pg, ch, match, waited_s, err FROM checks")
+def checks_appended(spark, d):
+    """Cycles append their records to one log: even cycles first, odd ones after them."""
+    path, rows = scratch(spark, "check-log"), checks(spark, d)
+    for odd in (0, 1):
+        logs.append_checks(rows.where(F.col("cycle") % 2 == odd), path)
+    return logs.read_checks(spark, path).withColumnRenamed("table", "tab").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("results_tab_separated", """SELECT concat('user ', user_id) AS key, count(*) AS n, min(event_id) AS first_id, sum(event_id) / 4.0 AS quarter
+  FROM events GROUP BY user_id""")
+def results_tab_separated(spark, d):
+    """Answers as lines of a key and its values, written and read back; other lines are skipped."""
+    path, key = scratch(spark, "results"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("key")
+    answers = events(spark, d).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), (F.sum("event_id") / F.lit(4.0)).alias("quarter"))
+    tables.write_tab_separated(answers.select(key, "n", "first_id", "quarter"), path)
+    answers.select(F.concat(F.lit("no answer for "), key).alias("value")).write.mode("append").text(path)
+    return tables.read_tab_separated(spark, path, "key string, n bigint, first_id bigint, quarter double")
+
+
 @query("fault_log_parse", f"WITH {FAULTS} SELECT ts, action, service FROM faults")
 def fault_log_parse(spark, d):
     return faults(spark, d)
@@ -107,6 +128,17 @@ def variant_summary(spark, d):
     )
 
 
+@query("summary_file", SQL["variant_summary"])
+def summary_file(spark, d):
+    """The totals per variant as the summary file holds them once it has been rewritten."""
+    path, rows = scratch(spark, "summary"), checks(spark, d)
+    for seen in (rows.where("cycle < 3"), rows):
+        cycles.write_summary(seen, path)
+    held = spark.read.schema("variant string, checks bigint, mismatches bigint, first_mismatch struct<pg string, cycle int>, last_cycle int").json(path)
+    first = F.col("first_mismatch")
+    return held.select("variant", "checks", "mismatches", first["pg"].alias("first_pg"), first["cycle"].alias("first_cycle"), "last_cycle")
+
+
 @query("wait_percentiles", f"""WITH {CHECKS}, m AS (SELECT * FROM checks WHERE match), {nearest_rank('p50', 'waited_s', 'n // 2', 'm', 'variant')},
 {nearest_rank('p99', 'waited_s', _P99, 'm', 'variant')}, {nearest_rank('top', 'waited_s', 'n - 1', 'm', 'variant')}
 SELECT variant, p50, p99, top AS max FROM p50 JOIN p99 USING (variant) JOIN top USING (variant)""")
