@@ -50,6 +50,28 @@ def test_upserts_ignore_old_versions_keep_tombstones_and_carry_values(spark, fol
     assert ("b", 7, True) in accepted and ("b", 2, False) not in accepted and ("d", 1, False) not in accepted
 
 
+def test_upserts_keep_many_keys_in_few_state_entries(spark, folder):
+    """One entry and one call per key took milliseconds each: 600,000 keys did not end within twenty minutes."""
+    big = 2**60 + 1
+    schema = "k long, n long, x double, at timestamp_ntz, _version long, _is_deleted boolean"
+    first = [(i, big + i if i % 3 else None, float("nan") if i % 5 == 0 else None, at(i), 1, False) for i in range(500)]
+    then = [(i, -i, 0.5, None, 2, i % 2 == 0) for i in range(0, 500, 4)] + [(i, 0, 0.0, at(0), 0, False) for i in range(1, 500, 4)]
+    changes, out, state = folder("in"), folder("out"), folder("state")
+    for batch in (first, then):
+        land(spark, batch, schema, changes)
+        like = spark.read.parquet(changes)
+        stream = upserts.upsert_state_stream(ingest.read_changes(spark, changes, like.schema), ["k"], buckets=4)
+        upserts.run_upserts(stream, out, state).awaitTermination()
+    kept = spark.read.format("statestore").option("stateVarName", upserts.LIVE).load(state)
+    assert 1 <= kept.count() <= 4
+    got = {r["k"]: (r["n"], str(r["x"]), r["at"]) for r in upserts.read_state(spark, state, like, ["k"]).collect()}
+    assert got == {k: (n, str(x), t) for k, n, x, t, *_ in first if k % 4}
+    land(spark, [(7, 7, 7.0, None, 9, False)], schema, changes)
+    stream = upserts.upsert_state_stream(ingest.read_changes(spark, changes, like.schema), ["k"], buckets=1)
+    with pytest.raises(Exception, match="the checkpoint was begun with"):
+        upserts.run_upserts(stream, out, state).awaitTermination()
+
+
 def test_waits_end_by_timers(spark, folder):
     rows = lambda key, began, *tries: [(key, at(began), at(began + w), "x", ch, err) for w, ch, err in tries]
     schema = "key string, started timestamp_ntz, at timestamp_ntz, pg string, ch string, err string"
