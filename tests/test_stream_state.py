@@ -107,6 +107,26 @@ def test_stream_joins_keep_rows_without_partners(spark, folder):
     assert got == [(at(100), "s", True), (at(200), "s", True), (at(300), "t", False)]
 
 
+def test_existence_meets_on_time_cells(spark, folder):
+    """A service with a long history was one task that compared all its actions with all its events."""
+    land(spark, [(at(t), "s", "up") for t in range(0, 3700, 37)], "ts timestamp_ntz, service string, want string", folder("a"))
+    land(spark, [(at(t), "s", "up") for t in range(2, 3700, 101)], "ts timestamp_ntz, service string, kind string", folder("b"))
+
+    def found():
+        left, right = (ingest.read_changes(spark, folder(n), spark.read.parquet(folder(n)).schema) for n in "ab")
+        return joins.exists_within_stream(left, right, ["service"], "ts", "ts", F.lit(-5), F.lit(30), "want", "kind", before=5, after=30, late="10 seconds")
+
+    query = windows.write_settled(found(), folder("out"), folder("state"))
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "_cell" in plan.split("StreamingSymmetricHashJoin")[1].split("\n")[0]
+    land(spark, [(at(9000), "u", "up")], "ts timestamp_ntz, service string, want string", folder("a"))
+    land(spark, [(at(9000), "v", "up")], "ts timestamp_ntz, service string, kind string", folder("b"))
+    windows.write_settled(found(), folder("out"), folder("state")).awaitTermination()
+    got = sorted((r["ts"], r["verified"]) for r in spark.read.parquet(folder("out")).collect())
+    assert got == [(at(t), any(-5 <= u - t <= 30 for u in range(2, 3700, 101))) for t in range(0, 3700, 37)]
+
+
 def test_windows_longer_than_vouched_for_fail_the_query(spark, folder):
     land(spark, [(1, at(0), at(50))], "cycle int, beg timestamp_ntz, end timestamp_ntz", folder("a"))
     land(spark, [(at(0), at(90000), "w")], "w_beg timestamp_ntz, w_end timestamp_ntz, label string", folder("b"))

@@ -30,10 +30,18 @@ def exists_within_stream(
 
     ``before`` and ``after`` are the widest bounds that ``low`` and ``high`` (seconds, by action) can take. Verified actions come
     out with their first event, the others once the watermark says that none can come. ``at`` stays the only time column.
+
+    The join meets on time cells too, so that a key with a long history is neither one task nor compared with itself over all times.
+    An action lies in the one cell of its time, an event in every cell (two at most) whose actions it can serve.
     """
+    width = max(before + after, 1) * MICROS
     left = _timed(actions, at, late, "_at").withColumns({"_low": low, "_high": high})
+    left = left.withColumn("_cell", F.floor(ticks("_at") / width).cast("bigint"))
     right = _timed(log.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(log_kind).alias("_kind"), log_at), log_at, late, "_log_at")
+    served = _cells(ticks("_log_at") - after * MICROS, ticks("_log_at") + before * MICROS, width)
+    right = right.withColumn("_log_cell", F.explode(served))
     met = (F.col(kind) == F.col("_kind")) & F.col("_log_at").between(F.col("_at") - _seconds(before), F.col("_at") + _seconds(after))
+    met = met & (F.col("_cell") == F.col("_log_cell"))
     met = met & (ticks("_log_at") - ticks("_at")).between(F.col("_low") * MICROS, F.col("_high") * MICROS)
     for k in keys:
         met = met & (F.col(k) == F.col(f"_k_{k}"))
