@@ -8,6 +8,7 @@ from twinproof.functions.names import DELETED, VERSION
 from twinproof.functions.terms import comparable_terms
 from twinproof.registry import derived
 from twinproof.sources import logs, tables
+from tests.conftest import plan_of
 from twinproof.verdicts import audit, benchtable, claims as claiming, cycles, soak
 
 # Known run: per cycle the time of its last check and the seconds waited; both tables of a cycle agree unless noted.
@@ -214,6 +215,16 @@ def test_pattern_lists_of_any_length(spark):
     assert len(key(claiming.matched_patterns(lines, patterns))) == 17
 
 
+def test_blocks_of_lines_take_one_pattern_after_the_other(spark):
+    """Every line compiled every pattern anew; a block compiles each once and leaves it at the first match."""
+    lines = spark.createDataFrame([("l", f"row {i % 40}") for i in range(400)] + [("l", None), (None, "row 1"), ("empty", None)], "log string, value string")
+    patterns = spark.createDataFrame([(log, p) for log in ("l", "empty", "none") for p in ("^row 3$", "^row 39", "^row 40", "", "w 1.$")] + [("l", None)], "log string, pattern string")
+    for size in (1, 7, 1000):
+        got = claiming.matched_patterns(lines, patterns, per_block=size)
+        assert sorted(map(tuple, got.collect())) == [("l", ""), ("l", "^row 3$"), ("l", "^row 39"), ("l", "w 1.$")]
+    assert "exists(values" in plan_of(got) and "RLIKE" not in plan_of(got).upper()
+
+
 def test_derived_checks_grow_with_their_table(events):
     assert derived.checks(events).count() == events.count()
 

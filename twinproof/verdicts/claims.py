@@ -19,12 +19,13 @@ def numbers_in(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(_NUMBER), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
 
 
-def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50) -> DataFrame:
+def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50, per_block: int = 500) -> DataFrame:
     """The distinct ``(log, pattern)`` pairs for which some line of that log matches.
 
     ``lines(log, value)`` may be of any size; ``patterns(log, pattern)`` is a list people write and review. Patterns lie in
-    arrays of about ``per_row``, each repeated for every salt, and lines meet them on log and salt: a log that owns most
-    lines is spread over all partitions. Matches only are emitted, never all pairs.
+    arrays of about ``per_row``, each repeated for every salt. A log's lines are dealt into blocks of about ``per_block``, which meet the
+    patterns on log and salt: a log that owns most lines is spread over all partitions. A block takes one pattern after the other, so a
+    pattern is compiled once a block instead of once a line, and leaves it at the first line that matches. Matches only are emitted, never all pairs.
     """
     salts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = patterns.select("log", "pattern").distinct()
@@ -35,10 +36,16 @@ def matched_patterns(lines: DataFrame, patterns: DataFrame, per_row: int = 50) -
         .agg(F.collect_list("pattern").alias("patterns"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
-    # Equal lines match the same patterns; one of them is enough, so a line that repeats without end is no hot salt.
-    salted = lines.select("log", "value").distinct().withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
-    hits = salted.join(packed, ["log", "salt"]).select(
-        "log", F.explode(F.filter("patterns", lambda p: F.rlike(F.col("value"), p))).alias("pattern")
+    # A row per log that patterns ask for, so lines of other logs go no further.
+    blocks = lines.groupBy("log").agg(F.ceil(F.count("value") / F.lit(per_block)).alias("blocks"))
+    blocks = blocks.join(wanted.select("log").distinct(), "log", "left_semi")
+    # Equal lines match the same patterns; one of them is enough, so a line that repeats without end makes no large block.
+    dealt = lines.select("log", "value").distinct().join(blocks, "log").where("blocks > 0")
+    dealt = dealt.groupBy("log", F.pmod(F.xxhash64("value"), F.col("blocks")).alias("block")).agg(F.collect_list("value").alias("values"))
+    # Unlike ``rlike``, ``regexp_instr`` keeps a pattern that is not a literal from one call to the next.
+    some = lambda p: F.exists("values", lambda v: F.regexp_instr(v, p) > 0)
+    hits = dealt.withColumn("salt", F.pmod(F.col("block"), F.lit(salts))).join(packed, ["log", "salt"]).select(
+        "log", F.explode(F.filter("patterns", some)).alias("pattern")
     )
     return hits.distinct()
 
