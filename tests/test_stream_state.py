@@ -88,6 +88,23 @@ def test_waits_end_by_timers(spark, folder):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_waits_of_many_keys_lie_in_few_state_entries(spark, folder):
+    """One call, one entry and one timer per key took milliseconds each."""
+    schema = "key long, started timestamp_ntz, at timestamp_ntz, pg string, ch string, err string"
+    rows = [(k, at(k), at(k + w), "x", "x" if w > k % 60 else "y", None) for k in range(300) for w in (10, 30, 50, 120)]
+    land(spark, rows, schema, folder("in"))
+    for last in (None, (10**6, at(9000), at(9000), "x", "x", None)):
+        if last:
+            land(spark, [last], schema, folder("in"))
+        stream = ingest.read_changes(spark, folder("in"), spark.read.parquet(folder("in")).schema)
+        found = freshness.freshness_wait_stream(stream, ["key"], timeout=100, late="10 seconds", grace=100, buckets=4)
+        windows.write_settled(found, folder("out"), folder("state")).awaitTermination()
+        assert 1 <= spark.read.format("statestore").option("stateVarName", "waits").load(folder("state")).count() <= 4
+    got = {r["key"]: (r["waited_s"], r["match"]) for r in spark.read.parquet(folder("out")).collect()}
+    first = lambda k: next(((w, True) for w in (10, 30, 50) if w > k % 60), (120, True))
+    assert got == {k: first(k) for k in range(300)}
+
+
 def test_stream_joins_keep_rows_without_partners(spark, folder):
     acts, logged = "ts timestamp_ntz, service string, want string", "ts timestamp_ntz, service string, kind string"
     land(spark, [(at(100), "s", "up"), (at(200), "s", "up"), (at(300), "t", "down")], acts, folder("a"))

@@ -17,7 +17,7 @@ from twinproof.functions.clock import ticks
 #: A batch reads and writes each bucket it touches as a whole: beyond some 50 million keys, choose about one for every 200,000.
 BUCKETS = 256
 ROWS = "rows binary"
-_TIMES = (T.TimestampType, T.TimestampNTZType)
+TIMES = (T.TimestampType, T.TimestampNTZType)
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
@@ -26,12 +26,12 @@ def bucket_of(keys: Sequence[str], buckets: int) -> Column:
 
 def in_ticks(df: DataFrame) -> DataFrame:
     """Times, with a zone or without, as microseconds since the epoch."""
-    return df.withColumns({f.name: ticks(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, _TIMES)})
+    return df.withColumns({f.name: ticks(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, TIMES)})
 
 
 def from_ticks(c: Column, t: T.DataType) -> Column:
     """The reverse of :func:`in_ticks` for a column that had type ``t``."""
-    return F.timestamp_micros(c).cast(t) if isinstance(t, _TIMES) else c
+    return F.timestamp_micros(c).cast(t) if isinstance(t, TIMES) else c
 
 
 def name_of(key: Sequence) -> tuple:

@@ -9,86 +9,92 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from twinproof.functions.clock import ticks
 from twinproof.functions.names import MATCH_TIMEOUT_SECONDS
+from twinproof.operators.intervals import MICROS
 
+from .buckets import BUCKETS, ROWS, TIMES, Packed, bucket_of, from_ticks, in_ticks, name_of
 from .gate import use_state_store
 
-_ATTEMPT = "at timestamp, pg string, ch string, err string, match boolean, waited_s int"
+_ATTEMPT = "struct<at: bigint, pg: string, ch: string, err: string, match: boolean, waited_s: int>"
+_WAIT = f"began bigint, recorded boolean, next bigint, hit {_ATTEMPT}, over {_ATTEMPT}, last {_ATTEMPT}"
+_OUT = "ts bigint, pg string, ch string, match boolean, waited_s int, err string"
 
 
 class _Wait(StatefulProcessor):
-    """State per key: the best attempt of each sort, when the wait began, and whether it has been recorded."""
+    """For a bucket of keys: per wait the best attempt of each sort, when it began, whether it has been recorded, and when to look at it next."""
 
-    def __init__(self, keys: list[str], timeout: int, grace: int, remember: int):
-        self._keys, self._timeout, self._grace, self._remember = keys, timeout, grace, remember
+    def __init__(self, keys: int, rows: Packed, timeout: int, grace: int, remember: int):
+        self._keys, self._rows, self._timeout, self._grace, self._remember = keys, rows, timeout, grace, remember
+        self._began, self._recorded, self._next, self._hit, self._over, self._last = range(keys, keys + 6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._kept = {name: handle.getValueState(name, _ATTEMPT) for name in ("hit", "over", "last")}
-        self._began = handle.getValueState("began", "started timestamp, recorded boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        began, recorded = self._began.get() if self._began.exists() else (None, False)
-        if recorded:
-            return
-        kept = {n: s.get() if s.exists() else None for n, s in self._kept.items()}
-        for part in rows:
-            for started, at, pg, ch, err in part[["started", "at", "pg", "ch", "err"]].itertuples(index=False):
-                began = started.to_pydatetime()
-                err = err if isinstance(err, str) else None
-                pg, ch = (x if isinstance(x, str) else None for x in (pg, ch))
-                waited = int((at - started).total_seconds())
-                equal = err is None and pg is not None and pg == ch
-                now = (at.to_pydatetime(), pg, ch if err is None else "", err, equal, waited)
-                if equal and waited <= self._timeout and (kept["hit"] is None or waited < kept["hit"][5]):
-                    kept["hit"] = now
-                if waited > self._timeout and (kept["over"] is None or waited < kept["over"][5]):
-                    kept["over"] = now
-                if kept["last"] is None or waited >= kept["last"][5]:
-                    kept["last"] = now
-        for name, value in kept.items():
-            if value is not None:
-                self._kept[name].update(tuple(value))
-        self._began.update((began, False))
-        self._handle.registerTimer(self._ms(began) + self._timeout * 1000)
+        self._waits = handle.getValueState("waits", ROWS)
+
+    def _read(self) -> dict[tuple, list]:
+        columns = [c.to_pylist() for c in self._rows.read(self._waits).columns]
+        return {name_of(wait[: self._keys]): list(wait) for wait in zip(*columns)}
+
+    def _write(self, waits: dict[tuple, list]) -> None:
+        self._rows.write(self._waits, self._rows.table(list(waits.values())))
+        if waits:
+            self._handle.registerTimer(min(wait[self._next] for wait in waits.values()))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        waits = self._read()
+        for _, *row in rows:
+            name = name_of(row[: self._keys])
+            started, at, pg, ch, err = row[self._keys : self._keys + 5]
+            wait = waits.setdefault(name, [*row[: self._keys], None, False, None, None, None, None])
+            if wait[self._recorded]:
+                continue
+            micros = at - started
+            waited = micros // MICROS if micros >= 0 else -(-micros // MICROS)
+            equal = err is None and pg is not None and pg == ch
+            now = {"at": at, "pg": pg, "ch": ch if err is None else "", "err": err, "match": equal, "waited_s": waited}
+            hit, over, last = wait[self._hit :]
+            if equal and waited <= self._timeout and (hit is None or waited < hit["waited_s"]):
+                wait[self._hit] = now
+            if waited > self._timeout and (over is None or waited < over["waited_s"]):
+                wait[self._over] = now
+            if last is None or waited >= last["waited_s"]:
+                wait[self._last] = now
+            wait[self._began], wait[self._next] = started, started // 1000 + self._timeout * 1000
+        self._write(waits)
         return
         yield
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        began, recorded = self._began.get()
-        if recorded:
-            self._began.clear()
-            return
-        due = self._ms(began) + self._timeout * 1000
-        watermark = timerValues.getCurrentWatermarkInMs()
-        hit, over, last = (self._kept[n].get() if self._kept[n].exists() else None for n in ("hit", "over", "last"))
-        record = hit
-        if record is None and over is not None:
-            if watermark <= self._ms(over[0]):
-                # An earlier attempt past the timeout may still come.
-                self._handle.registerTimer(self._ms(over[0]) + 1)
-                return
-            record = over
-        if record is None:
-            if watermark < due + self._grace * 1000:
-                self._handle.registerTimer(due + self._grace * 1000)
-                return
-            record = last
-        for state in self._kept.values():
-            state.clear()
-        self._began.update((began, True))
-        self._handle.registerTimer(watermark + self._remember * 1000)
-        at, pg, ch, err, match, waited = record
-        yield pd.DataFrame({**dict(zip(self._keys, ([k] for k in key))), "ts": [pd.Timestamp(at)], "pg": [pg], "ch": [ch],
-                            "match": [match], "waited_s": pd.Series([waited], dtype="int32"), "err": [err]})
-
-    @staticmethod
-    def _ms(t) -> int:
-        return int(pd.Timestamp(t).tz_localize("UTC").timestamp() * 1000) if pd.Timestamp(t).tzinfo is None else int(pd.Timestamp(t).timestamp() * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        waits, watermark, ended = self._read(), timerValues.getCurrentWatermarkInMs(), []
+        for name, wait in list(waits.items()):
+            if wait[self._next] > watermark:
+                continue
+            if wait[self._recorded]:
+                del waits[name]
+                continue
+            due = wait[self._began] // 1000 + self._timeout * 1000
+            record, over, last = wait[self._hit :]
+            if record is None and over is not None:
+                if watermark <= over["at"] // 1000:
+                    # An earlier attempt past the timeout may still come.
+                    wait[self._next] = over["at"] // 1000 + 1
+                    continue
+                record = over
+            if record is None:
+                if watermark < due + self._grace * 1000:
+                    wait[self._next] = due + self._grace * 1000
+                    continue
+                record = last
+            wait[self._recorded :] = [True, watermark + max(self._remember * 1000, 1), None, None, None]
+            ended.append([*wait[: self._keys], *(record[c] for c in ("at", "pg", "ch", "match", "waited_s", "err"))])
+        self._write(waits)
+        out = Row(*[f"c{i}" for i in range(self._keys)], "ts", "pg", "ch", "match", "waited_s", "err")
+        for record in ended:
+            yield out(*record)
 
     def close(self) -> None:
         pass
@@ -96,17 +102,25 @@ class _Wait(StatefulProcessor):
 
 def freshness_wait_stream(
     attempts: DataFrame, keys: Sequence[str], timeout: int = MATCH_TIMEOUT_SECONDS, late: str = "1 minute",
-    grace: int = MATCH_TIMEOUT_SECONDS, remember: int = 24 * 3600,
+    grace: int = MATCH_TIMEOUT_SECONDS, remember: int = 24 * 3600, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Records ``keys``, ``ts``, ``pg``, ``ch``, ``match``, ``waited_s``, ``err``: one for every wait that is over.
 
     ``attempts`` has ``keys``, ``started``, ``at``, ``pg``, ``ch``, ``err``. Equals ``cycles.freshness_waits`` for every key whose
     timeout, and whose first attempt past it, the watermark has passed. Attempts more than ``late`` behind the newest do not count;
-    neither do those of a recorded key, which is remembered for ``remember`` seconds.
+    neither do those of a recorded key, which is remembered for ``remember`` seconds. State is kept in ``buckets`` of keys.
     """
     use_state_store(attempts.sparkSession)
-    fields = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
-    rows = attempts.select(*keys, F.col("started").cast("timestamp").alias("started"), F.col("at").cast("timestamp").alias("at"), "pg", "ch", "err")
-    out = ", ".join([*[f"{k} {fields[k]}" for k in keys], "ts timestamp, pg string, ch string, match boolean, waited_s int, err string"])
-    return rows.withWatermark("at", late).groupBy(*keys).transformWithStateInPandas(
-        _Wait(list(keys), timeout, grace, remember), out, "Append", "EventTime")
+    types = {f.name: f.dataType for f in attempts.schema.fields}
+    kinds = in_ticks(attempts.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keys)])).schema.fields
+    ticked = lambda k: ticks(F.col(f"`{k}`")) if isinstance(types[k], TIMES) else F.col(f"`{k}`")
+    rows = attempts.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late).select(
+        bucket_of(keys, buckets).alias("bucket"), *[ticked(k).alias(f"c{i}") for i, k in enumerate(keys)],
+        ticks("started").alias("started"), ticks("at").alias("tried"), "pg", "ch", "err", "at")
+    state = T.StructType([*kinds, *T.StructType.fromDDL(_WAIT).fields])
+    out = T.StructType([*kinds, *T.StructType.fromDDL(_OUT).fields])
+    ended = rows.groupBy("bucket").transformWithState(
+        _Wait(len(keys), Packed(state, buckets), timeout, grace, remember), out, "Append", "EventTime")
+    return ended.select(
+        *[from_ticks(F.col(f"c{i}"), types[k]).alias(k) for i, k in enumerate(keys)], F.timestamp_micros("ts").alias("ts"),
+        "pg", "ch", "match", "waited_s", "err")
